@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from relfold.functions.columns import gini, score_round
+from relfold.session import stored
 
 MAX_SLICES = 1024
 
@@ -25,6 +26,8 @@ def auc_by_rank(df: DataFrame, score: str, label: str, slices: int = MAX_SLICES)
     per_score = df.where(F.col(label).isNotNull()).select(
         F.col(score).cast("double").alias("score"), positive.alias("positive")
     ).groupBy("score").agg(F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
+    # Read twice, for the slice borders and for the count; scores may be costly predictions.
+    per_score = stored(per_score)
     sliced = _slice_scores(per_score, slices)
     totals = sliced.groupBy("slice").agg(F.sum("neg").alias("slice_neg"))
     earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -207,13 +207,16 @@ def attach(
         if len(item.keys) != len(base_keys):
             raise ValueError(f"keys {item.keys} do not pair with {list(base_keys)}")
         item = item.pick([c for c in item.payload if c not in result.columns])
-        right = item.frame
         left = token_columns(result, base_keys, item.null_safe)
         _same_types(result.select(*left), item)
-        condition = [c == F.col(n) for c, n in zip(left, item.tokens)]
+        # The base may be a keyed frame itself, so the right tokens get names of their own.
+        matched = {name: f"__right{name}" for name in item.tokens}
+        condition = [c == F.col(n) for c, n in zip(left, matched.values())]
+        right = item.frame
         if split:
             right = right.withColumn("__right_salt", _replicas(item, hot, salts))
             condition.append(F.col("__salt") == F.col("__right_salt"))
+        right = right.withColumnsRenamed(matched)
         joined = result.join(right, condition, "left")
         order += item.payload
         keep = order + ["__salt"] if split else order
