@@ -11,7 +11,7 @@ from relfold.functions.ordered import with_position
 from relfold.modeling.split import hash_fraction
 from relfold.operators.aggregates import Measure, aggregate_by_key
 from relfold.operators.keyed import attach, keyed
-from relfold.operators.profile import column_profile
+from relfold.operators.profile import as_metadata, column_profile
 from relfold.sources.files import Bundle, TableSet
 from relfold.workflow import named_like_id
 
@@ -77,7 +77,10 @@ class Views:
     @cached_property
     def items_all(self) -> DataFrame:
         """Items with ``reordered``: 1 unless it is the user's first purchase of the product."""
-        place = F.struct("order_date", "order_id", "add_to_cart_order")
+        # (date, order, position) as one number: a fixed-width minimum is kept in a hash aggregate.
+        days = F.unix_date(F.to_date("order_date")).cast("decimal(38,0)")
+        order = F.col("order_id").cast("decimal(38,0)")
+        place = days * F.expr("1e28BD") + order * F.expr("1e9BD") + F.col("add_to_cart_order")
         firsts = (
             self._items.select("user_id", "product_id", place.alias("place"))
             .groupBy("user_id", "product_id")
@@ -203,4 +206,4 @@ class Views:
         """Exact profile of the key columns of the train root and the tables around it."""
         tables = {"train": self.train, **self.tables(), "orders": self.order_users, "order_items": self.item_keys}
         keys = {n: df.select(*[c for c in df.columns if named_like_id(n, c)]) for n, df in tables.items()}
-        return column_profile(keys)
+        return as_metadata(column_profile(keys))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from relfold.functions.columns import blank_to_null, distinct_value, ends_with_id, present, quoted
+from relfold.functions.columns import blank_to_null, distinct_value, ends_with_id, is_integral, present, quoted
 
 PROFILE_SCHEMA = (
     "table_name string, table_ord int, column_name string, column_ord int, dtype string, "
@@ -20,29 +21,57 @@ SKETCH_LOG_BUCKETS = 14
 SKETCH_ERROR = 0.01
 
 
-def _schema_rows(spark: SparkSession, table: str, ordinal: int, df: DataFrame) -> DataFrame:
-    rows = [(table, ordinal, f.name, i, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(
-        rows, "table_name string, table_ord int, column_name string, column_ord int, dtype string"
-    )
+def as_metadata(df: DataFrame) -> DataFrame:
+    """A frame of a few rows (one per column or table) computed once, for the planning steps after it."""
+    return df.sparkSession.createDataFrame(df.toArrow())
+
+
+def _described(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per column, from the schemas."""
+    rows = [
+        (table, ordinal, field.name, i, field.dataType.simpleString())
+        for ordinal, (table, df) in enumerate(tables.items())
+        for i, field in enumerate(df.schema.fields)
+    ]
+    columns = dict(zip(("table_name", "table_ord", "column_name", "column_ord", "dtype"), zip(*rows)))
+    types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+    arrays = [pa.array(values, t) for values, t in zip(columns.values(), types)]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(pa.table(arrays, names=list(columns)))
+
+
+def _value_class(dtype: T.DataType) -> str:
+    """Columns of one class are counted together, in a type that keeps their values apart."""
+    if is_integral(dtype):
+        return "bigint"
+    return "double" if isinstance(dtype, (T.FloatType, T.DoubleType)) else "string"
 
 
 def _exact_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Counts of each column from one scan.
+    """Counts of each column; every column is scanned once.
 
     The table is unpivoted to (column, value) and grouped twice, so rows stay narrow however many
     columns there are, repeated values are combined before the shuffle, and no value set is held
     whole anywhere.
     """
-    texts = df.select(*[distinct_value(df, c).cast("string").alias(c) for c in columns])
-    values = texts.unpivot([], [quoted(c) for c in columns], "column_name", "value")
-    per_value = values.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    present_rows = F.when(F.col("value").isNotNull(), F.col("n"))
-    return per_value.groupBy("column_name").agg(
-        F.sum("n").alias("row_count"),
-        F.coalesce(F.sum(present_rows), F.lit(0)).alias("non_null_count"),
-        F.count("value").alias("distinct_count"),
-    )
+    classes: dict[str, list[str]] = {}
+    for field in df.schema.fields:
+        if field.name in columns:
+            classes.setdefault(_value_class(field.dataType), []).append(field.name)
+    parts = []
+    for kind, names in classes.items():
+        typed = df.select(*[distinct_value(df, c).cast(kind).alias(c) for c in names])
+        values = typed.unpivot([], [quoted(c) for c in names], "column_name", "value")
+        per_value = values.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+        present_rows = F.when(F.col("value").isNotNull(), F.col("n"))
+        parts.append(
+            per_value.groupBy("column_name").agg(
+                F.sum("n").alias("row_count"),
+                F.coalesce(F.sum(present_rows), F.lit(0)).alias("non_null_count"),
+                F.count("value").alias("distinct_count"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _estimate(df: DataFrame, name: str) -> Column:
@@ -76,20 +105,17 @@ def column_profile(tables: Mapping[str, DataFrame], exact: str | Callable[[str,
         "none": lambda table, column: False,
     }
     rule = rules[exact] if isinstance(exact, str) else exact
-    spark = next(iter(tables.values())).sparkSession
-    described, counted = [], []
-    for ordinal, (table, df) in enumerate(tables.items()):
-        described.append(_schema_rows(spark, table, ordinal, df))
+    counted = []
+    for table, df in tables.items():
         precise = [c for c in df.columns if rule(table, c)]
         rough = [c for c in df.columns if not rule(table, c)]
         if precise:
             counted.append(_exact_counts(df, precise).withColumn("table_name", F.lit(table)))
         if rough:
             counted.append(_approx_counts(df, rough).withColumn("table_name", F.lit(table)))
-    schema = reduce(DataFrame.union, described)
     counts = reduce(DataFrame.unionByName, counted)
     rows = F.coalesce(F.col("row_count"), F.lit(0))
-    profile = schema.join(counts, ["table_name", "column_name"], "left").select(
+    profile = _described(tables).join(counts, ["table_name", "column_name"], "left").select(
         "table_name",
         "table_ord",
         "column_name",

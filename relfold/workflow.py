@@ -13,7 +13,7 @@ from relfold.operators.actions import STATUS_SCHEMA, apply_actions
 from relfold.operators.builders import apply_builders
 from relfold.operators.checks import output_checks, require
 from relfold.operators.enrich import enrich_tree
-from relfold.operators.profile import key_profile
+from relfold.operators.profile import as_metadata, key_profile
 from relfold.operators.relationships import (
     UNIQUE_THRESHOLD,
     JoinEdge,
@@ -54,10 +54,7 @@ def discover(
 ) -> Discovery:
     """Profile the key columns, find the joinable pairs and grow the join tree from the train root."""
     tables = {bundle.train_name: bundle.train, **bundle.additional}
-    keys = key_profile(tables, is_key, threshold)
-    # One row per key column: collected once so that later steps do not profile again.
-    rows = keys.collect()
-    keys = bundle.train.sparkSession.createDataFrame(rows, keys.schema)
+    keys = as_metadata(key_profile(tables, is_key, threshold))
     relationships = find_relationships(keys, bundle.train_name, bundle.test_name, threshold, strict)
     ranked = rank_candidates(both_directions(relationships, threshold, strict), prefer)
     edges = grow_tree(ranked, bundle.train_name)
@@ -66,7 +63,7 @@ def discover(
         relationships,
         edges,
         unreachable(tables, edges, bundle.train_name, bundle.test_name),
-        frozenset((r["table_name"], r["column_name"]) for r in rows if r["unique_ratio"] == 1.0),
+        frozenset((r["table_name"], r["column_name"]) for r in keys.where("unique_ratio = 1").collect()),
     )
 
 
