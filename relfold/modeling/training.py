@@ -9,12 +9,12 @@ from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from relfold.functions.columns import MISSING_TEXT, category, fill_missing, quoted, split_columns
 from relfold.operators.aggregates import Measure, aggregate_by_key
 from relfold.operators.keyed import KeyedFrame, attach
-from relfold.session import ensure_checkpoint_dir, stored
+from relfold.session import stored
 
 # Size of the model.
 ITERATIONS = 300
@@ -108,19 +108,25 @@ class FeatureEncoder:
             self.means[name] = aggregate_by_key(values.select(quoted(name), "__y"), [name], measures, null_safe=False)
         return self
 
-    def transform(self, df: DataFrame, keep: Sequence[str] = (), training: bool = False) -> DataFrame:
-        """``keep`` columns plus ``features`` as a vector."""
-        filled = fill_missing(df.select(*dict.fromkeys([*keep, *self.features])), self.features)
+    def transform(self, df: DataFrame, keep: Sequence[str] = (), learned: Column | None = None) -> DataFrame:
+        """``keep`` columns plus ``features`` as a vector. ``learned`` marks the rows of ``df`` that the
+        encoder was fitted on."""
+        if learned is not None:
+            df = df.withColumn("__learned", learned)
+        columns = [*keep, *self.features, *([self.target, "__learned"] if learned is not None else [])]
+        filled = fill_missing(df.select(*[quoted(c) for c in dict.fromkeys(columns)]), self.features)
         texts = {f"__c{i}": quoted(c) for i, c in enumerate(self.indexed)}
         frame = filled.withColumns(texts) if texts else filled
         if self.indexer is not None:
             frame = self.indexer.transform(frame)
         for name in self.averaged:
             frame = attach(frame, [name], [self.means[name]])
-            own = F.lit(1) if training else F.lit(0)
-            y = F.coalesce(quoted(self.target).cast("double"), F.lit(0.0)) if training else F.lit(0.0)
-            n = F.coalesce(F.col("__n"), F.lit(0)) - own
-            total = F.coalesce(F.col("__sum"), F.lit(0.0)) - y
+            n = F.coalesce(F.col("__n"), F.lit(0))
+            total = F.coalesce(F.col("__sum"), F.lit(0.0))
+            if learned is not None:
+                own = F.coalesce(quoted(self.target).cast("double"), F.lit(0.0))
+                n = F.when(F.col("__learned"), n - 1).otherwise(n)
+                total = F.when(F.col("__learned"), total - own).otherwise(total)
             frame = frame.withColumn(f"__mean_{self.averaged.index(name)}", (total + self.prior) / (n + 1)).drop("__n", "__sum")
         inputs = []
         for i, name in enumerate(self.features):
@@ -176,10 +182,8 @@ def fit_trees(
     rows = with_class_weights(train, target, "__weight") if balanced else train
     rows = rows.withColumn("__label", quoted(target).cast("double"))
     keep = ["__label", *(["__weight"] if balanced else []), *([holdout] if holdout else [])]
-    if target not in keep:
-        keep.append(target)
-    ensure_checkpoint_dir(train.sparkSession)
-    vectors = stored(encoder.transform(rows, keep, training=True)).persist(StorageLevel.MEMORY_AND_DISK)
+    learned = ~F.col(holdout) if holdout else F.lit(True)
+    vectors = stored(encoder.transform(rows, keep, learned)).persist(StorageLevel.MEMORY_AND_DISK)
     estimator = GBTClassifier(
         labelCol="__label",
         featuresCol="features",

@@ -100,8 +100,8 @@ def _typed(df: DataFrame) -> DataFrame:
         number = value.rlike(_DECIMAL) | F.lower(value).rlike(_INFINITE)
         checks += [
             F.count(value).alias(f"n{i}"),
-            F.bool_and(value.rlike(_INTEGER) & value.try_cast("bigint").isNotNull()).alias(f"i{i}"),
-            F.bool_and(number & value.try_cast("double").isNotNull()).alias(f"d{i}"),
+            F.bool_and(F.when(value.isNotNull(), value.rlike(_INTEGER) & value.try_cast("bigint").isNotNull())).alias(f"i{i}"),
+            F.bool_and(F.when(value.isNotNull(), number & value.try_cast("double").isNotNull())).alias(f"d{i}"),
             F.bool_and(value.isin("True", "TRUE", "true", "False", "FALSE", "false")).alias(f"b{i}"),
         ]
     found = df.agg(*checks).first()
