@@ -11,10 +11,15 @@ from pyspark.sql.window import Window
 from relfold.functions.columns import gini, score_round
 from relfold.session import stored
 
-MAX_SLICES = 1024
 
 
-def auc_by_rank(df: DataFrame, score: str, label: str, slices: int = MAX_SLICES) -> DataFrame:
+def _default_slices(df: DataFrame) -> int:
+    """A few slices per shuffle partition, within what a quantile sketch can place well."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(4 * partitions, 16), 8192)
+
+
+def auc_by_rank(df: DataFrame, score: str, label: str, slices: int | None = None) -> DataFrame:
     """One row (auc, gini, positives, negatives): the chance that a positive outranks a negative, ties
     counting half. Null when one class is absent.
 
@@ -28,6 +33,7 @@ def auc_by_rank(df: DataFrame, score: str, label: str, slices: int = MAX_SLICES)
     ).groupBy("score").agg(F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
     # Read twice, for the slice borders and for the count; scores may be costly predictions.
     per_score = stored(per_score)
+    slices = slices or _default_slices(df)
     sliced = _slice_scores(per_score, slices)
     totals = sliced.groupBy("slice").agg(F.sum("neg").alias("slice_neg"))
     earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

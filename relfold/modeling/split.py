@@ -37,7 +37,7 @@ def with_folds(df: DataFrame, id_column: str = "row_id", folds: int = FOLDS, see
     return df.withColumn(name, F.pmod(hash_number(F.col(id_column), seed), F.lit(folds)).cast("int"))
 
 
-def with_class_position(df: DataFrame, target: str, id_column: str, seed: int = SEED, slices: int = 4096) -> DataFrame:
+def with_class_position(df: DataFrame, target: str, id_column: str, seed: int = SEED, slices: int = 65536) -> DataFrame:
     """``position`` of a row in hash order within its class, from 0, and the size ``class_rows``.
 
     A class may hold nearly all rows, so it is not ordered as one group: the hash range is cut into

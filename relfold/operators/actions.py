@@ -126,13 +126,15 @@ def apply_actions(
     unique_keys: Collection[tuple[str, str]] = (),
     approx_distinct: bool = False,
     skew: SkewPolicy = DEFAULT_SKEW,
+    share: bool = False,
 ) -> ActionResult:
     """Apply every valid action to all roots alike, or to none of them.
 
     Actions on the same (table, key) become one grouping; frames on the same key are joined
     together. A direct join is refused if its source holds a key twice (``unique_keys`` names
     (table, key) pairs known to be unique, which saves the check). A root used as a source lends no
-    label. Failing actions are reported and do not stop the others.
+    label. Failing actions are reported and do not stop the others. ``share`` computes each aggregated
+    frame once and stores it, which pays if all roots will be written.
     """
     sources = dict(tables)
     for name, root in roots.items():
@@ -156,6 +158,10 @@ def apply_actions(
     groups: dict[tuple[str, ...], list[KeyedFrame]] = {}
     for (table, key), actions in accepted.items():
         frames = action_frames(table, sources[table], key, actions, approx_distinct=approx_distinct)
+        # Direct frames are mere projections of a table; only aggregates are worth storing.
+        aggregated = any(a.action_type != "direct_join" for a in actions)
+        if share and aggregated:
+            frames[-1] = frames[-1].stored()
         groups.setdefault((key,), []).extend(frames)
     joined = {name: attach_grouped(root, groups, skew) for name, root in roots.items()}
     return ActionResult(joined, statuses)

@@ -48,17 +48,19 @@ def apply_builders(
     target: str = "target",
     on_error: str = "skip",
     skew: SkewPolicy = DEFAULT_SKEW,
+    store_roots_every: int = 8,
 ) -> ActionResult:
     """Run builders in turn; each sees the features of those before it, never the label.
 
     The train root is what a builder gets; its result is joined to every root. A result is written
-    once to the checkpoint folder: the uniqueness check and all roots read it from there, and the
-    lineage of the roots stays short. A failing builder leaves all roots alone; ``on_error`` "raise"
-    ends the run instead.
+    once to the checkpoint folder; the uniqueness check and all roots read it from there. The roots
+    are stored after every few builders, as later builders read them and their plans grow. A failing
+    builder leaves all roots alone; ``on_error`` "raise" ends the run instead.
     """
     current = dict(roots)
     first = next(iter(roots))
     statuses: list[tuple] = []
+    applied = 0
     for i, builder in enumerate(builders):
         shown = {name: df.drop(target) if name in roots else df for name, df in tables.items()}
         keys = list(builder.keys)
@@ -80,5 +82,8 @@ def apply_builders(
             statuses.append((i, builder.title, "builder", ",".join(keys), FAILED, str(error).splitlines()[0]))
             continue
         current = updated
+        applied += 1
+        if applied % store_roots_every == 0:
+            current = {name: stored(root) for name, root in current.items()}
         statuses.append((i, builder.title, "builder", ",".join(keys), APPLIED, note))
     return ActionResult(current, statuses)

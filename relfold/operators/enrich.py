@@ -56,26 +56,28 @@ def resolve_parent_key(columns: Sequence[str], edge: JoinEdge) -> str | None:
 class _Planned:
     edge: JoinEdge
     frame: KeyedFrame
-    columns: list[str]
     inner: dict[tuple[str, ...], list["_Planned"]] = field(default_factory=dict)
 
 
-def enrich_tree(
-    base: DataFrame,
+@dataclass
+class _Layout:
+    """Frames per base key, and the columns they add, in tree order."""
+
+    groups: dict[tuple[str, ...], list[KeyedFrame]]
+    added: list[str]
+
+
+def _lay_out(
+    base_columns: Sequence[str],
     tables: Mapping[str, DataFrame],
     edges: Sequence[JoinEdge],
-    exclude_ids: bool = False,
-    approx_distinct: bool = False,
-    skew: SkewPolicy = DEFAULT_SKEW,
-) -> DataFrame:
-    """Join every edge of the tree onto the base, aggregating children where a join would add rows.
-
-    The plan is laid out from the schemas alone. Frames that hang on the same base key are joined
-    together, so the base is shuffled once per key. A dimension of a dimension is joined to the
-    smaller dimension before that meets the base, unless its key has nulls: there a base row without
-    a parent matches the null row, which only the join on the base can tell.
-    """
-    columns = list(base.columns)
+    exclude_ids: bool,
+    approx_distinct: bool,
+    skew: SkewPolicy,
+    share: bool,
+) -> _Layout:
+    """Decide from the schemas alone which frame is joined where."""
+    columns = list(base_columns)
     owner: dict[str, _Planned] = {}
     root_groups: dict[tuple[str, ...], list[_Planned]] = {}
     for edge in edges:
@@ -87,13 +89,14 @@ def enrich_tree(
         if edge.requires_aggregation:
             measures = automatic_measures(edge.child_table, source, edge.child_key, exclude_ids)
             frame = aggregate_by_key(source, [edge.child_key], measures, null_safe, approx_distinct)
+            frame = frame.stored() if share else frame
         else:
             frame = prefixed(edge.child_table, source, edge.child_key, null_safe=null_safe)
         if key != edge.child_key:
             # A key reached under a prefixed name stays visible under the child's own name.
             frame = frame.with_key_column()
         added = [c for c in frame.payload if c not in columns]
-        planned = _Planned(edge, frame.pick(added), added)
+        planned = _Planned(edge, frame.pick(added))
         parent = owner.get(key)
         home = parent.inner if parent and not null_safe else root_groups
         home.setdefault((key,), []).append(planned)
@@ -101,7 +104,45 @@ def enrich_tree(
         if not edge.requires_aggregation:
             owner.update(dict.fromkeys(added, planned))
     groups = {keys: [_folded(p, skew) for p in planned] for keys, planned in root_groups.items()}
-    return attach_grouped(base, groups, skew).select(*[quoted(c) for c in columns])
+    return _Layout(groups, columns[len(base_columns):])
+
+
+def enrich_tree(
+    base: DataFrame,
+    tables: Mapping[str, DataFrame],
+    edges: Sequence[JoinEdge],
+    exclude_ids: bool = False,
+    approx_distinct: bool = False,
+    skew: SkewPolicy = DEFAULT_SKEW,
+) -> DataFrame:
+    """Join every edge of the tree onto the base, aggregating children where a join would add rows.
+
+    Frames that hang on the same base key are joined together, so the base is shuffled once per key.
+    A dimension of a dimension is joined to the smaller dimension before that meets the base, unless
+    its key has nulls: there a base row without a parent matches the null row, which only the join
+    on the base can tell.
+    """
+    layout = _lay_out(base.columns, tables, edges, exclude_ids, approx_distinct, skew, share=False)
+    return attach_grouped(base, layout.groups, skew).select(*[quoted(c) for c in [*base.columns, *layout.added]])
+
+
+def enrich_roots(
+    roots: Mapping[str, DataFrame],
+    tables: Mapping[str, DataFrame],
+    edges: Sequence[JoinEdge],
+    exclude_ids: bool = False,
+    approx_distinct: bool = False,
+    skew: SkewPolicy = DEFAULT_SKEW,
+) -> dict[str, DataFrame]:
+    """``enrich_tree`` for several roots: each aggregated child is computed once, written to the
+    checkpoint folder and shared."""
+    columns = list(dict.fromkeys(c for df in roots.values() for c in df.columns))
+    layout = _lay_out(columns, tables, edges, exclude_ids, approx_distinct, skew, share=len(roots) > 1)
+    wide = {}
+    for name, base in roots.items():
+        joined = attach_grouped(base, layout.groups, skew)
+        wide[name] = joined.select(*[quoted(c) for c in [*base.columns, *layout.added]])
+    return wide
 
 
 def _folded(planned: _Planned, skew: SkewPolicy) -> KeyedFrame:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from relfold.functions.columns import field_of, is_integral, quoted
+from relfold.session import stored
 
 # Stand-in for a null key; the isnull token keeps it apart from a real value.
 _DEFAULTS = {
@@ -74,6 +75,10 @@ class KeyedFrame:
         """The frame with ordinary key columns in place of the tokens."""
         return self.frame.select(*self._key_columns(), *[quoted(c) for c in self.payload])
 
+    def stored(self) -> "KeyedFrame":
+        """Computed once and read back, for several bases."""
+        return KeyedFrame(stored(self.frame), self.keys, self.null_safe)
+
     def with_key_column(self) -> "KeyedFrame":
         """The key repeated in the payload."""
         return KeyedFrame(self.frame.select("*", *self._key_columns()), self.keys, self.null_safe)
@@ -144,13 +149,11 @@ def guarded(df: DataFrame, keys: Sequence[str], null_safe: bool = True) -> Keyed
     names = token_names(len(keys), null_safe)
     source = with_tokens(df, keys, null_safe, [quoted(c) for c in payload])
     rows = source.groupBy(*names).agg(
-        F.count(F.lit(1)).alias("__rows"),
-        F.any_value(F.struct(*[quoted(c) for c in payload]) if payload else F.lit(1)).alias("__row"),
+        F.count(F.lit(1)).alias("__rows"), *[F.any_value(quoted(c)).alias(c) for c in payload]
     )
     message = F.lit(f"more than one row for a key of {list(keys)}")
     checked = rows.where(F.when(F.col("__rows") == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
-    frame = checked.select(*names, *[F.col("__row").getField(c).alias(c) for c in payload])
-    return KeyedFrame(frame, tuple(keys), null_safe)
+    return KeyedFrame(checked.drop("__rows"), tuple(keys), null_safe)
 
 
 def input_bytes(df: DataFrame) -> int:

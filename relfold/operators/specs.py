@@ -169,11 +169,12 @@ def apply_specs(
     specs: Sequence[FeatureSpec],
     unique_keys: Collection[tuple[str, str]] = (),
     skew: SkewPolicy = DEFAULT_SKEW,
+    share: bool = False,
 ) -> ActionResult:
     """Join the features of every spec to all roots alike, or not at all.
 
     A grouping column the roots lack (the category of an item, say) is looked up for the join and
-    dropped again.
+    dropped again. ``share`` computes each frame once and stores it for all roots.
     """
     usable = {name: df for name, df in tables.items() if name not in roots}
     facts = KeyFacts(usable, unique_keys)
@@ -182,6 +183,8 @@ def apply_specs(
     for i, spec in enumerate(specs):
         try:
             frames = spec_frames(spec, tables, facts, tuple(roots), skew)
+            if share:
+                frames = {keys: [f.stored() for f in found] for keys, found in frames.items()}
             needed = [c for keys in frames for c in keys]
             named = [t for path in spec.join_paths for t in path] + list(spec.required_tables)
             updated = {}

@@ -12,7 +12,7 @@ from relfold.modeling.training import TreeSettings
 from relfold.operators.actions import STATUS_SCHEMA, apply_actions
 from relfold.operators.builders import apply_builders
 from relfold.operators.checks import output_checks, require
-from relfold.operators.enrich import enrich_tree
+from relfold.operators.enrich import enrich_roots
 from relfold.operators.profile import as_metadata, key_profile
 from relfold.operators.relationships import (
     UNIQUE_THRESHOLD,
@@ -90,13 +90,13 @@ def build_features(
     roots: Mapping[str, DataFrame] = bundle.roots
     built = apply_builders(roots, tables, builders, target)
     statuses = list(built.statuses)
-    built = apply_specs(built.roots, tables, specs, discovery.unique_keys)
+    built = apply_specs(built.roots, tables, specs, discovery.unique_keys, share=True)
     statuses += built.statuses
-    built = apply_actions(built.roots, bundle.additional, plans, target, discovery.unique_keys)
+    built = apply_actions(built.roots, bundle.additional, plans, target, discovery.unique_keys, share=True)
     statuses += built.statuses
     roots = built.roots
     if join_tree:
-        roots = {name: enrich_tree(df, bundle.additional, discovery.edges) for name, df in roots.items()}
+        roots = enrich_roots(roots, bundle.additional, discovery.edges)
     return Built(dict(roots), statuses)
 
 

@@ -1,6 +1,6 @@
 import pytest
 
-from relfold.operators.enrich import aggregate_enrich, direct_enrich, enrich_tree, prefixed, resolve_parent_key
+from relfold.operators.enrich import aggregate_enrich, direct_enrich, enrich_roots, enrich_tree, prefixed, resolve_parent_key
 from relfold.operators.keyed import SkewPolicy
 from relfold.operators.profile import column_profile
 from relfold.operators.relationships import (
@@ -123,6 +123,8 @@ def test_tree_enrichment(frame, nulls, policy):
     missing = wide.where("id in (3, 4)").drop("id", "user_id").collect()
     assert all(v is None for row in missing for v in row)
     assert wide.count() == 4
+    both = enrich_roots({"train": train, "test": train.drop("id")}, tables, edges, skew=policy)
+    assert rows_of(both["train"]) == rows_of(wide) and both["test"].columns == wide.columns[1:]
 
 
 def test_null_row_of_a_second_level_table_matches_on_the_base(frame):
