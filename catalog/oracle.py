@@ -125,7 +125,14 @@ tree{n} AS (SELECT to_table AS table_name, row_number() OVER (ORDER BY parent_or
 seen{n} AS (SELECT table_name FROM {seen} UNION SELECT table_name FROM tree{n})"""
 
 
-def _tree() -> str:
+_TREE_DETAILS = """CAST(distance AS BIGINT) AS distance, path,
+       CASE WHEN is_root_related THEN 'touches the root table' ELSE 'reached through another table' END || '; '
+         || CASE WHEN preference < 0 THEN 'preferred dimension; ' ELSE '' END
+         || format('relation_type={}, left_unique_ratio={:.3f}, right_unique_ratio={:.3f}', relation_type, a, b) AS reason,
+       CAST((SELECT count(DISTINCT table_name) FROM keys) - (SELECT count(*) FROM seen3) AS BIGINT) AS n_unreachable"""
+
+
+def _tree(details: str = _TREE_DETAILS) -> str:
     parts = [",\ntree0 AS (SELECT 'train' AS table_name, 1 AS ord, 'train' AS path),\nseen0 AS (SELECT table_name FROM tree0)"]
     for n in (1, 2, 3):
         parts.append(_TREE_LEVEL.format(n=n, m=n - 1, seen=f"seen{n - 1}"))
@@ -133,12 +140,7 @@ def _tree() -> str:
     return "".join(parts) + f"""
 SELECT CAST(row_number() OVER (ORDER BY distance, parent_ord, rank) - 1 AS BIGINT) AS edge_ord,
        from_table AS parent_table, to_table AS child_table, key AS parent_key, relation_type,
-       relation_type IN ('one_to_many', 'many_to_many') OR b < 1 AS requires_aggregation,
-       CAST(distance AS BIGINT) AS distance, path,
-       CASE WHEN is_root_related THEN 'touches the root table' ELSE 'reached through another table' END || '; '
-         || CASE WHEN preference < 0 THEN 'preferred dimension; ' ELSE '' END
-         || format('relation_type={{}}, left_unique_ratio={{:.3f}}, right_unique_ratio={{:.3f}}', relation_type, a, b) AS reason,
-       CAST((SELECT count(DISTINCT table_name) FROM keys) - (SELECT count(*) FROM seen3) AS BIGINT) AS n_unreachable
+       relation_type IN ('one_to_many', 'many_to_many') OR b < 1 AS requires_aggregation, {details}
 FROM ({union})"""
 
 
@@ -269,6 +271,12 @@ SELECT t.*, u.nation_id AS users__nation_id, u.balance AS users__balance, u.segm
 FROM train t LEFT JOIN users u ON t.user_id IS NOT DISTINCT FROM u.user_id""",
     "agg_enrich": _VIEWS + f"SELECT t.*, {_without('o', 'user_id')} FROM train t LEFT JOIN ({_ORDERS_AGG}) o ON t.user_id = o.user_id",
     "snowflake_enrich": _VIEWS + _TREE_JOIN.format(base="train"),
+    "tree_both_roots": _VIEWS + """, roots AS (
+  SELECT row_id, user_id, product_id, 'train' AS root FROM train UNION ALL SELECT row_id, user_id, product_id, 'test' FROM test)"""
+    + _TREE_JOIN.format(base="roots"),
+    "discovered_tree": _VIEWS + _RELATIONS + _tree(
+        "path, (SELECT string_agg(table_name || '.' || key, ',' ORDER BY table_name, key) FROM keys WHERE ratio = 1) AS unique_keys"
+    ),
     "null_key_join": """
 WITH o AS (SELECT o_orderkey AS order_id, CASE WHEN o_orderpriority <> '3-MEDIUM' THEN o_orderpriority END AS priority FROM orders),
 s AS (SELECT priority, CAST(count(*) AS BIGINT) AS same_priority, min(order_id) AS first_order FROM o GROUP BY 1)

@@ -17,7 +17,7 @@ from relfold.operators.actions import apply_actions
 from relfold.operators.aggregates import Measure, aggregate_by_key, top_values
 from relfold.operators.builders import apply_builders, merge_feature
 from relfold.operators.checks import output_checks
-from relfold.operators.enrich import aggregate_enrich, direct_enrich, enrich_tree
+from relfold.operators.enrich import aggregate_enrich, direct_enrich, enrich_roots, enrich_tree
 from relfold.operators.keyed import attach, left_join_unique
 from relfold.operators.labels import with_held_out_labels, with_target
 from relfold.operators.profile import candidate_keys, column_profile, enrich_with_dictionary, table_profile
@@ -32,6 +32,7 @@ from relfold.operators.relationships import (
 from relfold.operators.specs import apply_specs, category_families
 from relfold.plans.ingest import parse_plans, parse_specs
 from relfold.plans.models import Action, Aggregation, FeatureBuilder, FeatureSpec, TablePlan
+from relfold.workflow import discover
 
 RAW_TABLES = ("customer", "lineitem", "nation", "orders", "part", "region")
 # A small model keeps the registered runs short; the library's defaults are larger.
@@ -140,6 +141,23 @@ def snowflake_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     return enrich_tree(views.train, views.tables(), fixture_tree(spark, sf))
 
 
+def tree_both_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree joined to both roots with shared frames."""
+    views = Views(spark, sf)
+    wide = enrich_roots({"train": views.train.drop("target"), "test": views.test}, views.tables(), fixture_tree(spark, sf))
+    return wide["train"].withColumn("root", F.lit("train")).unionByName(wide["test"].withColumn("root", F.lit("test")))
+
+
+def discovered_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree as the workflow finds it: exact counts only for keys that may be unique."""
+    found = discover(Views(spark, sf).bundle(), prefer=[("users", "nations")])
+    unique = [f"{table}.{key}" for table, key in sorted(found.unique_keys)]
+    return tree_frame(spark, found.edges).select(
+        F.col("edge_ord").cast("bigint").alias("edge_ord"), "parent_table", "child_table", "parent_key", "relation_type",
+        "requires_aggregation", F.array_join("path", ">").alias("path"), F.lit(",".join(unique)).alias("unique_keys"),
+    )
+
+
 def null_key_join(spark: SparkSession, sf: str) -> DataFrame:
     """Orders joined to statistics of a partly missing attribute: null is a key like any other."""
     views = Views(spark, sf)
@@ -519,6 +537,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "direct_enrich": direct_enrichment,
     "agg_enrich": aggregate_enrichment,
     "snowflake_enrich": snowflake_enrichment,
+    "tree_both_roots": tree_both_roots,
+    "discovered_tree": discovered_tree,
     "null_key_join": null_key_join,
     "numeric_actions": numeric_actions,
     "categorical_nunique": categorical_nunique,
