@@ -65,6 +65,7 @@ def score_output(
     train = stored(train)
     features = all_features(train, id_column, target, keys if exclude_keys else ())
     model = fit_trees(train, features, target, settings, balanced=True)
+    test = stored(test)
     labelled = with_held_out_labels(test, labels, id_column, target)
     result = auc_by_rank(model.predict(labelled, [target]), "score", target)
     validated = cross_validate(train, features, target, id_column, folds, settings).agg(

@@ -69,8 +69,6 @@ def rank_features(
         raise ValueError(f"the training table has no {target!r}")
     rows = train.select(quoted(id_column), quoted(target), *[quoted(c) for c in features])
     split = with_exact_holdout(rows, target, id_column) if exact_split else with_holdout(rows, id_column)
-    # Both trainings and both evaluations read these rows.
-    split = stored(split)
     return fit_trees(split, features, target, settings, "is_holdout"), split, features
 
 
@@ -92,18 +90,23 @@ def select_features(
 ) -> Selection:
     """Rank the numeric features of the first root, keep the strongest, train again on those alone,
     and project every root to base columns plus kept features (written if a folder is given)."""
-    train = next(iter(roots.values()))
+    first = next(iter(roots))
     for name, df in roots.items():
         missing = [c for c in base_columns[name] if c not in df.columns]
         if missing:
             raise ValueError(f"{name} lacks base columns {missing}")
-        if df.isEmpty():
+    features = numeric_features(roots[first], base_columns[first])
+    kept = {}
+    for name, df in roots.items():
+        # All that follows reads these columns; the joins behind them are run once.
+        kept[name] = stored(df.select(*[quoted(c) for c in [*base_columns[name], *features] if c in df.columns]))
+        if kept[name].isEmpty():
             raise ValueError(f"{name} has no rows")
-    first = next(iter(roots))
+    train = kept[first]
     model, split, _ = rank_features(train, base_columns[first], target, id_column, settings, exact_split)
     importances = model.importances(train.sparkSession)
     selected = [r["feature"] for r in top_features(importances, keep).collect()]
-    outputs = {name: final_projection(df, base_columns[name], selected) for name, df in roots.items()}
+    outputs = {name: final_projection(df, base_columns[name], selected) for name, df in kept.items()}
     auc_all = holdout_auc(model, split, target)
     smaller = fit_trees(split, selected, target, settings, "is_holdout")
     auc_selected = holdout_auc(smaller, split, target)

@@ -107,8 +107,7 @@ def aggregate_by_key(
     if not null_safe:
         tokened = tokened.dropna(subset=tokens)
 
-    counted = [m for m in measures if m.kind in _VALUE_COUNT_KINDS]
-    plain = [m for m in measures if m.kind not in _VALUE_COUNT_KINDS]
+    counted, plain = _by_need(tokened, measures)
     distinct = [m for m in plain if m.kind == "nunique"]
     others = [m for m in plain if m.kind != "nunique"]
     passes = [distinct[i:i + columns_per_pass] for i in range(0, len(distinct), columns_per_pass)] or [[]]
@@ -131,19 +130,40 @@ def aggregate_by_key(
     return KeyedFrame(frame, tuple(keys), null_safe)
 
 
+def _by_need(source: DataFrame, measures: Sequence[Measure]) -> tuple[list[Measure], list[Measure]]:
+    """(measures from value counts, measures from rows). Where a column's values are counted anyway,
+    what follows from the counts is taken from them instead of from another pass over the rows."""
+    sources = {(m.column, m.where) for m in measures if m.kind in _VALUE_COUNT_KINDS}
+    unfiltered = any(where is None for _, where in sources)
+    counted, plain = [], []
+    for m in measures:
+        follows = m.kind in _VALUE_COUNT_KINDS or (m.column, m.where) in sources and (
+            m.kind in ("nunique", "count")
+            or m.kind in ("freq", "is") and not isinstance(field_of(source, m.column).dataType, (T.FloatType, T.DoubleType))
+        )
+        follows = follows or (m.kind == "size" and m.where is None and unfiltered)
+        (counted if follows else plain).append(m)
+    return counted, plain
+
+
 def _by_column(measures: Sequence[Measure], size: int) -> list[list[Measure]]:
     """Batches of at most ``size`` different (column, filter) pairs."""
-    sources = list(dict.fromkeys((m.column, m.where) for m in measures))
+    sources = list(dict.fromkeys((m.column, m.where) for m in measures if m.kind != "size"))
+    sizes = [m for m in measures if m.kind == "size"]
+    # The group size follows from the counts of any unfiltered column.
+    open_source = next((s for s in sources if s[1] is None), None)
     batches = []
     for i in range(0, len(sources), size):
         chunk = set(sources[i:i + size])
-        batches.append([m for m in measures if (m.column, m.where) in chunk])
+        batch = [m for m in measures if m.kind != "size" and (m.column, m.where) in chunk]
+        batches.append(batch + (sizes if open_source in chunk else []))
     return batches
 
 
 def _from_value_counts(tokened: DataFrame, tokens: list[str], measures: Sequence[Measure]) -> DataFrame:
-    """Mode measures from the counts of every (key, value)."""
-    sources = list(dict.fromkeys((m.column, m.where) for m in measures))
+    """Measures from the counts of every (key, value)."""
+    sources = list(dict.fromkeys((m.column, m.where) for m in measures if m.kind != "size"))
+    open_source = next((s for s in sources if s[1] is None), None)
     names = {source: f"__v{i}" for i, source in enumerate(sources)}
     values = tokened.select(
         *tokens,
@@ -156,20 +176,34 @@ def _from_value_counts(tokened: DataFrame, tokens: list[str], measures: Sequence
     )
     exprs = []
     for m in measures:
-        name = names[m.column, m.where]
+        name = names[open_source if m.kind == "size" else (m.column, m.where)]
         position = columns.index(name)
         # grouping_id has a one for every column left out of the set.
         set_id = sum(1 << (len(columns) - 1 - j) for j in range(len(columns)) if j != position)
-        mine = (F.col("__set") == F.lit(set_id)) & F.col(name).isNotNull()
-        if m.kind == "mode":
-            order = F.struct((-F.col("__n")).alias("n"), F.col(name).alias("v"))
-            exprs.append(F.min_by(F.when(mine, F.col(name)), F.when(mine, order)).alias(m.alias))
-        else:
-            n = F.when(mine, F.col("__n"))
-            exprs.append(F.try_divide(F.max(n).cast("double"), F.sum(n).cast("double")).alias(m.alias))
+        mine = F.col("__set") == F.lit(set_id)
+        value, n = F.col(name), F.col("__n")
+        exprs.append(_from_counts(m, value, n, mine, mine & value.isNotNull()).alias(m.alias))
     return counts.groupBy(*tokens).agg(*exprs)
 
 
+def _from_counts(m: Measure, value: Column, n: Column, mine: Column, known: Column) -> Column:
+    """``mine`` marks the rows that count this column's values, ``known`` those of them with a value."""
+    if m.kind == "size":
+        return F.coalesce(F.sum(F.when(mine, n)), F.lit(0))
+    if m.kind == "count":
+        return F.coalesce(F.sum(F.when(known, n)), F.lit(0))
+    if m.kind == "nunique":
+        return F.count_if(known)
+    if m.kind == "freq":
+        return F.coalesce(F.sum(F.when(known & (category(value) == m.value), n)), F.lit(0))
+    if m.kind == "is":
+        return F.coalesce(F.max((known & (category(value) == m.value)).cast("int")), F.lit(0))
+    if m.kind == "mode":
+        return F.min_by(F.when(known, value), F.when(known, F.struct((-n).alias("n"), value.alias("v"))))
+    total = F.sum(F.when(known, n))
+    return F.try_divide(F.max(F.when(known, n)).cast("double"), total.cast("double"))
+
+
 def automatic_measures(table: str, source: DataFrame, key: str, exclude_ids: bool = False) -> list[Measure]:
     """mean/max/min/nunique of every number, nunique of everything else, and the group size."""
     numeric, categorical = split_columns(source, exclude=[key])

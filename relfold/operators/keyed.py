@@ -158,7 +158,7 @@ def guarded(df: DataFrame, keys: Sequence[str], null_safe: bool = True) -> Keyed
 
 def input_bytes(df: DataFrame) -> int:
     """Estimated size of what the plan reads (sum over its leaves); very large where unknown."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 

@@ -16,6 +16,8 @@ SETTINGS = {
     # Report the true size of an outsized block, so that adaptive execution can see skew in
     # shuffles with thousands of partitions.
     "spark.shuffle.accurateBlockSkewedFactor": "5.0",
+    # Checkpoint files go when the frames they belong to are forgotten.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -54,6 +54,17 @@ def test_mode_and_its_share_against_counting(frame):
         assert found[key] == (expected_text, expected_number, top / sum(texts.values()), len(texts), len(mine))
 
 
+def test_measures_that_follow_from_value_counts_need_one_pass(frame):
+    df = frame("k int, c string, d string", (1, "a", "x"), (1, "a", None), (1, None, None), (2, None, "y"))
+    measures = [
+        Measure("mode", "m", "c"), Measure("size", "z"), Measure("count", "n", "c"), Measure("nunique", "u", "c"),
+        Measure("freq", "f", "c", value="a"), Measure("is", "i", "c", value="b"), Measure("mode", "w", "d", where="c = 'a'"),
+    ]
+    built = aggregate_by_key(df, ["k"], measures).visible()
+    assert rows_of(built) == [(1, "a", 3, 2, 1, 2, 0, "x"), (2, None, 1, 0, 0, 0, 0, None)]
+    assert "Join" not in built._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_nan_is_missing_and_zeros_are_one_value(frame):
     df = frame("k int, v double", (1, float("nan")), (1, 0.0), (1, -0.0), (1, 4.0))
     found = agg(df, ["k"], Measure("nunique", "u", "v"), Measure("mean", "m", "v"), Measure("count", "c", "v"), Measure("max", "x", "v"))
