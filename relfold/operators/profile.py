@@ -8,7 +8,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from relfold.functions.columns import blank_to_null, distinct_value, ends_with_id, is_integral, present, quoted
+from relfold.functions.columns import blank_to_null, distinct_value, ends_with_id, field_of, is_integral, present, quoted
 
 PROFILE_SCHEMA = (
     "table_name string, table_ord int, column_name string, column_ord int, dtype string, "
@@ -27,17 +27,18 @@ def as_metadata(df: DataFrame) -> DataFrame:
 
 
 def _described(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per column, from the schemas."""
+    """One row per column, numbered, from the schemas."""
     rows = [
         (table, ordinal, field.name, i, field.dataType.simpleString())
         for ordinal, (table, df) in enumerate(tables.items())
         for i, field in enumerate(df.schema.fields)
     ]
-    columns = dict(zip(("table_name", "table_ord", "column_name", "column_ord", "dtype"), zip(*rows)))
-    types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
-    arrays = [pa.array(values, t) for values, t in zip(columns.values(), types)]
+    named = [(str(number), *row) for number, row in enumerate(rows)]
+    names = ("column_id", "table_name", "table_ord", "column_name", "column_ord", "dtype")
+    types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string())
+    arrays = [pa.array(values, kind) for values, kind in zip(zip(*named), types)]
     spark = next(iter(tables.values())).sparkSession
-    return spark.createDataFrame(pa.table(arrays, names=list(columns)))
+    return spark.createDataFrame(pa.table(arrays, names=list(names)))
 
 
 def _value_class(dtype: T.DataType) -> str:
@@ -47,31 +48,34 @@ def _value_class(dtype: T.DataType) -> str:
     return "double" if isinstance(dtype, (T.FloatType, T.DoubleType)) else "string"
 
 
-def _exact_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Counts of each column; every column is scanned once.
+def _exact_counts(columns: Sequence[tuple[str, DataFrame, str]]) -> list[DataFrame]:
+    """Counts of (column_id, table, column name); every column is scanned once.
 
-    The table is unpivoted to (column, value) and grouped twice, so rows stay narrow however many
+    The tables are unpivoted to (column, value) and grouped twice, so rows stay narrow however many
     columns there are, repeated values are combined before the shuffle, and no value set is held
     whole anywhere.
     """
-    classes: dict[str, list[str]] = {}
-    for field in df.schema.fields:
-        if field.name in columns:
-            classes.setdefault(_value_class(field.dataType), []).append(field.name)
+    by_class: dict[str, dict[int, list]] = {}
+    for number, df, name in columns:
+        kind = _value_class(field_of(df, name).dataType)
+        by_class.setdefault(kind, {}).setdefault(id(df), []).append((number, df, name))
     parts = []
-    for kind, names in classes.items():
-        typed = df.select(*[distinct_value(df, c).cast(kind).alias(c) for c in names])
-        values = typed.unpivot([], [quoted(c) for c in names], "column_name", "value")
-        per_value = values.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    for kind, by_table in by_class.items():
+        unpivoted = []
+        for items in by_table.values():
+            typed = items[0][1].select(*[distinct_value(df, c).cast(kind).alias(n) for n, df, c in items])
+            unpivoted.append(typed.unpivot([], [quoted(n) for n, _, _ in items], "column_id", "value"))
+        values = reduce(DataFrame.unionAll, unpivoted)
+        per_value = values.groupBy("column_id", "value").agg(F.count(F.lit(1)).alias("n"))
         present_rows = F.when(F.col("value").isNotNull(), F.col("n"))
         parts.append(
-            per_value.groupBy("column_name").agg(
+            per_value.groupBy("column_id").agg(
                 F.sum("n").alias("row_count"),
                 F.coalesce(F.sum(present_rows), F.lit(0)).alias("non_null_count"),
                 F.count("value").alias("distinct_count"),
             )
         )
-    return reduce(DataFrame.unionByName, parts)
+    return parts
 
 
 def _estimate(df: DataFrame, name: str) -> Column:
@@ -79,16 +83,16 @@ def _estimate(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.hll_sketch_estimate(sketch), F.lit(0))
 
 
-def _approx_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _approx_counts(df: DataFrame, columns: Sequence[tuple[str, str]]) -> DataFrame:
     """The same columns from one aggregation without a shuffle of values."""
     per_column = [
         F.struct(
-            F.lit(c).alias("column_name"),
+            F.lit(number).alias("column_id"),
             F.count(F.lit(1)).alias("row_count"),
-            F.count(present(df, c)).alias("non_null_count"),
-            _estimate(df, c).alias("distinct_count"),
+            F.count(present(df, name)).alias("non_null_count"),
+            _estimate(df, name).alias("distinct_count"),
         )
-        for c in columns
+        for number, name in columns
     ]
     return df.agg(F.array(*per_column).alias("c")).select(F.inline("c"))
 
@@ -105,17 +109,16 @@ def column_profile(tables: Mapping[str, DataFrame], exact: str | Callable[[str,
         "none": lambda table, column: False,
     }
     rule = rules[exact] if isinstance(exact, str) else exact
-    counted = []
+    every = [(table, df, name) for table, df in tables.items() for name in df.columns]
+    numbered = [(str(number), *item) for number, item in enumerate(every)]
+    counted = _exact_counts([(n, df, c) for n, table, df, c in numbered if rule(table, c)])
     for table, df in tables.items():
-        precise = [c for c in df.columns if rule(table, c)]
-        rough = [c for c in df.columns if not rule(table, c)]
-        if precise:
-            counted.append(_exact_counts(df, precise).withColumn("table_name", F.lit(table)))
+        rough = [(n, c) for n, t, _, c in numbered if t == table and not rule(t, c)]
         if rough:
-            counted.append(_approx_counts(df, rough).withColumn("table_name", F.lit(table)))
+            counted.append(_approx_counts(df, rough))
     counts = reduce(DataFrame.unionByName, counted)
     rows = F.coalesce(F.col("row_count"), F.lit(0))
-    profile = _described(tables).join(counts, ["table_name", "column_name"], "left").select(
+    profile = _described(tables).join(counts, "column_id", "left").select(
         "table_name",
         "table_ord",
         "column_name",

@@ -16,6 +16,9 @@ SETTINGS = {
     # Report the true size of an outsized block, so that adaptive execution can see skew in
     # shuffles with thousands of partitions.
     "spark.shuffle.accurateBlockSkewedFactor": "5.0",
+    # Wide tables mean thousands of column expressions; recording a call site for each dominates the
+    # time to build a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Checkpoint files go when the frames they belong to are forgotten.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
