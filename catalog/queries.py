@@ -515,7 +515,7 @@ def score_report(spark: SparkSession, sf: str) -> DataFrame:
     tables = _model_table(views)
     score = score_output(
         tables["train"].drop("target"), tables["test"], views.test_labels, source_train=views.train,
-        keys=("user_id", "product_id"), settings=QUICK,
+        keys=("user_id", "product_id"), settings=QUICK, parallelism=5,
     )
     return score.report
 

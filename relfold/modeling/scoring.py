@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from relfold.functions.columns import gini, score_round
@@ -32,14 +34,19 @@ def cross_validate(
     folds: int = FOLDS,
     settings: TreeSettings = TreeSettings(),
     exact_folds: bool = False,
+    parallelism: int = 1,
 ) -> DataFrame:
-    """(fold, auc): each fold scored by a model of the others."""
+    """(fold, auc): each fold scored by a model of the others; ``parallelism`` folds at a time."""
     placed = with_exact_folds(train, target, id_column, folds) if exact_folds else with_folds(train, id_column, folds)
-    rows = []
-    for fold in range(folds):
+
+    def score_fold(fold: int) -> tuple[int, float | None]:
         model = fit_trees(placed.where(F.col("fold") != fold), features, target, settings, balanced=True)
         scored = model.predict(placed.where(F.col("fold") == fold), [target])
-        rows.append((fold, auc_by_rank(scored, "score", target).first()["auc"]))
+        return fold, auc_by_rank(scored, "score", target).first()["auc"]
+
+    task = inheritable_thread_target(train.sparkSession)(score_fold)
+    with ThreadPool(parallelism) as pool:
+        rows = pool.map(task, range(folds))
     return train.sparkSession.createDataFrame(rows, "fold int, auc double")
 
 
@@ -55,6 +62,7 @@ def score_output(
     exclude_keys: bool = True,
     settings: TreeSettings = TreeSettings(),
     folds: int = FOLDS,
+    parallelism: int = 1,
 ) -> Score:
     """Train on the output, score its test side against the hidden labels, and report.
 
@@ -68,7 +76,7 @@ def score_output(
     test = stored(test)
     labelled = with_held_out_labels(test, labels, id_column, target)
     result = auc_by_rank(model.predict(labelled, [target]), "score", target)
-    validated = cross_validate(train, features, target, id_column, folds, settings).agg(
+    validated = cross_validate(train, features, target, id_column, folds, settings, parallelism=parallelism).agg(
         score_round(F.avg("auc")).alias("cv_mean_auc"), score_round(F.stddev_pop("auc")).alias("cv_std_auc")
     )
     sizes = train.agg(F.count(F.lit(1)).alias("train_rows")), test.agg(F.count(F.lit(1)).alias("test_rows"))

@@ -30,6 +30,10 @@ _DEFAULTS = {
 class SkewPolicy:
     """When and how the left side of a join is split by hand.
 
+    Adaptive execution splits a hot partition only if both join sides come straight from a shuffle
+    and nothing after the join needs its partitioning; a grouped right side, or a second frame on
+    the same key, rules that out. Large inputs are therefore salted here.
+
     ``support``: share of the rows that makes a key hot; at most ``1/support`` keys can be hot, which
     bounds what the driver sees. ``min_bytes``: inputs below this are left to adaptive execution.
     ``salts``: slices per hot key, by default the number of shuffle partitions.
@@ -210,6 +214,8 @@ def attach(
         if len(item.keys) != len(base_keys):
             raise ValueError(f"keys {item.keys} do not pair with {list(base_keys)}")
         item = item.pick([c for c in item.payload if c not in result.columns])
+        if not item.payload:
+            continue
         left = token_columns(result, base_keys, item.null_safe)
         _same_types(result.select(*left), item)
         # The base may be a keyed frame itself, so the right tokens get names of their own.

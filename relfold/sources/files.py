@@ -123,10 +123,14 @@ def read_csv(
     schema: str | None = None,
     sep: str | None = None,
     default_sep: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """A delimited file with a header. With ``schema`` (DDL) nothing is inferred and nothing scanned."""
+    """A delimited file with a header. With ``schema`` (DDL) nothing is inferred and nothing scanned.
+
+    ``multi_line`` allows line breaks inside quotes; such files cannot be split among tasks.
+    """
     sep = sep or detect_separator(spark, path, default_sep)
-    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", False)
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multi_line)
     texts = reader.csv(path)
     texts = texts.select(*[_cleaned(quoted(c)).alias(c) for c in texts.columns])
     if schema is None:

@@ -68,6 +68,11 @@ def test_quotes(spark, tmp_path):
     assert rows_of(read_csv(spark, path)) == [('say "hi"', 2), ("x, y", 1)]
 
 
+def test_line_breaks_in_quotes(spark, tmp_path):
+    path = put(tmp_path / "t.csv", 'a,b\n"x\ny",1\n')
+    assert rows_of(read_csv(spark, path, multi_line=True)) == [("x\ny", 1)]
+
+
 def test_a_column_without_values_is_numeric(spark, tmp_path):
     assert read_csv(spark, put(tmp_path / "t.csv", "a,b\n1,\n2,NA\n")).dtypes == [("a", "bigint"), ("b", "double")]
 
