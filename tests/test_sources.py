@@ -70,7 +70,7 @@ def test_quotes(spark, tmp_path):
 
 def test_line_breaks_in_quotes(spark, tmp_path):
     path = put(tmp_path / "t.csv", 'a,b\n"x\ny",1\n')
-    assert rows_of(read_csv(spark, path, multi_line=True)) == [("x\ny", 1)]
+    assert rows_of(read_csv(spark, path, sep=",", multi_line=True)) == [("x\ny", 1)]
 
 
 def test_a_column_without_values_is_numeric(spark, tmp_path):
