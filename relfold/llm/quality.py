@@ -14,8 +14,8 @@ from relfold.llm.common import labelled_sample, small_batches
 from relfold.llm.words import text_bytes
 
 #: Bytes compressed at a time, so that a long text is judged by the dictionary throughout, not by its own start.
-PIECE = 1024
-LEVEL = 3
+PIECE = 512
+LEVEL = 9
 
 
 def compressors(good: bytes, bad: bytes) -> list[zstandard.ZstdCompressor]:
@@ -28,7 +28,7 @@ def compressors(good: bytes, bad: bytes) -> list[zstandard.ZstdCompressor]:
 
 
 def size_difference(column: pa.Array, packers: list[zstandard.ZstdCompressor]) -> np.ndarray:
-    """(size under bad - size under good) / (their sum) for each whole text, pieces added up; 0 for an empty one."""
+    """(size under bad - size under good) / own size for each whole text, pieces added up; 0 for an empty one."""
     data, offsets = text_bytes(column)
     data = data.tobytes()
     good, bad = packers
@@ -40,8 +40,8 @@ def size_difference(column: pa.Array, packers: list[zstandard.ZstdCompressor]) -
             piece = data[at : min(at + PIECE, high)]
             sizes[0] += len(good.compress(piece))
             sizes[1] += len(bad.compress(piece))
-        if sum(sizes):
-            out[i] = (sizes[1] - sizes[0]) / sum(sizes)
+        if high > low:
+            out[i] = (sizes[1] - sizes[0]) / (high - low)
     return out
 
 
@@ -90,7 +90,7 @@ def dictionary(texts: list[bytes], size: int) -> bytes:
     return bytes(out[:size])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 800, size: int = 1 << 17) -> QualityModel | None:
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1200, size: int = 1 << 18) -> QualityModel | None:
     """Learn from at most about ``per_class`` labelled rows of either class that are not held out (a repeatable
     draw); None unless both classes occur. Two thirds fill dictionaries of ``size`` bytes, the others calibrate."""
     rows = labelled_sample(docs, labels, label, per_class)
@@ -103,7 +103,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_
     checks = rows.where("part >= 0.66").select("label", "weight", "doc_id", difference(F.col("text"), *parts).alias("d")).collect()
     checks.sort(key=lambda r: (r["d"], r["doc_id"]))
     if not checks:
-        return QualityModel(*parts, np.array([-1.0, 1.0]), np.array([0.0, 1.0]))
+        return QualityModel(*parts, np.array([-0.1, 0.1]), np.array([0.0, 1.0]))
     d, y, w = (np.array([r[c] for r in checks], float) for c in ("d", "label", "weight"))
     return QualityModel(*parts, *calibrate(d, y, w))
 
