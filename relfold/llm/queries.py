@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relfold.llm.common import held_out
+from relfold.llm.common import held_out, small_batches
 from relfold.llm.curriculum import mixed
 from relfold.llm.exact_dedup import exact_duplicates
 from relfold.llm.language import fit_language, predict_language
+from relfold.llm.near import near_duplicates
 from relfold.llm.quality import fit_quality, with_quality
 from relfold.llm.toxicity import fit_toxicity, with_toxicity
-from relfold.llm.common import small_batches
+from relfold.llm.vantage import nearest_neighbours
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +49,23 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_language": op4_language,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_quality": op7_quality,
+    "op8_ngram_join": op8_ngram_join,
     "op9_mixing": op9_mixing,
+    "op10_neighbours": op10_neighbours,
 }
 
 ORACLE = {
