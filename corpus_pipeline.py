@@ -1,18 +1,40 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next one.
+
+Null, empty and repeated rows are defined by the operators; every stage works on all rows its predecessor kept.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relfold.llm.common import written
+from relfold.llm.common import free_name, written
 from relfold.llm.curriculum import curriculum
 from relfold.llm.language import UNDETERMINED, fit_language, with_language
+from relfold.llm.near import one_of_each
+from relfold.llm.pieces import encoded, load_pieces
+from relfold.llm.queries import VOCABULARY
+from relfold.llm.templates import without_repeated_lines
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those that are null or hold no letter go."""
+    """Documents whose language can be told: those without a letter, and null ones, are rejected."""
     found, name, _ = with_language(docs, fit_language(docs))
-    return found.where(f"`{name}` <> '{UNDETERMINED}'").select(*[f"`{c}`" for c in docs.columns])
+    return found.where(F.col(name) != UNDETERMINED).select(*[f"`{c}`" for c in docs.columns])
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines of recurring templates; n_chars follows. Those with nothing left go."""
+    dropped = free_name(docs, "dropped")
+    left = without_repeated_lines(docs, count=dropped)
+    left = left.where((F.col(dropped) == 0) | (F.col("text") != ""))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text")).otherwise(F.col("n_chars")))
+    return left.select(*[f"`{c}`" for c in docs.columns])
+
+
+def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near duplicates."""
+    return one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +42,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return curriculum(docs)
 
 
-STAGES = [("language", identify), ("mixing", mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the ids of their pieces."""
+    return encoded(docs, load_pieces(VOCABULARY), name=free_name(docs, "ids"))
+
+
+STAGES = [("language", identify), ("lines", drop_lines), ("near", join_near), ("mixing", mix), ("pieces", encode)]
 
+#: Models, MinHash and segmentation have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -25,11 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The frame written once as a Parquet table in the shared folder and read back: its lineage ends
     there, so a lost executor costs no more than the reading. The cluster clears that folder."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,10 +9,16 @@ from relfold.llm.curriculum import mixed
 from relfold.llm.exact_dedup import exact_duplicates
 from relfold.llm.language import fit_language, predict_language
 from relfold.llm.near import near_duplicates
+from relfold.llm.pieces import load_pieces, round_trip
 from relfold.llm.quality import fit_quality, with_quality
+from relfold.llm.shards import training_shards
+from relfold.llm.templates import without_repeated_lines
 from relfold.llm.toxicity import fit_toxicity, with_toxicity
 from relfold.llm.vantage import nearest_neighbours
 
+#: A public vocabulary; any SentencePiece model file will do.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,6 +31,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_repeated_lines(docs, count="dropped").select("doc_id", "dropped", "text")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), load_pieces(VOCABULARY))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     small_batches(spark)
@@ -38,6 +53,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_shards(table(spark, sf_dir, "documents"), load_pieces(VOCABULARY))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -60,8 +79,11 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_line_templates": op2_line_templates,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_language": op4_language,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_token_shards": op6_token_shards,
     "op7_quality": op7_quality,
     "op8_ngram_join": op8_ngram_join,
     "op9_mixing": op9_mixing,
