@@ -71,7 +71,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for c, value in rates.items():
         rate = F.when(F.col("label") == c, value).otherwise(rate)
     drawn = marks.where(F.col("draw") < rate).select(
-        "doc_id", "label", (1 / rate).alias("weight"), fraction(F.col("doc_id"), F.lit("part")).alias("part")
+        "doc_id", "label", F.try_divide(F.lit(1.0), rate).alias("weight"), fraction(F.col("doc_id"), F.lit("part")).alias("part")
     )
     # The drawn ids are bounded by per_class, whatever the table's size.
     return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")

@@ -63,8 +63,8 @@ def source_targets(
     level = (wanted - filled) / open_weight  # tokens per weight if all sources before this one stop
     stops = F.col("level") * F.col("weight") >= F.col("most")
     levels = ranked.withColumn("level", level).withColumn("stops", stops)
-    # The first source that does not stop sets the level for itself and all after it.
-    final = F.min(F.when(~F.col("stops"), F.col("level"))).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    # The first source that does not stop sets the level for itself and all after it, whose own levels are lower.
+    final = F.max(F.when(~F.col("stops"), F.col("level"))).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     # A source of size 0 has nothing to give.
     target = F.when(F.col("stops") | F.col("final").isNull(), F.col("most")).otherwise(F.least(F.col("final") * F.col("weight"), F.col("most")))
     return levels.withColumn("final", final).select("source", "source_size", target.alias("target"), "start", "end")

@@ -113,7 +113,7 @@ ORACLE = {
                 / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as level
             from w window before as (order by most / weight, source is null, source rows between unbounded preceding and 1 preceding)
         ),
-        f as (select *, min(case when level * weight < most then level end) over (order by most / weight, source is null, source) as final from l),
+        f as (select *, max(case when level * weight < most then level end) over (order by most / weight, source is null, source) as final from l),
         t as (
             select source, source_size,
                 case when level * weight >= most or final is null then most else least(final * weight, most) end as target
