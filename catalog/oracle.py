@@ -241,6 +241,25 @@ SELECT row_id, target, {expression} AS {name} FROM (
          count(*) OVER (PARTITION BY target) AS class_rows FROM train)"""
 
 
+# A label that follows from one feature: the chance that a positive has the larger value of it is the AUC that a model
+# must reach. The names are those of the numeric features; there is one text feature besides.
+_PLANTED = f""",
+planted AS (
+  SELECT row_id, pair_band, CAST(pair_band >= 8 AS INTEGER) AS y
+  FROM (SELECT row_id, CAST({_bucket('row_id', 9)} % 12 AS INTEGER) AS pair_band FROM pairs)
+),
+per_band AS (SELECT pair_band, sum(y) AS pos, sum(1 - y) AS neg FROM planted GROUP BY 1),
+planted_auc AS (
+  SELECT round(sum(a.pos * b.neg * CASE WHEN a.pair_band > b.pair_band THEN 1.0e0 WHEN a.pair_band = b.pair_band THEN 0.5e0 ELSE 0.0e0 END)
+               / sum(a.pos * 1.0e0 * b.neg), 6) AS auc
+  FROM per_band a, per_band b
+),
+named AS (
+  SELECT unnest(['pair_band', 'product_items', 'product_spread', 'product_users', 'products__price', 'user_items',
+                 'user_position', 'user_product_order_count', 'user_product_reorder_rate', 'user_products']) AS feature
+)
+"""
+
 ORACLE: dict[str, str] = {
     "column_profile": f"WITH {_PROFILE} SELECT table_name, column_name, row_count, non_null_count, distinct_count, non_null_ratio, unique_ratio FROM profile",
     "table_profile": f"""WITH {_PROFILE}
@@ -432,4 +451,18 @@ LEFT JOIN ({_mode('orders_prior', 'user_id', 'order_dow')}) d ON u.user_id = d.u
 LEFT JOIN ({_mode('orders_prior', 'user_id', 'order_hour_of_day')}) h ON u.user_id = h.user_id
 LEFT JOIN (SELECT user_id, count(*) AS n, CAST(count(DISTINCT product_id) AS BIGINT) AS total_distinct_products,
                   round(avg(reordered), 6) AS reordered_share FROM user_items GROUP BY 1) i ON u.user_id = i.user_id""",
+    "rank_features": _VIEWS + _PLANTED + """
+SELECT feature, CASE WHEN feature = 'pair_band' AND pure THEN 1.0e0 ELSE 0.0e0 END AS importance
+FROM named, (SELECT bool_and(low = high) AS pure FROM (SELECT min(y) AS low, max(y) AS high FROM planted GROUP BY pair_band))
+ORDER BY importance DESC, feature LIMIT 5""",
+    "top5_retrain": _VIEWS + _PLANTED + """
+SELECT auc AS validation_auc_all, auc AS validation_auc_selected,
+       (SELECT string_agg(feature, ',' ORDER BY feature <> 'pair_band', feature) FROM (
+          SELECT feature FROM named ORDER BY feature <> 'pair_band', feature LIMIT 5)) AS selected
+FROM planted_auc""",
+    "score_report": _VIEWS + _PLANTED + """
+SELECT auc, 2 * auc - 1 AS gini, auc AS primary_score, auc AS cv_mean_auc, 0.0e0 AS cv_std_auc,
+       CAST((SELECT count(*) + 1 FROM named) AS INTEGER) AS n_features,
+       (SELECT count(*) FROM train) AS train_rows, (SELECT count(*) FROM test) AS test_rows
+FROM planted_auc""",
 }

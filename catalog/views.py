@@ -6,6 +6,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from relfold.functions.ordered import with_position
 from relfold.modeling.split import hash_fraction
@@ -81,13 +82,8 @@ class Views:
         days = F.unix_date(F.to_date("order_date")).cast("decimal(38,0)")
         order = F.col("order_id").cast("decimal(38,0)")
         place = days * F.expr("1e28BD") + order * F.expr("1e9BD") + F.col("add_to_cart_order")
-        firsts = (
-            self._items.select("user_id", "product_id", place.alias("place"))
-            .groupBy("user_id", "product_id")
-            .agg(F.min("place").alias("first_place"))
-        )
-        joined = attach(self._items, ["user_id", "product_id"], [keyed(firsts, ["user_id", "product_id"], null_safe=False)])
-        return joined.withColumn("reordered", F.when(place == F.col("first_place"), 0).otherwise(1)).drop("first_place")
+        first = F.min(place).over(Window.partitionBy("user_id", "product_id"))
+        return self._items.withColumn("reordered", F.when(place == first, 0).otherwise(1))
 
     @cached_property
     def order_items(self) -> DataFrame:

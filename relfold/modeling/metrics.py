@@ -11,29 +11,26 @@ from pyspark.sql.window import Window
 from relfold.functions.columns import gini, score_round
 from relfold.session import stored
 
+#: Slices of the score range; any number gives the same result.
+SLICES = 1024
 
 
-def _default_slices(df: DataFrame) -> int:
-    """A few slices per shuffle partition, within what a quantile sketch can place well."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(4 * partitions, 16), 8192)
-
-
-def auc_by_rank(df: DataFrame, score: str, label: str, slices: int | None = None) -> DataFrame:
+def auc_by_rank(df: DataFrame, score: str, label: str, slices: int = SLICES) -> DataFrame:
     """One row (auc, gini, positives, negatives): the chance that a positive outranks a negative, ties
-    counting half. Null when one class is absent.
+    counting half. Null when one class is absent. A row without a label, or with a null or NaN score, makes the
+    job fail: it could only be left out.
 
     Rows are first reduced to one per distinct score. The running count of negatives is then taken in
     two steps, over slices of the score range and inside each slice, so no task has to order all
     scores; the slice totals are at most ``slices`` rows.
     """
-    positive = F.col(label).eqNullSafe(F.lit(1))
-    per_score = df.where(F.col(label).isNotNull()).select(
-        F.col(score).cast("double").alias("score"), positive.alias("positive")
-    ).groupBy("score").agg(F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
+    value, known = F.col(score).cast("double"), F.col(label).isNotNull()
+    usable = value.isNotNull() & ~F.isnan(value)
+    value = F.when(usable, value).otherwise(F.raise_error(f"{score} is null or NaN").cast("double"))
+    positive = F.when(known, F.col(label) == 1).otherwise(F.raise_error(f"{label} is null").cast("boolean"))
+    per_score = df.select(value.alias("score"), positive.alias("positive")).groupBy("score").agg(F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
     # Read twice, for the slice borders and for the count; scores may be costly predictions.
     per_score = stored(per_score)
-    slices = slices or _default_slices(df)
     sliced = _slice_scores(per_score, slices)
     totals = sliced.groupBy("slice").agg(F.sum("neg").alias("slice_neg"))
     earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

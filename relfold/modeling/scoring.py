@@ -33,10 +33,13 @@ def cross_validate(
     id_column: str = "row_id",
     folds: int = FOLDS,
     settings: TreeSettings = TreeSettings(),
-    exact_folds: bool = False,
+    exact_folds: bool = True,
     parallelism: int = 1,
 ) -> DataFrame:
-    """(fold, auc): each fold scored by a model of the others; ``parallelism`` folds at a time."""
+    """(fold, auc): each fold scored by a model of the others; ``parallelism`` folds at a time.
+
+    Folds hold equal shares of every class (``exact_folds``), or follow from the id alone. A fold without one of
+    the classes has no AUC and is an error: it could only be left out of the mean."""
     placed = with_exact_folds(train, target, id_column, folds) if exact_folds else with_folds(train, id_column, folds)
 
     def score_fold(fold: int) -> tuple[int, float | None]:
@@ -47,6 +50,9 @@ def cross_validate(
     task = inheritable_thread_target(train.sparkSession)(score_fold)
     with ThreadPool(parallelism) as pool:
         rows = pool.map(task, range(folds))
+    without = [fold for fold, auc in rows if auc is None]
+    if without:
+        raise ValueError(f"folds {without} hold one class only; use fewer folds")
     return train.sparkSession.createDataFrame(rows, "fold int, auc double")
 
 

@@ -24,12 +24,16 @@ class Selection:
     auc_selected: float | None
     importances: DataFrame
     outputs: dict[str, DataFrame]
+    asked_rounds: int = 0
+    kept_rounds_all: int = 0
+    kept_rounds_selected: int = 0
 
     def summary(self) -> DataFrame:
         spark = self.importances.sparkSession
         return spark.createDataFrame(
-            [(self.auc_all, self.auc_selected, self.selected)],
-            "validation_auc_all double, validation_auc_selected double, selected array<string>",
+            [(self.auc_all, self.auc_selected, self.selected, self.asked_rounds, self.kept_rounds_all, self.kept_rounds_selected)],
+            "validation_auc_all double, validation_auc_selected double, selected array<string>, "
+            "asked_rounds int, kept_rounds_all int, kept_rounds_selected int",
         )
 
 
@@ -113,4 +117,6 @@ def select_features(
     if output_folder:
         for name, df in outputs.items():
             write_table(df, f"{output_folder.rstrip('/')}/{name}.{output_format}", output_format)
-    return Selection(selected, auc_all, auc_selected, importances, outputs)
+    return Selection(
+        selected, auc_all, auc_selected, importances, outputs, model.asked, model.kept, smaller.kept
+    )

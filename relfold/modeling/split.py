@@ -46,7 +46,8 @@ def with_class_position(df: DataFrame, target: str, id_column: str, seed: int =
     hashed = df.withColumn("__h", hash_number(F.col(id_column), seed))
     sliced = hashed.withColumn("__slice", F.floor(F.col("__h") / F.lit(_RANGE // slices)).cast("int"))
     label = F.col(target).cast("string")
-    sliced = sliced.withColumn("__class", F.coalesce(label, F.lit("")))
+    # A null label is a class of its own, apart from the empty text.
+    sliced = sliced.withColumn("__class", F.coalesce(F.concat(F.lit("="), label), F.lit("")))
     counts = sliced.groupBy("__class", "__slice").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("__class").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

@@ -7,22 +7,22 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from relfold.functions.columns import MISSING_TEXT, category, fill_missing, quoted, split_columns
+from relfold.functions.columns import fill_missing, quoted, split_columns
 from relfold.operators.aggregates import Measure, aggregate_by_key
-from relfold.operators.keyed import KeyedFrame, attach
-from relfold.session import stored
+from relfold.operators.keyed import KeyedFrame, attach, keyed
+from relfold.session import shared_folder, stored
 
 # Size of the model.
 ITERATIONS = 300
 LEARNING_RATE = 0.05
 DEPTH = 6
 SEED = 42
-MAX_CATEGORIES = 256
-MAX_CLASSES = 1000
+#: Parts of the training rows for the label means of texts: a row's value comes from the other parts.
+MEAN_FOLDS = 5
 
 
 @dataclass(frozen=True)
@@ -31,119 +31,95 @@ class TreeSettings:
     learning_rate: float = LEARNING_RATE
     depth: int = DEPTH
     seed: int = SEED
-    max_categories: int = MAX_CATEGORIES
-
-
-def class_counts(df: DataFrame, target: str, max_classes: int = MAX_CLASSES) -> dict:
-    """Rows per class. A label with more classes than a classifier can have is refused."""
-    counts = df.groupBy(quoted(target).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        raise ValueError(f"{target!r} has more than {max_classes} values and is no class label")
-    return {r["label"]: r["n"] for r in rows}
 
 
 def with_class_weights(df: DataFrame, target: str, name: str = "weight") -> DataFrame:
-    """Weight = rows of the largest class / rows of the own class.
-
-    The few class counts go into the plan as constants: a join on the label would send nearly all
-    rows to one task.
-    """
-    counts = class_counts(df, target)
-    largest = max(counts.values(), default=1)
-    weight = F.lit(None).cast("double")
-    for label, n in counts.items():
-        weight = F.when(quoted(target).eqNullSafe(F.lit(label)), F.lit(largest / n)).otherwise(weight)
-    return df.withColumn(name, weight)
+    """Weight = rows of the largest class / rows of the own class, for any number of classes."""
+    counts = df.groupBy(quoted(target).alias("__label")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = stored(counts)
+    largest = counts.agg(F.max("__n")).first()[0] or 1
+    weights = counts.select("__label", (F.lit(float(largest)) / F.col("__n")).alias(name))
+    return attach(df, [target], [keyed(weights, ["__label"], [name])])
 
 
 @dataclass
 class FeatureEncoder:
     """Turns feature columns into one vector, learned from training rows.
 
-    Numbers get -999 for null. Texts with few values become category numbers. Texts with more values
-    than a tree can split become the smoothed mean label of their value; a training row is left out
-    of its own mean.
+    Numbers get -999 for null. A text becomes the smoothed mean label of its value, whatever the number of values.
+    A training row gets the mean of the other parts of the training rows; parts follow from a hash of the features,
+    so neither a row's own label nor those of rows like it take part.
     """
 
     features: list[str]
     target: str
     numeric: list[str] = field(default_factory=list)
-    indexed: list[str] = field(default_factory=list)
-    averaged: list[str] = field(default_factory=list)
-    max_bins: int = 32
-    indexer: StringIndexerModel | None = None
+    texts: list[str] = field(default_factory=list)
     means: dict[str, KeyedFrame] = field(default_factory=dict)
-    prior: float = 0.0
+    #: (rows, sum of labels) of each part.
+    parts: list[tuple[float, float]] = field(default_factory=list)
 
-    def fit(self, train: DataFrame, max_categories: int = MAX_CATEGORIES) -> "FeatureEncoder":
-        numeric, texts = split_columns(train.select(*[quoted(c) for c in self.features]))
-        self.numeric = numeric
-        if not texts:
+    def fit(self, train: DataFrame) -> "FeatureEncoder":
+        self.numeric, self.texts = split_columns(train.select(*[quoted(c) for c in self.features]))
+        if not self.texts:
             return self
-        values = train.select(
-            *[F.coalesce(category(quoted(c)), F.lit(MISSING_TEXT)).alias(c) for c in texts],
-            quoted(self.target).cast("double").alias("__y"),
-        )
-        sizes = values.agg(
-            *[F.approx_count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(texts)],
-            F.avg("__y").alias("prior"),
-        ).first()
-        self.prior = sizes["prior"] or 0.0
-        # The estimate may be 5% off; leave room so that the bins always suffice.
-        few = [c for i, c in enumerate(texts) if sizes[f"n{i}"] <= max_categories // 2]
-        self.averaged = [c for c in texts if c not in few]
-        self.indexed = few
-        if few:
-            plain = values.select(*[quoted(c).alias(f"__c{i}") for i, c in enumerate(few)])
-            self.indexer = StringIndexer(
-                inputCols=plain.columns,
-                outputCols=[f"__x{i}" for i in range(len(few))],
-                handleInvalid="keep",
-                stringOrderType="frequencyDesc",
-            ).fit(plain)
-            self.max_bins = max(32, 1 + max(len(labels) for labels in self.indexer.labelsArray))
-        for name in self.averaged:
-            measures = [Measure("size", "__n"), Measure("sum", "__sum", "__y")]
-            self.means[name] = aggregate_by_key(values.select(quoted(name), "__y"), [name], measures, null_safe=False)
+        filled = fill_missing(train.select(*[quoted(c) for c in self.features], quoted(self.target).cast("double").alias("__y")), self.features)
+        values = filled.select(*[quoted(c) for c in self.texts], "__y", self._part().alias("__part"))
+        sums = {r["__part"]: r for r in values.groupBy("__part").agg(F.count("__y").alias("n"), F.sum("__y").alias("s")).collect()}
+        self.parts = [(sums[k]["n"], sums[k]["s"] or 0.0) if k in sums else (0, 0.0) for k in range(MEAN_FOLDS)]
+        measures = []
+        for k in range(MEAN_FOLDS):
+            measures += [Measure("count", f"__n{k}", "__y", where=f"__part = {k}"), Measure("sum", f"__s{k}", "__y", where=f"__part = {k}")]
+        for name in self.texts:
+            self.means[name] = aggregate_by_key(values.select(quoted(name), "__y", "__part"), [name], measures, null_safe=False)
         return self
 
+    def _part(self) -> Column:
+        """The part of a filled row: equal features, equal part."""
+        return F.pmod(F.xxhash64(*[quoted(c) for c in self.features]), F.lit(MEAN_FOLDS)).cast("int")
+
+    def _mean(self, own: Column) -> Column:
+        """Mean label of a value over the parts that are not the row's own (null: over all)."""
+        zero = F.lit(0.0)
+
+        def over(pick) -> Column:
+            return sum((F.when(own.eqNullSafe(F.lit(k)), zero).otherwise(F.coalesce(pick(k).cast("double"), zero)) for k in range(MEAN_FOLDS)), zero)
+
+        rows, labels = over(lambda k: F.col(f"__n{k}")), over(lambda k: F.col(f"__s{k}"))
+        prior = F.coalesce(F.try_divide(over(lambda k: F.lit(self.parts[k][1])), over(lambda k: F.lit(self.parts[k][0]))), zero)
+        return (labels + prior) / (rows + 1)
+
     def transform(self, df: DataFrame, keep: Sequence[str] = (), learned: Column | None = None) -> DataFrame:
         """``keep`` columns plus ``features`` as a vector. ``learned`` marks the rows of ``df`` that the
         encoder was fitted on."""
-        if learned is not None:
-            df = df.withColumn("__learned", learned)
-        columns = [*keep, *self.features, *([self.target, "__learned"] if learned is not None else [])]
-        filled = fill_missing(df.select(*[quoted(c) for c in dict.fromkeys(columns)]), self.features)
-        texts = {f"__c{i}": quoted(c) for i, c in enumerate(self.indexed)}
-        frame = filled.withColumns(texts) if texts else filled
-        if self.indexer is not None:
-            frame = self.indexer.transform(frame)
-        for name in self.averaged:
+        frame = df.withColumn("__learned", F.lit(False) if learned is None else learned)
+        columns = dict.fromkeys([*keep, *self.features, "__learned"])
+        # Columns to keep may be features, too; those stay as they are.
+        frame = frame.select(*[quoted(c) for c in columns], F.struct(*[quoted(c) for c in keep], F.lit(0).alias("__0")).alias("__kept"))
+        frame = fill_missing(frame, self.features)
+        if self.texts:
+            frame = frame.withColumn("__own", F.when(F.col("__learned"), self._part()))
+        for i, name in enumerate(self.texts):
             frame = attach(frame, [name], [self.means[name]])
-            n = F.coalesce(F.col("__n"), F.lit(0))
-            total = F.coalesce(F.col("__sum"), F.lit(0.0))
-            if learned is not None:
-                own = F.coalesce(quoted(self.target).cast("double"), F.lit(0.0))
-                n = F.when(F.col("__learned"), n - 1).otherwise(n)
-                total = F.when(F.col("__learned"), total - own).otherwise(total)
-            frame = frame.withColumn(f"__mean_{self.averaged.index(name)}", (total + self.prior) / (n + 1)).drop("__n", "__sum")
-        inputs = []
+            frame = frame.withColumn(f"__mean_{i}", self._mean(F.col("__own")))
+            frame = frame.drop(*[f"__{c}{k}" for k in range(MEAN_FOLDS) for c in "ns"])
+        inputs = {}
         for i, name in enumerate(self.features):
-            if name in self.indexed:
-                inputs.append(f"__x{self.indexed.index(name)}")
-                continue
-            source = f"__mean_{self.averaged.index(name)}" if name in self.averaged else name
-            frame = frame.withColumn(f"__f{i}", quoted(source).cast("double"))
-            inputs.append(f"__f{i}")
-        vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(frame)
-        return vectors.select(*[quoted(c) for c in keep], "features")
+            source = f"__mean_{self.texts.index(name)}" if name in self.texts else name
+            inputs[f"__f{i}"] = quoted(source).cast("double")
+        frame = frame.withColumns(inputs)
+        vectors = VectorAssembler(inputCols=list(inputs), outputCol="__vector").transform(frame)
+        return vectors.select(*[F.col("__kept")[c].alias(c) for c in keep], F.col("__vector").alias("features"))
 
 
 @dataclass(frozen=True)
 class TreeModel:
+    """``asked`` rounds were run; ``kept`` of them did best on the holdout (all, if there is none)."""
+
     encoder: FeatureEncoder
     trees: GBTClassificationModel
+    asked: int
+    kept: int
 
     def predict(self, df: DataFrame, keep: Sequence[str], name: str = "score") -> DataFrame:
         """``keep`` columns plus the probability of class 1."""
@@ -152,9 +128,9 @@ class TreeModel:
         return scored.select(*[quoted(c) for c in keep], vector_to_array("probability")[1].alias(name))
 
     def importances(self, spark: SparkSession) -> DataFrame:
-        """(feature, importance), one row per feature."""
+        """(feature, importance), one row per feature; six places, as what lies below is rounding of sums."""
         values = self.trees.featureImportances.toArray()
-        rows = [(name, float(value)) for name, value in zip(self.encoder.features, values)]
+        rows = [(name, round(float(value), 6)) for name, value in zip(self.encoder.features, values)]
         return spark.createDataFrame(rows, "feature string, importance double")
 
 
@@ -171,14 +147,16 @@ def fit_trees(
     holdout: str | None = None,
     balanced: bool = False,
 ) -> TreeModel:
-    """Boosted trees on the rows outside ``holdout``; the holdout decides when boosting stops.
+    """Boosted trees on the rows outside ``holdout``, all rounds; the holdout then picks the round with the least
+    loss, and that prefix of the rounds is the model.
 
-    The encoded rows are written once, as boosting reads them in every round.
+    The encoded rows are written once, as boosting reads them in every round. Rounds depend only on those before,
+    so the prefix is had by running so many rounds again with the same seed.
     """
     if not features:
         raise ValueError("there are no features to train on")
     fitted_on = train.where(~F.col(holdout)) if holdout else train
-    encoder = FeatureEncoder(list(features), target).fit(fitted_on, settings.max_categories)
+    encoder = FeatureEncoder(list(features), target).fit(fitted_on)
     rows = with_class_weights(train, target, "__weight") if balanced else train
     rows = rows.withColumn("__label", quoted(target).cast("double"))
     keep = ["__label", *(["__weight"] if balanced else []), *([holdout] if holdout else [])]
@@ -190,14 +168,22 @@ def fit_trees(
         maxIter=settings.iterations,
         stepSize=settings.learning_rate,
         maxDepth=settings.depth,
-        maxBins=encoder.max_bins,
         seed=settings.seed,
     )
-    if holdout:
-        estimator = estimator.setValidationIndicatorCol(holdout)
     if balanced:
         estimator = estimator.setWeightCol("__weight")
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # boosting cuts its lineage there every few rounds
+        context.setCheckpointDir(shared_folder(train.sparkSession))
     try:
-        return TreeModel(encoder, estimator.fit(vectors))
+        mine = vectors.where(~F.col(holdout)) if holdout else vectors
+        trees = estimator.fit(mine)
+        kept = settings.iterations
+        if holdout:
+            losses = trees.evaluateEachIteration(vectors.where(F.col(holdout)))
+            kept = 1 + min(range(len(losses)), key=losses.__getitem__)
+            if kept < len(losses):
+                trees = estimator.setMaxIter(kept).fit(mine)
+        return TreeModel(encoder, trees, settings.iterations, kept)
     finally:
         vectors.unpersist()

@@ -27,6 +27,7 @@ from relfold.functions.columns import (
 )
 from relfold.operators.keyed import KeyedFrame, token_names, with_tokens
 
+# Names of aggregations, which also end the names of output columns.
 NUMERIC_AGGREGATIONS = ("count", "mean", "max", "min", "sum", "std", "nunique")
 CATEGORICAL_AGGREGATIONS = ("nunique", "most_frequent", "top_k_frequency", "top_k_one_hot")
 DEFAULT_TOP_K = 3

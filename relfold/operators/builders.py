@@ -79,7 +79,7 @@ def apply_builders(
         except Exception as error:  # a builder is foreign code and may raise anything
             if on_error == "raise":
                 raise
-            statuses.append((i, builder.title, "builder", ",".join(keys), FAILED, str(error).splitlines()[0]))
+            statuses.append((i, builder.title, "builder", ",".join(keys), FAILED, (str(error).splitlines() or [type(error).__name__])[0]))
             continue
         current = updated
         applied += 1

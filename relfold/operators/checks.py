@@ -50,26 +50,24 @@ def _row(check: str, subject: str, passed: Column, detail: Column) -> Column:
 
 
 def data_checks(name: str, base: DataFrame | None, output: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Checks over the rows, from one aggregation per table: not empty, no all-null feature, and the
-    row count of the base kept."""
-    total = output.agg(
+    """Checks over the rows: not empty, no all-null feature, and the row count of the base kept. The output is read
+    once for all of them, and the base once for its count."""
+    values = [f"n_{i}" for i in range(len(features))]
+    counts = output.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        *[F.count(present(output, c)).alias(f"n_{i}") for i, c in enumerate(features)],
+        F.lit(None).cast("bigint").alias("before"),
+        *[F.count(present(output, c)).alias(n) for n, c in zip(values, features)],
     )
+    if base is not None:
+        empty = F.lit(None).cast("bigint")
+        of_base = base.agg(F.count(F.lit(1)).alias("before"))
+        counts = counts.unionByName(of_base.select(empty.alias("n_rows"), "before", *[empty.alias(n) for n in values]))
+        counts = counts.agg(*[F.max(c).alias(c) for c in counts.columns])  # two rows into one
     rows = [_row("not_empty", name, F.col("n_rows") > 0, F.col("n_rows"))]
-    rows += [
-        _row("feature_has_values", f"{name}.{c}", F.col(f"n_{i}") > 0, F.col(f"n_{i}")) for i, c in enumerate(features)
-    ]
-    checks = total.select(F.inline(F.array(*rows)))
-    if base is None:
-        return checks
-    counts = base.select(F.lit(1).alias("before"), F.lit(0).alias("after")).unionAll(
-        output.select(F.lit(0).alias("before"), F.lit(1).alias("after"))
-    ).agg(F.coalesce(F.sum("before"), F.lit(0)).alias("before"), F.coalesce(F.sum("after"), F.lit(0)).alias("after"))
-    kept = counts.select(
-        F.inline(F.array(_row("row_count_kept", name, F.col("before") == F.col("after"), F.col("after") - F.col("before"))))
-    )
-    return checks.unionAll(kept)
+    rows += [_row("feature_has_values", f"{name}.{c}", F.col(n) > 0, F.col(n)) for n, c in zip(values, features)]
+    if base is not None:
+        rows.append(_row("row_count_kept", name, F.col("before") == F.col("n_rows"), F.col("n_rows") - F.col("before")))
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def output_checks(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from relfold.functions.columns import field_of, is_integral, quoted
 from relfold.session import stored
@@ -28,21 +28,23 @@ _DEFAULTS = {
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """When and how the left side of a join is split by hand.
+    """How the left side of a join is split by hand.
 
     Adaptive execution splits a hot partition only if both join sides come straight from a shuffle
     and nothing after the join needs its partitioning; a grouped right side, or a second frame on
-    the same key, rules that out. Large inputs are therefore salted here.
+    the same key, rules that out. Hot keys of the left side are therefore salted here, at every size of input.
 
-    ``support``: share of the rows that makes a key hot; at most ``1/support`` keys can be hot, which
-    bounds what the driver sees. ``min_bytes``: inputs below this are left to adaptive execution.
-    ``salts``: slices per hot key, by default the number of shuffle partitions.
+    ``share``: part of the rows that makes a key hot, by default 1 / (4 * shuffle partitions), so that what is not
+    split is a quarter of an even partition at most. At most 1 / share keys can be hot. ``salts``: slices per hot
+    key, by default the number of shuffle partitions.
     """
 
-    support: float = 0.01
-    min_bytes: int = 8 << 30
+    share: float | None = None
     salts: int | None = None
 
+    def share_in(self, spark: SparkSession) -> float:
+        return self.share or 1 / (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
 
 DEFAULT_SKEW = SkewPolicy()
 
@@ -160,22 +162,30 @@ def guarded(df: DataFrame, keys: Sequence[str], null_safe: bool = True) -> Keyed
     return KeyedFrame(checked.drop("__rows"), tuple(keys), null_safe)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Estimated size of what the plan reads (sum over its leaves); very large where unknown."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def hot_hashes(df: DataFrame, key_sets: dict[str, list[Column]], support: float) -> dict[str, list[int]]:
-    """Hashes of keys that may hold more than ``support`` of the rows, in one map-side pass.
+def hot_hashes(df: DataFrame, key_sets: dict[str, list[Column]], share: float) -> dict[str, list[int]]:
+    """Hashes of keys that hold more than ``share`` of the rows.
 
-    ``freqItems`` returns every frequent item and at most 1/support items per column. A false hit
-    only splits a key that need not be split, and a hash collision splits both keys: results do not
-    depend on what is found here.
+    A map-side pass (``freqItems``) finds at most 1/share candidates per column, every frequent one among them;
+    a second pass counts these alone. A hash collision splits both keys: results do not depend on what is found.
     """
     hashes = df.select(*[F.xxhash64(*cols).alias(name) for name, cols in key_sets.items()])
-    row = hashes.stat.freqItems(list(key_sets), support).first()
-    return {name: [int(v) for v in (row[f"{name}_freqItems"] or [])] for name in key_sets}
+    row = hashes.stat.freqItems(list(key_sets), share).first()
+    maybe = {name: row[f"{name}_freqItems"] for name in key_sets if row[f"{name}_freqItems"]}
+    if not maybe:
+        return {name: [] for name in key_sets}
+    wanted = F.col("set").isNull()
+    for name, found in maybe.items():
+        wanted = wanted | ((F.col("set") == name) & F.col("hash").isin(*found))
+    listed = [F.struct(F.lit(name).alias("set"), F.col(name).alias("hash")) for name in maybe]
+    every = F.struct(F.lit(None).cast("string").alias("set"), F.lit(0).cast("bigint").alias("hash"))
+    counted = hashes.select(F.inline(F.array(every, *listed))).where(wanted).groupBy("set", "hash").count().collect()
+    total = next((r["count"] for r in counted if r["set"] is None), 0)
+    return {name: [r["hash"] for r in counted if r["set"] == name and r["count"] > share * total] for name in key_sets}
+
+
+def _found_hot(hashed: Column, hot: Sequence[int]) -> Column:
+    """Whether a hash is among the hot ones, at most 1 / share of them: one literal array, looked up by hash."""
+    return hashed.isin(*hot)
 
 
 def _salt_source(df: DataFrame) -> Column:
@@ -200,14 +210,14 @@ def attach(
     if not frames:
         return base
     order = list(base.columns)
-    if hot is None and input_bytes(base) >= skew.min_bytes:
-        cols = token_columns(base, base_keys)
-        hot = hot_hashes(base, {"h": cols}, skew.support)["h"]
-    salts = skew.salts or int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = base.sparkSession
+    if hot is None:
+        hot = hot_hashes(base, {"h": token_columns(base, base_keys)}, skew.share_in(spark))["h"]
+    salts = skew.salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     split = bool(hot) and salts > 1
     result = base
     if split:
-        is_hot = F.xxhash64(*token_columns(base, base_keys)).isin(list(hot))
+        is_hot = _found_hot(F.xxhash64(*token_columns(base, base_keys)), hot)
         salt = F.when(is_hot, F.pmod(_salt_source(base), F.lit(salts))).otherwise(F.lit(0)).cast("int")
         result = base.withColumn("__salt", salt)
     for item in frames:
@@ -249,7 +259,7 @@ def _replicas(item: KeyedFrame, hot: Sequence[int], salts: int) -> Column:
     tokens = [F.col(f"__key{i}") for i in range(n)]
     # Same hash input as the base side: values then null flags.
     flags = [F.col(f"__null{i}") if item.null_safe else F.isnull(F.col(f"__key{i}")) for i in range(n)]
-    is_hot = F.xxhash64(*tokens, *flags).isin(list(hot))
+    is_hot = _found_hot(F.xxhash64(*tokens, *flags), hot)
     return F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
 
 
@@ -260,14 +270,11 @@ def attach_grouped(
 ) -> DataFrame:
     """``attach`` for several base keys; hot keys of all of them are found in one pass."""
     sets = {f"h{i}": token_columns(base, keys) for i, keys in enumerate(groups) if set(keys) <= set(base.columns)}
-    found: dict[str, list[int]] = {}
-    if sets and input_bytes(base) >= skew.min_bytes:
-        found = hot_hashes(base, sets, skew.support)
+    found: dict[str, list[int]] = hot_hashes(base, sets, skew.share_in(base.sparkSession)) if sets else {}
     result = base
     for i, (keys, frames) in enumerate(groups.items()):
-        # A key that an earlier frame brings in is left to adaptive skew handling: probing it would
-        # run the whole plan so far.
-        result = attach(result, keys, frames, skew, found.get(f"h{i}", []))
+        # A key that an earlier frame brings in is probed on the joins that lead to it; other columns are pruned.
+        result = attach(result, keys, frames, skew, found.get(f"h{i}"))
     return result
 
 

@@ -140,14 +140,18 @@ def key_profile(tables: Mapping[str, DataFrame], is_key: Callable[[str, str], bo
     """Profile of the key columns only, counting exactly just where it can matter.
 
     A key whose estimated uniqueness lies well under the threshold is certain to be classified as
-    repeated, so its distinct values are not shuffled; the others are counted exactly.
+    repeated, so its distinct values are not shuffled; the others are counted exactly. ``is_exact`` tells
+    which ratios are counts and which are estimates.
     """
     keys = {t: df.select(*[quoted(c) for c in df.columns if is_key(t, c)]) for t, df in tables.items()}
     keys = {t: df for t, df in keys.items() if df.columns}
     rough = column_profile(keys, exact="none").select("table_name", "column_name", "unique_ratio").collect()
     margin = threshold * (1 - 10 * SKETCH_ERROR)
     close = {(r["table_name"], r["column_name"]) for r in rough if (r["unique_ratio"] or 0) >= margin}
-    return column_profile(keys, exact=lambda t, c: (t, c) in close)
+    exact = F.lit(False)
+    for table, column in sorted(close):
+        exact = exact | ((F.col("table_name") == table) & (F.col("column_name") == column))
+    return column_profile(keys, exact=lambda t, c: (t, c) in close).withColumn("is_exact", exact)
 
 
 def table_profile(profile: DataFrame, key_rule: Callable[[Column], Column] = ends_with_id) -> DataFrame:
@@ -169,8 +173,12 @@ def enrich_with_dictionary(
     profile: DataFrame,
     dictionary: DataFrame,
     file_suffix: str = ".csv",
+    position: str | None = None,
 ) -> DataFrame:
-    """Add ``description`` and ``allowed_values`` by (table, column).
+    """Add ``description`` and ``allowed_values`` by (table, column), and ``table_description`` where the dictionary
+    describes tables (rows with a blank column name).
+
+    Of repeated entries the last by the column ``position`` counts; without one, repeats make the job fail.
 
     Table names in the dictionary may carry the file suffix. Blank texts are nulls. Columns the
     dictionary does not know keep what the profile already says. Both sides hold one row per column
@@ -178,19 +186,30 @@ def enrich_with_dictionary(
     """
     table = F.trim(F.col("table_name"))
     table = F.when(table.endswith(file_suffix), F.expr(f"left(trim(table_name), length(trim(table_name)) - {len(file_suffix)})")).otherwise(table)
-    entries = dictionary.select(
+    order = F.col(position) if position else F.lit(0)
+    listed = dictionary.select(
         table.alias("table_name"),
-        F.trim(F.col("column_name")).alias("column_name"),
-        blank_to_null(F.col("description")).alias("__description"),
-        blank_to_null(F.col("allowed_values")).alias("__allowed_values"),
-        F.lit(True).alias("__known"),
-    ).dropDuplicates(["table_name", "column_name"])
-    joined = profile.join(entries, ["table_name", "column_name"], "left")
+        F.coalesce(blank_to_null(F.col("column_name")), F.lit("")).alias("column_name"),
+        F.struct(
+            order.alias("at"),
+            blank_to_null(F.col("description")).alias("description"),
+            blank_to_null(F.col("allowed_values")).alias("allowed_values"),
+        ).alias("__entry"),
+    )
+    entries = listed.groupBy("table_name", "column_name").agg(F.max_by("__entry", "__entry.at").alias("__entry"), F.count(F.lit(1)).alias("__n"))
+    if position is None:
+        repeated = F.raise_error(F.concat(F.lit("repeated dictionary entry of "), F.col("table_name"), F.lit("."), F.col("column_name")))
+        entries = entries.where(F.when(F.col("__n") == 1, F.lit(True)).otherwise(repeated.cast("boolean")))
+    entries = entries.drop("__n")
+    of_tables = entries.where("column_name = ''").select("table_name", F.col("__entry.description").alias("__table_description"))
+    joined = profile.join(entries, ["table_name", "column_name"], "left").join(of_tables, "table_name", "left")
     result = joined
     for name in ("description", "allowed_values"):
         old = F.col(name) if name in profile.columns else F.lit(None).cast("string")
-        result = result.withColumn(name, F.when(F.col("__known"), F.col(f"__{name}")).otherwise(old))
-    return result.drop("__description", "__allowed_values", "__known")
+        result = result.withColumn(name, F.when(F.col("__entry").isNotNull(), F.col(f"__entry.{name}")).otherwise(old))
+    old = [F.col("table_description")] if "table_description" in profile.columns else []
+    result = result.withColumn("table_description", F.coalesce("__table_description", *old))
+    return result.drop("__entry", "__table_description")
 
 
 def with_descriptions(df: DataFrame, table: str, enriched: DataFrame) -> DataFrame:

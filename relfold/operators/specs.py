@@ -8,9 +8,10 @@ on the far side, so rows never multiply; then one grouping computes all measures
 from __future__ import annotations
 
 import re
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from relfold.functions.columns import quoted
 from relfold.operators.actions import APPLIED, FAILED, ActionResult
@@ -36,8 +37,8 @@ class KeyFacts:
         return self._facts[pair]
 
 
-def _shared_keys(left: Sequence[str], right: Sequence[str]) -> list[str]:
-    return [c for c in left if c in right and (c == "id" or c.endswith("_id"))]
+def named_like_key(column: str) -> bool:
+    return column == "id" or column.endswith("_id")
 
 
 def bring_columns(
@@ -47,6 +48,7 @@ def bring_columns(
     candidates: Sequence[str],
     facts: KeyFacts,
     skew: SkewPolicy = DEFAULT_SKEW,
+    is_key: Callable[[str], bool] = named_like_key,
 ) -> DataFrame:
     """Add the needed columns by left joins through unique keys, by the shortest way to each."""
     wanted = [c for c in dict.fromkeys(needed) if c not in base.columns]
@@ -59,8 +61,8 @@ def bring_columns(
             (
                 (table, key)
                 for table in open_tables
-                for key in _shared_keys(seen_columns, tables[table].columns)
-                if facts.unique(table, key)
+                for key in seen_columns
+                if key in tables[table].columns and is_key(key) and facts.unique(table, key)
             ),
             None,
         )
@@ -97,12 +99,7 @@ def _measure(item: Aggregation) -> Measure:
     return Measure(kind, item.feature_name, column, where=item.filter_expression)
 
 
-def group_frame(
-    source: DataFrame,
-    group_by: Sequence[str],
-    items: Sequence[Aggregation],
-    skew: SkewPolicy = DEFAULT_SKEW,
-) -> KeyedFrame:
+def group_frame(source: DataFrame, group_by: Sequence[str], items: Sequence[Aggregation]) -> KeyedFrame:
     """All measures of one grouping. ``ratio`` is the rows of the group over the rows of all groups
     with the same first key."""
     frame = aggregate_by_key(source, group_by, [_measure(i) for i in items])
@@ -112,14 +109,10 @@ def group_frame(
     if len(group_by) == 1:
         shares = {n: F.when(quoted(n) > 0, F.lit(1.0)) for n in ratios}
         return KeyedFrame(frame.frame.withColumns(shares), frame.keys, frame.null_safe)
-    # Totals come from the grouped rows, not from the source.
-    rows = frame.visible()
-    sums = [Measure("sum", f"__total_{n}", n) for n in ratios]
-    totals = aggregate_by_key(rows, [group_by[0]], sums)
-    rows = attach(rows, [group_by[0]], [totals], skew)
-    shares = {n: F.try_divide(quoted(n).cast("double"), quoted(f"__total_{n}").cast("double")) for n in ratios}
-    rows = rows.withColumns(shares).drop(*[f"__total_{n}" for n in ratios])
-    return keyed(rows, group_by)
+    # Totals come from the grouped rows, not from the source: one row per group and first key.
+    first = Window.partitionBy(*[c for c in frame.tokens if c in ("__key0", "__null0")])
+    shares = {n: F.try_divide(quoted(n).cast("double"), F.sum(quoted(n)).over(first).cast("double")) for n in ratios}
+    return KeyedFrame(frame.frame.withColumns(shares), frame.keys, frame.null_safe)
 
 
 def _source_table(item: Aggregation, spec: FeatureSpec, tables: Mapping[str, DataFrame]) -> str:
@@ -141,6 +134,7 @@ def spec_frames(
     facts: KeyFacts,
     roots: Collection[str] = ("train", "test"),
     skew: SkewPolicy = DEFAULT_SKEW,
+    is_key: Callable[[str], bool] = named_like_key,
 ) -> dict[tuple[str, ...], list[KeyedFrame]]:
     """Frames of a spec per group_by. Root tables are not read: their rows carry the label."""
     usable = {name: df for name, df in tables.items() if name not in roots}
@@ -157,9 +151,9 @@ def spec_frames(
             needed.append(item.source_column)
             needed += [w for w in _WORD.findall(item.filter_expression or "") if w in known]
         others = [t for t in candidates if t != table]
-        source = bring_columns(usable[table], needed, usable, others, facts, skew)
+        source = bring_columns(usable[table], needed, usable, others, facts, skew, is_key)
         source = source.select(*[quoted(c) for c in dict.fromkeys(needed)])
-        frames.setdefault(group_by, []).append(group_frame(source, group_by, items, skew))
+        frames.setdefault(group_by, []).append(group_frame(source, group_by, items))
     return frames
 
 
@@ -170,6 +164,7 @@ def apply_specs(
     unique_keys: Collection[tuple[str, str]] = (),
     skew: SkewPolicy = DEFAULT_SKEW,
     share: bool = False,
+    is_key: Callable[[str], bool] = named_like_key,
 ) -> ActionResult:
     """Join the features of every spec to all roots alike, or not at all.
 
@@ -182,14 +177,14 @@ def apply_specs(
     statuses: list[tuple] = []
     for i, spec in enumerate(specs):
         try:
-            frames = spec_frames(spec, tables, facts, tuple(roots), skew)
+            frames = spec_frames(spec, tables, facts, tuple(roots), skew, is_key)
             if share:
                 frames = {keys: [f.stored() for f in found] for keys, found in frames.items()}
             needed = [c for keys in frames for c in keys]
             named = [t for path in spec.join_paths for t in path] + list(spec.required_tables)
             updated = {}
             for name, root in current.items():
-                widened = bring_columns(root, needed, usable, named, facts, skew)
+                widened = bring_columns(root, needed, usable, named, facts, skew, is_key)
                 extra = [c for c in widened.columns if c not in root.columns]
                 updated[name] = attach_grouped(widened, frames, skew).drop(*extra)
         except (ValueError, TypeError) as error:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+# Words and field names of the plan and spec documents.
 ACTION_TYPES = ("direct_join", "aggregate_numeric", "aggregate_categorical", "skip")
 SPEC_OPERATIONS = ("count", "nunique", "sum", "mean", "min", "max", "std", "ratio", "mode_ratio")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # Settings the engine counts on; sizes of partitions and the number of shuffle partitions belong to
 # the cluster and are left alone.
@@ -19,8 +19,6 @@ SETTINGS = {
     # Wide tables mean thousands of column expressions; recording a call site for each dominates the
     # time to build a plan.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
-    # Checkpoint files go when the frames they belong to are forgotten.
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -33,21 +31,20 @@ def build_session(app_name: str = "relfold", master: str | None = None, **settin
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; only a local session that names none
-    gets a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if configured is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="relfold-checkpoint-")
-    context.setCheckpointDir(configured)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir, which all executors share."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not configured:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return configured.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The frame computed once and read back from the checkpoint folder; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The frame computed once, written as Parquet to the shared folder and read back, so that lost executors
+    cost nothing and later readers take only the columns and rows they need. The cluster clears the folder."""
+    spark = df.sparkSession
+    empty = {f.name: F.lit(None).cast("string") for f in df.schema.fields if isinstance(f.dataType, T.NullType)}
+    frame = df.withColumns(empty) if empty else df
+    path = f"{shared_folder(spark)}/relfold-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

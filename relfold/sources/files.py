@@ -117,19 +117,28 @@ def _typed(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
+def leaves_quotes_open(spark: SparkSession, path: str) -> bool:
+    """Whether some line holds an odd number of quotes, so that a field goes on in the next line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     schema: str | None = None,
     sep: str | None = None,
     default_sep: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
-    """A delimited file with a header. With ``schema`` (DDL) nothing is inferred and nothing scanned.
+    """A delimited file with a header. With ``schema`` (DDL) no types are inferred.
 
-    ``multi_line`` allows line breaks inside quotes; such files cannot be split among tasks.
+    ``multi_line`` allows line breaks inside quotes; such files cannot be split among tasks. Left open, it is found
+    out by one pass over the lines: where a line leaves a quote open, the file is read so.
     """
     sep = sep or detect_separator(spark, path, default_sep)
+    if multi_line is None:
+        multi_line = leaves_quotes_open(spark, path)
     reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multi_line)
     texts = reader.csv(path)
     texts = texts.select(*[_cleaned(quoted(c)).alias(c) for c in texts.columns])
@@ -142,10 +151,13 @@ def read_csv(
     return texts.select(*[quoted(f.name).cast(f.dataType).alias(f.name) for f in wanted])
 
 
-def read_table(spark: SparkSession, source: SourceFile, schema: str | None = None, default_sep: str | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession, source: SourceFile, schema: str | None = None, default_sep: str | None = None, **options
+) -> DataFrame:
+    """``options`` are those of ``read_csv``; a Parquet table needs none."""
     if source.format == "parquet":
         return spark.read.parquet(source.path)
-    return read_csv(spark, source.path, schema, default_sep=default_sep)
+    return read_csv(spark, source.path, **{"schema": schema, "default_sep": default_sep, **options})
 
 
 def write_table(df: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists") -> None:
@@ -221,10 +233,14 @@ def load_bundle(
     default_sep: str | None = None,
     train_name: str = "train",
     test_name: str = "test",
+    options: Mapping[str, Mapping] | None = None,
 ) -> Bundle:
-    """Every table of a folder; the two roots must be among them."""
+    """Every table of a folder; the two roots must be among them. ``options`` holds options of ``read_csv`` by
+    table."""
     tables = {
-        source.name: read_table(spark, source, (schemas or {}).get(source.name), default_sep)
+        source.name: read_table(
+            spark, source, (schemas or {}).get(source.name), default_sep, **(options or {}).get(source.name, {})
+        )
         for source in list_tables(spark, folder)
     }
     for name in (train_name, test_name):

@@ -13,6 +13,7 @@ from relfold.operators.actions import STATUS_SCHEMA, apply_actions
 from relfold.operators.builders import apply_builders
 from relfold.operators.checks import output_checks, require
 from relfold.operators.enrich import enrich_roots
+from relfold.operators.keyed import DEFAULT_SKEW, SkewPolicy
 from relfold.operators.profile import as_metadata, key_profile
 from relfold.operators.relationships import (
     UNIQUE_THRESHOLD,
@@ -84,19 +85,21 @@ def build_features(
     builders: Sequence[FeatureBuilder] = (),
     join_tree: bool = False,
     target: str = "target",
+    is_key: Callable[[str, str], bool] = named_like_id,
+    skew: SkewPolicy = DEFAULT_SKEW,
 ) -> Built:
     """Builders, then specs, then actions, then (if asked) the whole join tree, on both roots."""
     tables = dict(bundle.tables.items())
     roots: Mapping[str, DataFrame] = bundle.roots
-    built = apply_builders(roots, tables, builders, target)
+    built = apply_builders(roots, tables, builders, target, skew=skew)
     statuses = list(built.statuses)
-    built = apply_specs(built.roots, tables, specs, discovery.unique_keys, share=True)
+    built = apply_specs(built.roots, tables, specs, discovery.unique_keys, skew, share=True, is_key=lambda c: is_key("", c))
     statuses += built.statuses
-    built = apply_actions(built.roots, bundle.additional, plans, target, discovery.unique_keys, share=True)
+    built = apply_actions(built.roots, bundle.additional, plans, target, discovery.unique_keys, skew=skew, share=True)
     statuses += built.statuses
     roots = built.roots
     if join_tree:
-        roots = enrich_roots(roots, bundle.additional, discovery.edges)
+        roots = enrich_roots(roots, bundle.additional, discovery.edges, skew=skew)
     return Built(dict(roots), statuses)
 
 
@@ -111,14 +114,36 @@ def run(
     id_column: str = "row_id",
     settings: TreeSettings = TreeSettings(),
     output_format: str = "csv",
+    is_key: Callable[[str, str], bool] = named_like_id,
+    prefer: Iterable[tuple[str, str]] = (),
+    threshold: float = UNIQUE_THRESHOLD,
+    strict: bool = True,
+    skew: SkewPolicy = DEFAULT_SKEW,
+    exact_split: bool = True,
+) -> Selection:
+    """From a bundle to the two written outputs: base columns plus the strongest features.
+
+    Tables that features read again and again are kept while the run lasts."""
+    bundle.tables.keep(*bundle.additional)
+    try:
+        return _run(
+            bundle, output_folder, plans, specs, builders, join_tree, target, id_column, settings, output_format,
+            is_key, prefer, threshold, strict, skew, exact_split,
+        )
+    finally:
+        bundle.tables.release()
+
+
+def _run(
+    bundle, output_folder, plans, specs, builders, join_tree, target, id_column, settings, output_format,
+    is_key, prefer, threshold, strict, skew, exact_split,
 ) -> Selection:
-    """From a bundle to the two written outputs: base columns plus the strongest features."""
-    discovery = discover(bundle)
-    built = build_features(bundle, discovery, plans, specs, builders, join_tree, target)
+    discovery = discover(bundle, is_key, prefer, threshold, strict)
+    built = build_features(bundle, discovery, plans, specs, builders, join_tree, target, is_key, skew)
     base_columns = {name: df.columns for name, df in bundle.roots.items()}
     selection = select_features(
         built.roots, base_columns, target, id_column, settings=settings,
-        output_folder=output_folder, output_format=output_format,
+        output_folder=output_folder, output_format=output_format, exact_split=exact_split,
     )
     require(output_checks(bundle.roots, selection.outputs))
     return selection

@@ -94,7 +94,7 @@ def test_parent_key_resolution():
 
 
 @pytest.mark.parametrize("nulls", [True, False])
-@pytest.mark.parametrize("policy", [SkewPolicy(), SkewPolicy(0.2, 0, 3)])
+@pytest.mark.parametrize("policy", [SkewPolicy(), SkewPolicy(0.2, 3)])
 def test_tree_enrichment(frame, nulls, policy):
     train = frame("id int, user_id int", (1, 1), (2, 1), (3, 9), (4, None))
     tables = {

@@ -13,7 +13,6 @@ from relfold.operators.keyed import (
     duplicate_keys,
     guarded,
     hot_hashes,
-    input_bytes,
     is_unique,
     keyed,
     left_join_unique,
@@ -72,7 +71,7 @@ def test_salted_join_equals_plain_join(frame):
     left = frame("id int, k int", *rows)
     right = frame("k int, v string", *[(i, f"v{i}") for i in range(0, 300, 2)], (7, "hot"), (None, "none"))
     plain = attach(left, ["k"], [keyed(right, ["k"])], hot=[])
-    policy = SkewPolicy(support=0.1, min_bytes=0, salts=5)
+    policy = SkewPolicy(share=0.1, salts=5)
     salted = attach(left, ["k"], [keyed(right, ["k"])], policy)
     assert "__salt" in salted._jdf.queryExecution().analyzed().toString()
     assert Counter(map(tuple, plain.collect())) == Counter(map(tuple, salted.collect()))
@@ -85,7 +84,7 @@ def test_salted_join_equals_plain_join(frame):
 def test_exact_copies_of_a_hot_row_survive_salting(frame):
     left = frame("k int", *[(7,)] * 500, *[(i,) for i in range(100, 200)])
     right = frame("k int, v int", (7, 1))
-    joined = attach(left, ["k"], [keyed(right, ["k"])], SkewPolicy(0.1, 0, 4))
+    joined = attach(left, ["k"], [keyed(right, ["k"])], SkewPolicy(0.1, 4))
     assert joined.count() == 600
     assert joined.where("v = 1").count() == 500
 
@@ -94,11 +93,27 @@ def test_hot_keys_are_found(frame):
     df = frame("k int", *[(7,)] * 500, *[(i,) for i in range(500)])
     found = hot_hashes(df, {"h": token_columns(df, ["k"])}, 0.2)["h"]
     mine = df.where("k = 7").select(F.xxhash64(*token_columns(df, ["k"]))).first()[0]
-    assert mine in found and len(found) <= 5
+    assert found == [mine]
+    assert hot_hashes(df.where("false"), {"h": token_columns(df, ["k"])}, 0.2) == {"h": []}
 
 
-def test_size_estimate_reads_the_leaves(spark):
-    assert input_bytes(spark.read.parquet("/root/testdata/sf0.001/orders.parquet")) > 1000
+def test_small_shares_and_second_level_keys_are_split(spark, frame):
+    """A key with 0.5 % of the rows, and half of the rows on one key that only a joined frame brings in."""
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        left = spark.range(4000).selectExpr("id", "cast(if(id < 20, 1, id + 100) as int) as k")
+        first = spark.range(5000).selectExpr("cast(id as int) as k", "cast(if(id % 2 = 0, 7, id) as int) as second")
+        other = frame("second int, name string", (7, "hot"), (9, "cold"))
+        policy = SkewPolicy()
+        assert policy.share_in(spark) == 1 / 256
+        one = attach(left, ["k"], [keyed(first, ["k"])], policy)
+        assert "__salt" in one._jdf.queryExecution().analyzed().toString()
+        joined = attach_grouped(left, {("k",): [keyed(first, ["k"])], ("second",): [keyed(other, ["second"])]}, policy)
+        assert joined._jdf.queryExecution().analyzed().toString().count("__right_salt") > one._jdf.queryExecution().analyzed().toString().count("__right_salt")
+        plain = left.join(first, "k", "left").join(other, "second", "left")
+        assert joined.count() == 4000 and joined.where("name = 'hot'").count() == plain.where("name = 'hot'").count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_uniqueness_counts_null_as_a_key(frame):

@@ -10,11 +10,11 @@ from relfold.modeling.metrics import auc_by_rank
 from relfold.modeling.scoring import cross_validate, score_output
 from relfold.modeling.selection import all_features, final_projection, numeric_features, select_features
 from relfold.modeling.split import with_exact_folds, with_exact_holdout, with_folds, with_holdout
-from relfold.modeling.training import FeatureEncoder, TreeSettings, class_counts, fit_trees, top_features, with_class_weights
+from relfold.modeling.training import MEAN_FOLDS, FeatureEncoder, TreeSettings, fit_trees, top_features, with_class_weights
 from relfold.operators.checks import failed, output_checks, require
 from relfold.operators.labels import with_held_out_labels, with_target
 from relfold.plans.models import Action, FeatureBuilder, TablePlan
-from relfold.session import ensure_checkpoint_dir
+from relfold.session import shared_folder, stored
 from relfold.sources.files import load_bundle
 from relfold.workflow import build_features, discover, run
 from tests.conftest import rows_of
@@ -44,6 +44,15 @@ def test_auc_forms_agree(spark, frame, slices):
     assert evaluator.evaluate(df) == pytest.approx(found["auc"], abs=1e-6)
 
 
+@pytest.mark.parametrize("slices", [1, 2, 64])
+def test_auc_refuses_what_it_could_only_leave_out(frame, slices):
+    for rows in ([(None, 1), (0.2, 0), (0.5, 0), (0.9, 1)], [(float("nan"), 1), (0.2, 0)], [(0.3, None), (0.2, 0), (0.4, 1)]):
+        with pytest.raises(Exception, match="is null"):
+            auc_by_rank(frame("score double, y int", *rows), "score", "y", slices).collect()
+    found = auc_by_rank(frame("score double, y int", (0.2, 0), (0.5, 0), (0.9, 1), (0.5, 1)), "score", "y", slices).first()
+    assert (found["auc"], found["positives"], found["negatives"]) == (0.875, 2, 2)
+
+
 def test_auc_of_one_class_is_null(frame):
     assert auc_by_rank(frame("score double, y int", (0.1, 0), (0.2, 0)), "score", "y").first()["auc"] is None
 
@@ -84,9 +93,9 @@ def test_position_keeps_null_keys(frame):
 def test_class_weights(frame):
     df = frame("y int", *[(0,)] * 6, *[(1,)] * 2)
     assert rows_of(with_class_weights(df, "y").distinct()) == [(0, 1.0), (1, 3.0)]
-    assert class_counts(df, "y") == {0: 6, 1: 2}
-    with pytest.raises(ValueError, match="no class label"):
-        class_counts(df.sparkSession.range(50).withColumnRenamed("id", "y"), "y", 10)
+    many = df.sparkSession.range(1500).selectExpr("cast(id as string) as y").unionByName(frame("y string", (None,), (None,)))
+    weights = {r["y"]: r["weight"] for r in with_class_weights(many, "y").collect()}
+    assert len(weights) == 1501 and weights[None] == 1.0 and weights["7"] == 2.0
 
 
 def test_fill_missing(frame):
@@ -107,20 +116,38 @@ def labelled(spark):
 
 def test_mixed_encoding(labelled):
     features = ["x", "kind", "who", "gap"]
-    encoder = FeatureEncoder(features, "target").fit(labelled, max_categories=64)
-    assert (encoder.numeric, encoder.indexed, encoder.averaged) == (["x", "gap"], ["kind"], ["who"])
+    encoder = FeatureEncoder(features, "target").fit(labelled)
+    assert (encoder.numeric, encoder.texts) == (["x", "gap"], ["kind", "who"])
     one = encoder.transform(labelled.where("row_id = 0"), ["row_id"]).first()["features"]
     who = [r["target"] for r in labelled.where("who = 'u0'").collect()]
     prior = labelled.agg(F.avg("target")).first()[0]
     assert one[2] == pytest.approx((sum(who) + prior) / (len(who) + 1))
     assert one[3] == 1.0
-    own = labelled.where("row_id = 0").first()["target"]
-    left_out = encoder.transform(labelled.where("row_id = 0"), ["row_id"], F.lit(True)).first()["features"]
-    assert left_out[2] == pytest.approx((sum(who) - own + prior) / len(who))
     new = labelled.where("row_id = 0").withColumn("who", F.lit("stranger")).withColumn("kind", F.lit("zz"))
     assert encoder.transform(new, ["row_id"]).first()["features"][2] == pytest.approx(prior)
 
 
+def test_a_row_s_own_label_does_not_reach_its_encoding(labelled):
+    features = ["kind", "who"]
+    for row in (0, 17, 101):
+        flipped = labelled.withColumn("target", F.when(F.col("row_id") == row, 1 - F.col("target")).otherwise(F.col("target")))
+        vectors = []
+        for df in (labelled, flipped):
+            encoder = FeatureEncoder(features, "target").fit(df)
+            vectors.append(encoder.transform(df.where(F.col("row_id") == row), ["row_id"], F.lit(True)).first()["features"])
+            assert len(encoder.parts) == MEAN_FOLDS and sum(n for n, _ in encoder.parts) == 400
+        assert vectors[0] == vectors[1]
+
+
+def test_boosting_keeps_the_best_of_all_rounds(labelled):
+    split = with_holdout(labelled)
+    settings = TreeSettings(iterations=25, depth=3, learning_rate=0.5)
+    model = fit_trees(split, ["noise", "gap"], "target", settings, "is_holdout")
+    assert model.asked == 25 and 1 <= model.kept <= 25 and model.trees.getNumTrees == model.kept
+    everything = fit_trees(split, ["x"], "target", TreeSettings(iterations=4, depth=2))
+    assert everything.kept == everything.trees.getNumTrees == 4
+
+
 def test_training_finds_the_signal(spark, labelled):
     split = with_holdout(labelled)
     model = fit_trees(split, ["x", "noise", "kind", "who", "gap"], "target", SMALL, "is_holdout", balanced=True)
@@ -172,6 +199,8 @@ def test_score_report(labelled):
 def test_cross_validation_folds(labelled):
     found = cross_validate(labelled, ["x"], folds=2, settings=SMALL, exact_folds=True)
     assert rows_of(found, "fold") == [(0,), (1,)]
+    with pytest.raises(ValueError, match="one class only"):
+        cross_validate(labelled.where("target = 0 or row_id % 80 = 0").where("target = 0"), ["x"], folds=2, settings=SMALL)
 
 
 def test_labels(frame):
@@ -179,6 +208,8 @@ def test_labels(frame):
     assert rows_of(with_target(frame("row_id int, f int", (1, 5), (3, 6)), source), "row_id", "target") == [(1, 0), (3, None)]
     assert with_target(source, source) is source
     assert rows_of(with_held_out_labels(frame("row_id int", (2,)), source)) == [(2, 1)]
+    with pytest.raises(Exception, match="no held-out label for 9"):
+        with_held_out_labels(frame("row_id int", (2,), (9,)), source).collect()
     with pytest.raises(ValueError):
         with_held_out_labels(source, frame("row_id int", (1,)))
 
@@ -199,11 +230,17 @@ def test_checks(frame):
     assert ("feature_count", "test") in {(r["check"], r["subject"]) for r in failed(output_checks(base, many)).collect()}
 
 
-def test_checkpoint_dir_of_the_session_is_used(spark):
-    before = spark.sparkContext.getCheckpointDir()
-    ensure_checkpoint_dir(spark)
-    assert spark.sparkContext.getCheckpointDir() is not None
-    assert before is None or spark.sparkContext.getCheckpointDir() == before
+def test_stored_frames_lie_in_the_named_folder(spark, frame):
+    df = frame("a int, `b c` string", (1, None), (2, "x")).withColumn("nothing", F.lit(None))
+    kept = stored(df)
+    assert kept.columns == df.columns and rows_of(kept) == rows_of(df)
+    assert shared_folder(spark) in kept.inputFiles()[0].replace("file://", "")
+
+
+def test_null_labels_are_a_class_of_their_own(spark):
+    df = spark.range(40).selectExpr("id as row_id", "if(id % 4 = 0, null, if(id % 4 = 1, '', 'x')) as target")
+    counts = rows_of(with_exact_holdout(df, share=0.5).groupBy("target").agg(F.count_if("is_holdout").alias("n")))
+    assert counts == [(None, 5), ("", 5), ("x", 10)]
 
 
 def test_whole_run(spark, tmp_path):

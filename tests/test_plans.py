@@ -154,6 +154,14 @@ def history(root, tables):
     return aggregate_by_key(items, ["user_id", "product_id"], [Measure("size", "n")]).visible()
 
 
+def test_a_builder_error_without_a_message_is_reported(roots, tables):
+    def silent(train, shown):
+        raise AssertionError
+
+    result = apply_builders(roots, {**tables, **roots}, [FeatureBuilder("silent", ("user_id",), silent)])
+    assert result.statuses[0][5] == "AssertionError"
+
+
 def test_builders_in_turn(roots, tables):
     def user_sum(root, tables):
         assert "target" not in root.columns and "n" in root.columns

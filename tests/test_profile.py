@@ -1,3 +1,5 @@
+import pytest
+
 from relfold.operators.profile import (
     added_columns,
     candidate_keys,
@@ -63,6 +65,18 @@ def test_dictionary(frame):
     assert noted.schema["id"].metadata == {"description": "key"} and noted.schema["y"].metadata == {}
 
 
+def test_repeated_and_table_entries_of_a_dictionary(frame):
+    profile = column_profile({"t": frame("id int", (1,))})
+    ddl = "table_name string, column_name string, description string, allowed_values string, at int"
+    words = frame(ddl, ("t", "id", "first", None, 1), ("t.csv", "id", "last", None, 2), ("t", " ", "all about t", None, 3))
+    found = enrich_with_dictionary(profile, words, position="at")
+    assert rows_of(found, "description", "table_description") == [("last", "all about t")]
+    again = enrich_with_dictionary(found, words.where("false"))
+    assert rows_of(again, "description", "table_description") == [("last", "all about t")]
+    with pytest.raises(Exception, match="repeated dictionary entry of t.id"):
+        enrich_with_dictionary(profile, words).collect()
+
+
 def test_profile_is_stored_and_read_back(spark, frame, tmp_path):
     profile = column_profile({"t": frame("id int", (1,), (2,))})
     path = str(tmp_path / "profile")

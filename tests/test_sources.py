@@ -73,6 +73,16 @@ def test_line_breaks_in_quotes(spark, tmp_path):
     assert rows_of(read_csv(spark, path, sep=",", multi_line=True)) == [("x\ny", 1)]
 
 
+def test_line_breaks_in_quotes_survive_the_folder(spark, tmp_path):
+    rows = "".join(f'{i},"note {i}{chr(10) if i == 3 else ""} end"\n' for i in range(7))
+    put(tmp_path / "train.csv", "row_id,note\n" + rows)
+    put(tmp_path / "test.csv", "row_id,note\n1,x\n")
+    train = load_bundle(spark, str(tmp_path)).train
+    assert train.count() == 7 and train.dtypes == [("row_id", "bigint"), ("note", "string")]
+    cut = load_bundle(spark, str(tmp_path), options={"train": {"multi_line": False}}).train
+    assert cut.count() == 8
+
+
 def test_a_column_without_values_is_numeric(spark, tmp_path):
     assert read_csv(spark, put(tmp_path / "t.csv", "a,b\n1,\n2,NA\n")).dtypes == [("a", "bigint"), ("b", "double")]
 
