@@ -465,4 +465,23 @@ SELECT auc, 2 * auc - 1 AS gini, auc AS primary_score, auc AS cv_mean_auc, 0.0e0
        CAST((SELECT count(*) + 1 FROM named) AS INTEGER) AS n_features,
        (SELECT count(*) FROM train) AS train_rows, (SELECT count(*) FROM test) AS test_rows
 FROM planted_auc""",
+    "csv_round_trip": f"""WITH {_PROFILE} SELECT table_name, column_name, row_count, non_null_count, distinct_count, non_null_ratio, unique_ratio
+FROM profile WHERE table_name IN ('customer', 'nation', 'part', 'region')""",
+    "distinct_keys": _VIEWS + "SELECT DISTINCT order_id, product_id FROM order_items",
+    "failing_checks": _VIEWS + """,
+sizes AS (SELECT 'train' AS root, count(*) AS base, count(*) FILTER (product_id % 2 = 0) AS n, 'a' AS feature, 0 AS filled FROM train
+          UNION ALL SELECT 'test', count(*), count(*) FILTER (product_id < 0), 'b', count(*) FILTER (product_id < 0) FROM test)
+SELECT 'base_columns_kept' AS "check", root AS subject, root <> 'train' AS passed, CASE root WHEN 'train' THEN 'target' ELSE '' END AS detail FROM sizes
+UNION ALL SELECT 'unique_column_names', root, true, '' FROM sizes
+UNION ALL SELECT 'feature_count', root, true, CAST(length(feature) AS VARCHAR) FROM sizes
+UNION ALL SELECT 'same_features', string_agg(root, '/' ORDER BY root DESC), count(DISTINCT feature) = 1, min(feature) FROM sizes
+UNION ALL SELECT 'not_empty', root, n > 0, CAST(n AS VARCHAR) FROM sizes
+UNION ALL SELECT 'feature_has_values', root || '.' || feature, filled > 0, CAST(filled AS VARCHAR) FROM sizes
+UNION ALL SELECT 'row_count_kept', root, n = base, CAST(n - base AS VARCHAR) FROM sizes""",
+    "table_reach": _VIEWS + _RELATIONS + _tree().split("\nSELECT CAST(row_number() OVER (ORDER BY distance")[0] + """
+SELECT table_name, table_name IN (SELECT table_name FROM seen3) AS reached
+FROM (SELECT DISTINCT table_name FROM keys WHERE table_name <> 'train' UNION ALL SELECT 'lines')""",
+    "name_collision": _VIEWS + """
+SELECT t.*, t.product_id * -1.0e0 AS users__balance, u.nation_id AS users__nation_id, u.segment AS users__segment
+FROM train t LEFT JOIN users u ON t.user_id = u.user_id""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,14 +27,19 @@ from relfold.operators.relationships import (
     find_relationships,
     grow_tree,
     rank_candidates,
+    tables_to_plan,
     tree_frame,
     unreachable,
 )
 from relfold.operators.specs import apply_specs, category_families
 from relfold.plans.ingest import parse_plans, parse_specs
 from relfold.plans.models import Action, Aggregation, FeatureBuilder, FeatureSpec, TablePlan
+from relfold.session import shared_folder
+from relfold.sources.files import load_bundle, write_table
+from relfold.sources.profiles import load_profile, save_profile
 from relfold.workflow import discover
 
+CSV_TABLES = ("customer", "nation", "part", "region")
 RAW_TABLES = ("customer", "lineitem", "nation", "orders", "part", "region")
 
 # Dictionary of the columns of the raw tables: table file, column, description, allowed values.
@@ -542,7 +548,54 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return enrich_tree(pair_history(spark, sf), views.tables(), fixture_tree(spark, sf))
 
 
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Given tables written as CSV, loaded again as a folder with types found in the data, profiled, and the profile
+    stored and read back."""
+    views, folder = Views(spark, sf), f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    for name in CSV_TABLES:
+        write_table(views.raw(name), f"{folder}/{name}.csv", "csv")
+    tables = load_bundle(spark, folder, train_name="customer", test_name="nation").tables
+    save_profile(column_profile(tables), f"{folder}/profile")
+    return load_profile(spark, f"{folder}/profile").select(
+        "table_name", "column_name", "row_count", "non_null_count", "distinct_count", "non_null_ratio", "unique_ratio"
+    )
+
+
+def distinct_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return aggregate_by_key(Views(spark, sf).order_items, ["order_id", "product_id"], []).visible()
+
+
+def failing_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Checks of outputs that lost rows and a base column, and whose features differ and hold no value."""
+    views = Views(spark, sf)
+    outputs = {
+        "train": views.train.drop("target").where("product_id % 2 = 0").withColumn("a", F.lit(None).cast("double")),
+        "test": views.test.where("product_id < 0").withColumn("b", F.lit(1)),
+    }
+    return output_checks({"train": views.train, "test": views.test}, outputs)
+
+
+def table_reach(spark: SparkSession, sf: str) -> DataFrame:
+    """Which tables the join tree reaches; one that shares no key is never reached."""
+    edges = grow_tree(_ranked(spark, sf))
+    names = [*Views(spark, sf).tables(), "lines"]
+    rows = [(t, True) for t in tables_to_plan(edges)] + [(t, False) for t in unreachable(names, edges)]
+    return spark.createDataFrame(rows, "table_name string, reached boolean")
+
+
+def name_collision(spark: SparkSession, sf: str) -> DataFrame:
+    """A column of the base stays when a joined table brings one of the same name."""
+    views = Views(spark, sf)
+    base = views.train.withColumn("users__balance", F.col("product_id") * F.lit(-1.0))
+    return direct_enrich(base, "users", views.users, "user_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "csv_round_trip": csv_round_trip,
+    "distinct_keys": distinct_keys,
+    "failing_checks": failing_checks,
+    "table_reach": table_reach,
+    "name_collision": name_collision,
     "column_profile": profile_columns,
     "table_profile": profile_tables,
     "candidate_keys": key_candidates,

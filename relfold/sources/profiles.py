@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from relfold.operators.profile import PROFILE_SCHEMA
 
-_STORED_SCHEMA = PROFILE_SCHEMA + ", description string, allowed_values string"
+_STORED_SCHEMA = PROFILE_SCHEMA + ", description string, allowed_values string, table_description string"
 
 
 def profile_exists(spark: SparkSession, path: str) -> bool:
