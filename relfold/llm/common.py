@@ -51,13 +51,17 @@ def fraction(*columns: str | Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+#: Characters of the longest text that is drawn for training; with the rows of a draw it bounds what the driver holds.
+LONGEST_DRAWN = 200_000
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int = LONGEST_DRAWN) -> DataFrame:
     """At most about ``per_class`` documents of each class (0 and 1) outside the held-out ones, with
     columns doc_id, text, label, weight (documents of the class for each one drawn) and part in [0, 1).
 
     The draw is a hash of doc_id, so reruns agree. Of repeated labels for an id the largest counts; null
-    labels and ids count as absent. ``per_class`` bounds what a caller may hold: 5 standard deviations are
-    cut off beyond it by drawing fewer.
+    labels and ids count as absent. ``per_class`` and ``longest`` bound what a caller may hold: about so many rows
+    are drawn, and longer texts are not learnt from (they are scored like others).
     """
     marks = (
         labels.where(F.col(label).isNotNull() & ~held_out())
@@ -74,4 +78,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         "doc_id", "label", F.try_divide(F.lit(1.0), rate).alias("weight"), fraction(F.col("doc_id"), F.lit("part")).alias("part")
     )
     # The drawn ids are bounded by per_class, whatever the table's size.
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    texts = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
+    return texts.join(F.broadcast(drawn), "doc_id")
