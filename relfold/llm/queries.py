@@ -91,6 +91,79 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_line_templates": r"""
+        with split as (select doc_id, string_split(text, chr(10)) as lines from documents),
+        numbered as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) - 1 as pos from split),
+        worded as (
+            select doc_id, pos, list_filter(string_split(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda t: t <> '') as tokens
+            from numbered
+        ),
+        thin as (
+            select doc_id, pos, array_to_string(tokens, ' ') as line,
+                len(tokens) || ' ' || array_to_string(list_transform(tokens[1:3], lambda t: case when regexp_matches(t, '[0-9@]') then '<*>' else t end), ' ') as leaf
+            from worded where len(tokens) >= 4
+        ),
+        counted as (select leaf, line, count(distinct doc_id) as docs, min(doc_id) as first from thin group by all),
+        leaves as (select leaf, sum(docs) as leaf_docs from counted group by leaf having sum(docs) >= 3 and count(*) > 1),
+        content as (
+            select leaf, line, docs, leaf_docs,
+                list_transform(string_split(line, ' '), lambda t: case when regexp_matches(t, '[0-9@]') then '<*>' else t end) as tokens
+            from counted join leaves using (leaf)
+        ),
+        placed as (select leaf, line, docs, leaf_docs, unnest(tokens) as token, generate_subscripts(tokens, 1) as spot from content),
+        constants as (
+            select leaf, spot, token from placed where token <> '<*>' group by leaf, spot, token
+            having sum(docs) >= 0.2e0 * min(leaf_docs) and sum(docs) >= 3
+        ),
+        templates as (
+            select p.leaf, p.line, string_agg(coalesce(c.token, '<*>'), ' ' order by p.spot) as template
+            from placed p left join constants c on p.leaf = c.leaf and p.spot = c.spot and p.token = c.token
+            where p.docs < 3 group by p.leaf, p.line having count(c.token) >= 0.6e0 * count(*)
+        ),
+        recurring as (
+            select m.leaf, m.template, min(t.doc_id) as first from thin t join templates m using (leaf, line)
+            group by all having count(distinct t.doc_id) >= 3
+        ),
+        repeated as (
+            select leaf, line, first from counted where docs >= 3
+            union all select leaf, line, first from templates join recurring using (leaf, template)
+        ),
+        drops as (
+            select doc_id, list(distinct pos) as gone from thin join repeated using (leaf, line) where doc_id <> first group by doc_id
+        ),
+        kept as (
+            select d.doc_id, d.text, coalesce(len(gone), 0)::int as dropped,
+                array_to_string(list_filter(string_split(text, chr(10)), lambda line, i: not list_contains(gone, i - 1)), chr(10)) as rest
+            from documents d left join drops using (doc_id)
+        )
+        select doc_id, dropped, case when dropped = 0 then text when regexp_matches(rest, '[^\x20\x09-\x0D]') then rest else '' end as text from kept
+    """,
+    "op8_ngram_join": r"""
+        with recursive worded as (
+            select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') as words from documents
+        ),
+        grams as (
+            select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+                else list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) end) as gram
+            from worded
+        ),
+        sizes as (select doc_id, count(*) as n from grams group by doc_id),
+        met as (
+            select a.doc_id as x, b.doc_id as y, count(*) as common
+            from grams a join grams b on a.gram = b.gram and a.doc_id < b.doc_id group by all
+        ),
+        edges as (
+            select x, y from met join sizes a on a.doc_id = x join sizes b on b.doc_id = y
+            where common >= 0.8e0 * (a.n + b.n - common) - 1e-9
+        ),
+        ways as (select x, y from edges union all select y, x from edges),
+        reached as (
+            select doc_id, doc_id as other from documents
+            union select r.doc_id, w.y from reached r join ways w on r.other = w.x
+        )
+        select r.doc_id, min(r.other) as class_id, coalesce(max(l.n), 0)::bigint as links
+        from reached r left join (select x, count(*) as n from ways group by x) l on l.x = r.doc_id group by r.doc_id
+    """,
     "op5_exact_dedup": r"""
         with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents),
         g as (select norm, min(doc_id) as keep_id, count(*) as group_size from n group by norm)
