@@ -19,9 +19,22 @@ from relfold.llm.common import written
 FIELD = "<*>"
 
 
+#: Parts of a leaf's lines in joins on the leaf, so that a leaf with most of all lines is no one task's.
+SALTS = 16
+
+
+def _salt() -> Column:
+    return F.pmod("line", F.lit(SALTS)).cast("int")
+
+
+def _salted(by_leaf: DataFrame) -> DataFrame:
+    """A row per leaf and part."""
+    return by_leaf.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def tokens_of(line: Column) -> Column:
-    """The runs of a line without ASCII white space."""
-    return F.split(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
+    """The runs of a line without ASCII white space. Splitting at one plain character needs no pattern matching."""
+    return F.array_remove(F.split(F.translate(line, "\t\n\v\f\r", "     "), " "), "")
 
 
 def masked(token: Column) -> Column:
@@ -55,12 +68,17 @@ def dropped_lines(
     )
     leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("kinds")).where((F.col("leaf_docs") >= min_docs) & (F.col("kinds") > 1))
     # Only lines that do not recur as they are need a template, but all of a shared leaf vote on its tokens.
-    shared = written(counted.join(leaves.select("leaf", "leaf_docs"), "leaf"))
+    shared = counted.withColumn("salt", _salt()).join(_salted(leaves.select("leaf", "leaf_docs")), ["leaf", "salt"])
+    shared = written(shared.drop("salt"))
     one_each = shared.select(F.col("first").alias("doc"), "leaf", "line", "docs", "leaf_docs")
     where = thin.groupBy("leaf", "line", "doc").agg(F.min("pos").alias("pos"))
     spots = one_each.join(where, ["leaf", "line", "doc"]).groupBy("doc").agg(F.collect_list(F.struct("pos", "leaf", "line", "docs", "leaf_docs")).alias("spots"))
-    fetched = keyed.join(spots, "doc").select(F.explode("spots").alias("s"), F.split("text", "\n").alias("all"))
-    tokens = F.transform(tokens_of(F.element_at("all", F.col("s")["pos"] + 1)), masked)
+    # The wanted lines of a text and what is known of them, both in order of position.
+    numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("pos"), line.alias("line")))
+    wanted = F.filter(numbered, lambda x: F.array_contains(F.col("spots.pos"), x["pos"]))
+    pairs = F.arrays_zip(wanted.alias("x"), F.array_sort("spots").alias("s"))
+    fetched = keyed.join(spots, "doc").select(F.explode(pairs).alias("pair")).select(F.col("pair")["x"]["line"].alias("content"), F.col("pair")["s"].alias("s"))
+    tokens = F.transform(tokens_of(F.col("content")), masked)
     content = written(
         fetched.select(F.col("s")["leaf"].alias("leaf"), F.col("s")["line"].alias("line"), F.col("s")["docs"].alias("docs"), F.col("s")["leaf_docs"].alias("leaf_docs"), tokens.alias("tokens"))
     )
@@ -74,7 +92,8 @@ def dropped_lines(
     placed = F.transform("tokens", lambda t, i: F.struct(i.alias("at"), t.alias("token")))
     held = F.transform(placed, lambda p: F.when(F.array_contains("constants", p), p["token"]).otherwise(FIELD))
     templates = (
-        content.where(F.col("docs") < min_docs).join(constants, "leaf").select("leaf", "line", held.alias("template"))
+        content.where(F.col("docs") < min_docs).withColumn("salt", _salt()).join(_salted(constants), ["leaf", "salt"])
+        .select("leaf", "line", held.alias("template"))
         .where(F.size(F.filter("template", lambda t: t != FIELD)) >= min_constant * F.size("template"))
         .select("leaf", "line", F.xxhash64(F.array_join("template", " ")).alias("template"))
     )
@@ -102,10 +121,11 @@ def without_repeated_lines(docs: DataFrame, text: str = "text", count: str | Non
     key = F.struct(number.isNotNull().alias("known"), F.coalesce(number, F.lit(0)).alias("id"), F.xxhash64(F.col(text)).alias("hash"))
     keyed = docs.select(key.alias("doc"), F.col(text).alias("text"))
     drops = dropped_lines(keyed, **options)
-    left = docs.select(row, key.alias("doc"), F.col(text).alias("text")).join(drops, "doc", "left")
-    lines = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("drops", i))
+    left = docs.select(row, key.alias("doc")).join(drops, "doc", "left")
+    whole = F.col("row")[text]
+    lines = F.filter(F.split(whole, "\n"), lambda line, i: ~F.array_contains("drops", i))
     kept = F.array_join(lines, "\n")
-    kept = F.when(F.col("drops").isNull(), F.col("text")).when(kept.rlike(r"[^\x20\x09-\x0D]"), kept).otherwise(F.lit(""))
+    kept = F.when(F.col("drops").isNull(), whole).when(kept.rlike(r"[^\x20\x09-\x0D]"), kept).otherwise(F.lit(""))
     columns = [kept.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
     extra = [F.coalesce(F.size("drops"), F.lit(0)).alias(count)] if count else []
     return left.select(*columns, *extra)
