@@ -164,7 +164,8 @@ def near_duplicates(
 
     Null texts and texts without a word have no links; their class is their own id. Repeated rows are linked to each
     other. Null ids are ids of their own kind: they never name a class that has another id. With ``text_key`` the
-    rows carry xxhash64 of their text, which tells rows of one id apart.
+    rows carry xxhash64 of their text, which tells rows of one id apart, and the key of their class (null without a
+    word), which tells classes apart whose smallest ids are the same repeated one.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -251,22 +252,29 @@ def near_duplicates(
     named = linked.join(sets.select("key", "first_id"), "key")
     named = written(named)
     names = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    named = named.join(names, "root").select(F.col("key").alias("linked_key"), "class_id", F.col("links").alias("linked"))
+    named = named.join(names, "root").select(F.col("key").alias("linked_key"), "root", "class_id", F.col("links").alias("linked"))
     whole = (
         sets.join(named, F.col("key") == F.col("linked_key"), "left")
-        .select("key", F.coalesce("class_id", "first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
+        .select(
+            "key", F.coalesce("root", "key").alias("class_key"), F.coalesce("class_id", "first_id").alias("class_id"),
+            (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links"),
+        )
     )
-    with_words = all_rows.where("key is not null").select("key", *kept).join(whole, "key").select(*kept, "class_id", "links")
-    without = all_rows.where("key is null").select(*kept, F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("links"))
+    columns = [*kept, "class_id", "links", *(["class_key"] if text_key else [])]
+    with_words = all_rows.where("key is not null").select("key", *kept).join(whole, "key").select(*columns)
+    alone = {"class_id": F.col("doc_id"), "links": F.lit(0).cast("bigint"), "class_key": F.lit(None).cast("binary")}
+    without = all_rows.where("key is null").withColumns(alone).select(*columns)
     return with_words.union(without)
 
 
 def one_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, in all their columns, with the smallest id of their class; one row of repeated ones, and
-    the smallest text hash among different texts of one id. Texts without a word stay, repeated rows once."""
+    """One row of ``docs`` for each class, in all its columns: that with the smallest id, null last, then with the
+    smallest text hash. Texts without a word stay, repeated rows once."""
     found = near_duplicates(docs, text, text_key=True, **options)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "class_id", F.when(F.col("links") == 0, F.col("text_key")).alias("own"))
-    stays = stays.agg(F.min("text_key").alias("near_text")).select(F.col("doc_id").alias("near_id"), "near_text").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("one")
+    of_class = found.where("class_key is not null").groupBy("class_key").agg(least)
+    stays = of_class.select(F.col("one")["doc_id"].alias("near_id"), F.col("one")["text_key"].alias("near_text"))
+    stays = stays.union(found.where("class_key is null").select("doc_id", "text_key"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("near_row")
     keyed = docs.select(row, F.col("doc_id").cast("bigint").alias("near_key"), F.xxhash64(F.col(text)).alias("near_hash"))
     same = F.col("near_key").eqNullSafe(F.col("near_id")) & (F.col("near_hash") == F.col("near_text"))

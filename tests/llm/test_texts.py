@@ -304,6 +304,10 @@ def test_one_of_each_keeps_one_and_all_columns(spark, similar):
     kept = one_of_each(df).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted({c for _, c, _ in brute_near(similar)})
     assert set(kept[0].asDict()) == {"doc_id", "text", "near_row", "links"}
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    twice = [(1, one), (1, two), (2, one + " x"), (3, two + " y"), (1, one), (4, ""), (4, ""), (4, "..")]
+    left = one_of_each(spark.createDataFrame(twice, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, left)) == sorted([(1, one), (1, two), (4, ""), (4, "..")])
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert near_duplicates(empty).count() == 0 and one_of_each(empty).count() == 0
 
