@@ -31,7 +31,7 @@ MARK = "▁"
 #: Characters of a chunk; texts with more are cut.
 CHUNK = 1 << 15
 #: Characters of the texts that are solved together.
-SPAN = 1 << 20
+SPAN = 1 << 18
 #: Units of a score: whole numbers per unit of log probability.
 UNIT = 1_000_000
 NEVER = -(1 << 60)
