@@ -168,7 +168,8 @@ def hot_hashes(df: DataFrame, key_sets: dict[str, list[Column]], share: float) -
     A map-side pass (``freqItems``) finds at most 1/share candidates per column, every frequent one among them;
     a second pass counts these alone. A hash collision splits both keys: results do not depend on what is found.
     """
-    hashes = df.select(*[F.xxhash64(*cols).alias(name) for name, cols in key_sets.items()])
+    # Read twice, and the frame may be the result of joins.
+    hashes = stored(df.select(*[F.xxhash64(*cols).alias(name) for name, cols in key_sets.items()]))
     row = hashes.stat.freqItems(list(key_sets), share).first()
     maybe = {name: row[f"{name}_freqItems"] for name in key_sets if row[f"{name}_freqItems"]}
     if not maybe:
