@@ -1,10 +1,14 @@
 """Nearest neighbours by largest inner product with one vantage-point tree per shard.
 
-With M the largest norm, every vector x gets one more component sqrt(M*M - |x|*|x|) and every query a 0 there:
-then |q' - x'|^2 = |q|^2 + M^2 - 2 q.x, so the nearest in that metric space have the largest inner products and
-the triangle inequality holds. A tree splits its points at the median distance from a vantage point; a leaf is
-skipped if ``factor`` times the least distance it can hold exceeds the k-th best distance so far. Factor 1 gives
-exact results, larger factors skip more.
+With M the largest norm, every vector x gets one more component sqrt(M*M - |x|*|x|) and every query, brought to
+norm M, a 0 there: then |q' - x'|^2 = 2 M^2 - 2 q'.x, so the nearest in that metric space have the largest inner
+products and the triangle inequality holds. A tree splits its points at the median distance from a vantage point; a
+leaf is skipped if ``factor`` times the least distance it can hold exceeds the k-th best distance so far. Factor 1
+gives exact results, larger factors skip more.
+
+Were M much larger than most norms, all points would lie about M from every query and the factor would skip nearly
+all of them. A shard therefore has one tree per band of norms, each with its own M: a band's norms are within a
+factor of 2, or the band is no more than one leaf.
 
 Shards are dealt by a hash of the id, so their size does not depend on the data. Equal vectors share one place
 in a tree with their smallest ids, as no more of them can be among the k nearest.
@@ -91,13 +95,18 @@ class Tree:
                 np.maximum(out[:, leaf], np.maximum(reach[:, node] - most, least - reach[:, node]), out=out[:, leaf])
         return out
 
-    def search(self, own: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """The k best ids and inner products of each query, best first, ties to smaller ids; -inf where there are fewer."""
+    def search(
+        self, own: np.ndarray, queries: np.ndarray, k: int, factor: float, so_far: tuple[np.ndarray, np.ndarray] | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The k best ids and inner products of each query, best first, ties to smaller ids; -inf where there are fewer.
+        ``so_far`` holds the scores and ids that other trees have found, and is filled further."""
         n = len(queries)
-        scores, ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
-        least = self.least_distances(queries)
-        squares = np.einsum("ij,ij->i", queries, queries) + self.norm**2
-        slack = 1e-7 * (np.sqrt(squares) + self.norm)
+        scores, ids = so_far or (np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max))
+        # The order of inner products does not depend on a query's length, so bounds are taken at norm M.
+        lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+        scale = np.divide(self.norm, lengths, out=np.zeros(n), where=lengths > 0)
+        least = self.least_distances(queries * scale[:, None])
+        slack = np.where(lengths > 0, 2e-7 * self.norm, np.inf)
         done = np.zeros(least.shape, bool)
 
         def look(leaf: int, rows: np.ndarray) -> None:
@@ -120,13 +129,36 @@ class Tree:
             for leaf in np.unique(nearest[:, turn]):
                 look(int(leaf), np.flatnonzero(nearest[:, turn] == leaf))
         for leaf in np.argsort(least.mean(axis=0), kind="stable"):
-            radius = np.sqrt(np.maximum(squares - 2 * scores[:, -1], 0)) + slack  # infinite until k are found
+            # Infinite until k are found.
+            worst = np.where(scores[:, -1] > -np.inf, scores[:, -1] * scale, -np.inf)
+            radius = np.sqrt(np.maximum(2 * self.norm**2 - 2 * worst, 0)) + slack
             rows = np.flatnonzero(~done[:, leaf] & (factor * least[:, leaf] <= radius))
             if len(rows):
                 look(int(leaf), rows)
         return ids, scores
 
 
+def planted(ids: np.ndarray, vectors: np.ndarray, keep: int) -> list[Tree]:
+    """The trees of a shard, one per band of norms, largest norms first."""
+    norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+    order = np.argsort(-norms, kind="stable")
+    trees, low = [], 0
+    while low < len(order):
+        top = float(norms[order[low]])
+        high = max(int(np.searchsorted(-norms[order], -top / 2, side="right")), min(low + LEAF, len(order)))
+        trees.append(Tree(ids[order[low:high]], vectors[order[low:high]], top, keep))
+        low = high
+    return trees
+
+
+def searched(trees: list[Tree], own: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """The k best ids and inner products of each query over the trees of a shard, as in Tree.search."""
+    ids, scores = trees[0].search(own, queries, k, factor)
+    for tree in trees[1:]:
+        ids, scores = tree.search(own, queries, k, factor, (scores, ids))
+    return ids, scores
+
+
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -148,24 +180,23 @@ def nearest_neighbours(
 
     spark = vectors.sparkSession
     points = written(cleaned(vectors))
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    lengths = points.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(square).alias("square"))
+    lengths = points.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
     commonest = lengths.orderBy(F.desc("n"), "d").first()
     result = "query_id bigint, rank int, vec_id bigint, score double"
     if commonest is None:
         return spark.createDataFrame([], result)
-    width, count, norm = commonest["d"], commonest["n"], math.sqrt(commonest["square"])
+    width, count = commonest["d"], commonest["n"]
     shards = max(1, math.ceil(count / SHARD))
     fit = F.size("v") == width
 
-    def planted(part: pa.Table) -> pa.Table:
+    def planting(part: pa.Table) -> pa.Table:
         import pickle
 
-        tree = Tree(part["id"].to_numpy(), _matrix(part["v"]), norm, k + 1)
-        return pa.table({"shard": part["shard"][:1], "tree": pa.array([pickle.dumps(vars(tree), 5)], pa.binary())})
+        trees = planted(part["id"].to_numpy(), _matrix(part["v"]), k + 1)
+        return pa.table({"shard": part["shard"][:1], "trees": pa.array([pickle.dumps([vars(t) for t in trees], 5)], pa.binary())})
 
     index = points.where(fit).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    index = written(index.groupBy("shard").applyInArrow(planted, "shard int, tree binary"))
+    index = written(index.groupBy("shard").applyInArrow(planting, "shard int, trees binary"))
 
     asked = cleaned(queries).where(fit)
     total = asked.count()
@@ -183,22 +214,24 @@ def nearest_neighbours(
     visits = blocked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("copy", F.col("block") % copies)
     trees = index.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
-    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def searching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
         for batch in batches:
             for i in range(batch.num_rows):
-                tree = Tree.__new__(Tree)
-                vars(tree).update(pickle.loads(batch.column("tree")[i].as_py()))
+                trees = []
+                for held in pickle.loads(batch.column("trees")[i].as_py()):
+                    trees.append(Tree.__new__(Tree))
+                    vars(trees[-1]).update(held)
                 own = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
                 rows = np.frombuffer(batch.column("rows")[i].as_py(), np.float64).reshape(len(own), -1)
-                ids, scores = tree.search(own, rows, k, factor)
+                ids, scores = searched(trees, own, rows, k, factor)
                 found = scores > -np.inf
                 yield pa.record_batch(
                     [pa.array(np.repeat(own, found.sum(axis=1))), pa.array(ids[found]), pa.array(scores[found])], names=["query_id", "vec_id", "score"]
                 )
 
-    met = trees.join(visits, ["shard", "copy"]).select("tree", "ids", "rows")
-    found = met.mapInArrow(searched, "query_id bigint, vec_id bigint, score double")
+    met = trees.join(visits, ["shard", "copy"]).select("trees", "ids", "rows")
+    found = met.mapInArrow(searching, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -284,6 +284,22 @@ def test_larger_factors_prune_more():
     assert (rough == exact).mean() > 0.5
 
 
+@pytest.mark.parametrize("largest, heavy", [(10, 5), (30, 5), (100, 5), (100, 600)])
+def test_recall_does_not_depend_on_the_largest_norm(spark, largest, heavy):
+    """Clustered unit vectors, some of them lengthened."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 64))
+    rows = np.repeat(centres, 50, 0) + rng.normal(size=(3000, 64)) * 0.4
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    rows[rng.choice(3000, heavy, replace=False)] *= rng.uniform(0.5, 1, (heavy, 1)) * largest
+    rows = rows.astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id bigint, embedding array<float>")
+    found = nearest_neighbours(df, df.where("vec_id % 20 = 0"))
+    want = {w[:1] + w[2:3] for w in brute_neighbours(list(range(3000)), rows.astype(np.float64), range(0, 3000, 20), 20)}
+    got = {(r["query_id"], r["vec_id"]) for r in found.collect()}
+    assert len(want & got) >= 0.9 * len(want) and len(got) == len(want)
+
+
 # Registered queries and the pipeline --------------------------------------------------------------------------
 
 
