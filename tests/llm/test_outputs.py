@@ -109,6 +109,29 @@ def test_curriculum_order_and_copies(spark, sources):
     assert curriculum(df.limit(0)).count() == 0 and mixed(df.limit(0)).count() == 0
 
 
+def test_mixed_rows_come_from_the_training_order(spark, sources):
+    rows, df = sources
+    df = df.where("doc_id is not null and doc_id <> 3")
+    found = mixed(df, positions="places").collect()
+    order = curriculum(df, due="when").collect()
+    places = {p: r["doc_id"] for r in found for p in r["places"]}
+    assert sorted(places) == list(range(len(order))) and len(places) == sum(len(r["places"]) for r in found)
+    assert [places[p] for p in range(len(order))] == [r["doc_id"] for r in order]
+    assert all(r["taken"] == r["size"] * len(r["places"]) for r in found)
+    firsts = [r["places"][0] if r["places"] else len(order) for r in found]
+    assert firsts == sorted(firsts)  # the query's own rows are in that order, too
+    assert [r["doc_id"] for r in mixed(df).collect() if r["taken"]] == [r["doc_id"] for r in found if r["taken"]]
+
+
+def test_weights_are_integrals_of_the_ramps(spark):
+    sizes = spark.createDataFrame([("a", 1000), ("b", 1000)], "source string, source_size bigint")
+    got = {r["source"]: r["target"] for r in source_targets(sizes, weights=(1,), share=0.5, ramps=((0.0, 1.0), (1.0, 2.0))).collect()}
+    assert got == pytest.approx({"a": 250.0, "b": 750.0})
+    df = spark.createDataFrame([(float(i),) for i in range(11)], "turn double")
+    for r in df.withColumn("t", due_time(F.col("turn"), F.lit(10.0), F.lit(1.0), F.lit(2.0))).collect():
+        assert r["t"] + r["t"] ** 2 / 2 == pytest.approx(1.5 * r["turn"] / 10)
+
+
 # SentencePiece -----------------------------------------------------------------------------------------------
 
 
