@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -76,26 +77,50 @@ def calibrate(differences: np.ndarray, labels: np.ndarray, weights: np.ndarray)
     return knots, np.maximum.accumulate(np.clip(shares, 0.001, 0.999))
 
 
+#: Bytes of a text's pieces in a dictionary, and its shortest where a dictionary has room for little of each text.
+STEP, LEAST_STEP = 256, 32
+
+
 def dictionary(texts: list[bytes], size: int) -> bytes:
-    """Raw dictionary content: an equal share of every text, taken in turn from its pieces, up to ``size`` bytes."""
-    out, at = bytearray(), 0
-    step = 256
-    longest = max(map(len, texts), default=0)
-    while at < longest and len(out) < size:
-        for text in texts:
-            out += text[at : at + step]
-            if len(out) >= size:
-                break
-        at += step * 7
-    return bytes(out[:size])
+    """Raw dictionary content of at most ``size`` bytes: all of the texts if they fit, else an equal share of every
+    text (short ones leave theirs to the others), in pieces drawn from its whole length."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    if lengths.sum() <= size:
+        return b"".join(texts)
+    # The share at which the texts fill the dictionary: those shorter than it are a prefix in order of length.
+    ordered = np.sort(lengths)
+    before = np.cumsum(ordered) - ordered
+    levels = (size - before) // np.arange(len(ordered), 0, -1)
+    share = int(levels[np.argmax(levels < ordered)])
+    out = bytearray()
+    for text in texts:
+        out += spread(text, share)
+    # With more texts than bytes for the least piece of each, an evenly spaced part of them gives one.
+    return bytes(out) if share >= LEAST_STEP else b"".join(spread(texts[i * len(texts) * LEAST_STEP // size], LEAST_STEP) for i in range(size // LEAST_STEP))
+
+
+def spread(text: bytes, share: int) -> bytes:
+    """``share`` bytes of a text in its order: the text is cut in equal sections, and each gives one piece from a
+    place that a digest of the text and the section's number draws."""
+    if len(text) <= share:
+        return text
+    pieces = max(1, -(-share // STEP))
+    digest = hashlib.blake2b(text).digest()
+    bounds = [len(text) * k // pieces for k in range(pieces + 1)]
+    out = bytearray()
+    for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        size = share * (k + 1) // pieces - share * k // pieces
+        drawn = int.from_bytes(hashlib.blake2b(k.to_bytes(8, "big"), key=digest, digest_size=8).digest(), "big")
+        at = low + drawn % (max(high - low - size, 0) + 1)
+        out += text[at : at + size]
+    return bytes(out)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1200, size: int = 1 << 18) -> QualityModel | None:
     """Learn from at most about ``per_class`` labelled rows of either class that are not held out (a repeatable
     draw); None unless both classes occur. Two thirds fill dictionaries of ``size`` bytes, the others calibrate."""
     rows = labelled_sample(docs, labels, label, per_class)
-    share = F.substring("text", 1, size)  # no more of one text than a dictionary can hold
-    kept = rows.where("part < 0.66").select("label", "part", "doc_id", share.alias("text")).where("text is not null").collect()
+    kept = rows.where("part < 0.66").select("label", "part", "doc_id", "text").where("text is not null").collect()
     kept.sort(key=lambda r: (r["part"], r["doc_id"], r["text"]))
     parts = [dictionary([r["text"].encode() for r in kept if r["label"] == c], size) for c in (1, 0)]
     if not all(parts):

@@ -245,6 +245,18 @@ def test_calibration_rises_and_dictionaries_are_bounded():
     assert len(dictionary([b"x" * 9000, b"y" * 10], 1000)) == 1000 and dictionary([], 10) == b""
 
 
+def test_dictionaries_learn_from_every_part_of_a_text():
+    """Texts with one long opening for all; a mark tells where in its text a piece lay."""
+    texts = [b"same opening " * 150 + b"".join(b"<%d:%d>" % (k, at) for at in range(400)) + b"." * (k % 7) for k in range(800)]
+    for size in (1 << 18, 1 << 14):
+        found = dictionary(texts, size)
+        marks = [(int(k), int(at)) for k, at in re.findall(rb"<(\d+):(\d+)>", found)]
+        assert len(found) <= size and len(found) > 0.9 * size and {at // 40 for _, at in marks} >= set(range(10))
+        assert found.count(b"same opening") * 13 < 0.5 * len(found)
+        assert len({k for k, _ in marks}) > 0.4 * min(len(texts), size // 32)
+    assert dictionary(texts[:3], 1 << 18) == b"".join(texts[:3])
+
+
 # N-gram join -------------------------------------------------------------------------------------------------
 
 
