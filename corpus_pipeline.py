@@ -16,16 +16,20 @@ from relfold.llm.queries import VOCABULARY
 from relfold.llm.templates import without_repeated_lines
 
 
+#: Tokens of a line that counts as a passage.
+PASSAGE = 50
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: those without a letter, and null ones, are rejected."""
     found, name, _ = with_language(docs, fit_language(docs))
     return found.where(F.col(name) != UNDETERMINED).select(*[f"`{c}`" for c in docs.columns])
 
 
-def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str, **options) -> DataFrame:
     """Documents without the lines of recurring templates; n_chars follows. Those with nothing left go."""
     dropped = free_name(docs, "dropped")
-    left = without_repeated_lines(docs, count=dropped)
+    left = without_repeated_lines(docs, count=dropped, **options)
     left = left.where((F.col(dropped) == 0) | (F.col("text") != ""))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text")).otherwise(F.col("n_chars")))
@@ -33,8 +37,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates."""
-    return one_of_each(docs)
+    """One document, that of the smallest id, of each group of near duplicates. Of what is left, a line of PASSAGE
+    tokens or more that stands in two documents goes from all but the first; before, it might go from the one kept."""
+    return drop_lines(spark, written(one_of_each(docs)), sf_dir, min_tokens=PASSAGE, min_docs=2, min_constant=1.0)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

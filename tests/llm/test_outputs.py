@@ -390,6 +390,16 @@ def test_pipeline_stages(spark, vocabulary):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_pipeline_drops_passages_of_two_documents(spark):
+    words = lambda name, n: " ".join(f"{name}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+    passage, short = words("p", 50), words("s", 49)
+    rows = [(i, "\n".join([words(f"own{c}", 120), passage, short]), "en", "s", 1) for i, c in enumerate("xy")]
+    docs = spark.createDataFrame(rows, DOCS)
+    left = {r["doc_id"]: r for r in corpus_pipeline.join_near(spark, corpus_pipeline.drop_lines(spark, docs, SF_DIR), SF_DIR).collect()}
+    assert left[0]["text"] == rows[0][1] and left[1]["text"] == "\n".join([words("owny", 120), short])
+    assert left[1]["n_chars"] == len(left[1]["text"])
+
+
 def test_pipeline_runs_whole_and_on_nothing(spark, tmp_path):
     folder = tmp_path / "data"
     spark.createDataFrame([], DOCS).write.parquet(str(folder / "documents.parquet"))
