@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from relfold.llm import bpe
 from relfold.llm.common import held_out, small_batches
 from relfold.llm.curriculum import mixed
 from relfold.llm.exact_dedup import exact_duplicates
@@ -19,6 +20,9 @@ from relfold.llm.vantage import nearest_neighbours
 #: A public vocabulary; any SentencePiece model file will do.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
+#: A public byte-level vocabulary; any plain one in this file format will do.
+BYTE_PAIRS = "/opt/tokenizers/byte_bpe_50k.json"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -77,6 +81,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.load_byte_pairs(BYTE_PAIRS))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_templates": op2_line_templates,
@@ -88,6 +96,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_mixing": op9_mixing,
     "op10_neighbours": op10_neighbours,
+    "op12_bpe": op12_bpe,
 }
 
 ORACLE = {
