@@ -12,6 +12,7 @@ from relfold.llm.language import fit_language, predict_language
 from relfold.llm.near import near_duplicates
 from relfold.llm.pieces import load_pieces, round_trip
 from relfold.llm.quality import fit_quality, with_quality
+from relfold.llm.repair import damaged, repair
 from relfold.llm.shards import training_shards
 from relfold.llm.templates import without_repeated_lines
 from relfold.llm.toxicity import fit_toxicity, with_toxicity
@@ -85,6 +86,10 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.load_byte_pairs(BYTE_PAIRS))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(table(spark, sf_dir, "conversations"))).summary
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_templates": op2_line_templates,
@@ -97,6 +102,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_neighbours": op10_neighbours,
     "op12_bpe": op12_bpe,
+    "op13_repair": op13_repair,
 }
 
 ORACLE = {
