@@ -17,6 +17,7 @@ from relfold.llm.shards import training_shards
 from relfold.llm.templates import without_repeated_lines
 from relfold.llm.toxicity import fit_toxicity, with_toxicity
 from relfold.llm.vantage import nearest_neighbours
+from relfold.llm.whitening import whiten
 
 #: A public vocabulary; any SentencePiece model file will do.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -82,6 +83,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.load_byte_pairs(BYTE_PAIRS))
 
@@ -101,6 +106,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_mixing": op9_mixing,
     "op10_neighbours": op10_neighbours,
+    "op11_whitening": op11_whitening,
     "op12_bpe": op12_bpe,
     "op13_repair": op13_repair,
 }
