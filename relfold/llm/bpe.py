@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
@@ -29,18 +30,18 @@ from tokenizers import pre_tokenizers
 
 from relfold.llm.common import free_name, small_batches
 
-#: Characters that are cut into words together, and bytes of a long word that are searched together.
+#: Characters that are cut into words together, and bytes of a word that are searched together.
 WINDOW, BLOCK = 1 << 20, 1 << 16
 #: Words whose ids a worker remembers, and the longest of them.
 REMEMBERED, REMEMBERED_LENGTH = 1 << 18, 64
 #: Matches at a window's end that may look different with the next characters: one that goes on, and a contraction.
 UNSURE = 3
 
-# The pattern of words of byte-level vocabularies, with {letter} and {number} as classes.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|\s+(?!\S)|\s+"
-
-#: Stands between words that are searched together; bytes are the characters below it.
-BETWEEN = "\u0100"
+# The pattern of words of byte-level vocabularies, with its classes left open. What begins with a letter
+# or a space comes first; no other part begins so, but for white space.
+WORDS = r" ?{letter}+|'s|'t|'re|'ve|'m|'ll|'d| ?{number}+| ?{other}+|{space}+(?!{solid})|{space}+"
+# The same classes among the characters below U+0100, which a plainer engine finds faster.
+LETTER, NUMBER, SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 
 #: Rank of what is never merged into anything.
 NEVER = 1 << 60
@@ -123,7 +124,9 @@ class Encoder:
         words = self.vocabulary
         special = {i for _, i in words.added}
         self.sizes = [len(t) if t is not None else 0 for t in words.tokens]
-        self.rank_of = {(a, b): rank for rank, (a, b, _) in enumerate(words.merges)}
+        self.rank_of: dict[int, dict[int, int]] = {}
+        for rank, (a, b, _) in enumerate(words.merges):
+            self.rank_of.setdefault(a, {})[b] = rank
         self.parts = {c: (a, b, rank) for rank, (a, b, c) in enumerate(words.merges)}
         # Tokens that no merge makes, other than single bytes, never come out of the merges.
         index = {t: i for i, t in enumerate(words.tokens) if t is not None and i not in special and (len(t) == 1 or i in self.parts)}
@@ -136,12 +139,16 @@ class Encoder:
             self.shorter[i] = next((index[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in index), -1)
             automaton.add_word(token[::-1].decode("latin-1"), i)
         automaton.make_automaton()
-        self.remembered: dict[str, tuple[int, ...]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        plain = WORDS.format(letter=r"\p{L}", number=r"\p{N}", other=r"[^\s\p{L}\p{N}]")
-        self.plain = regex.compile(plain)
+        self.edges = [[None] * len(words.tokens) for _ in range(2)]
+        self.known = _Words(self)
+        self.fits: dict[int, bool] = {}
+        self.latin = re.compile(
+            WORDS.format(letter=f"[{LETTER}]", number=f"[{NUMBER}]", other=f"[^{SPACE}{LETTER}{NUMBER}]", space=f"[{SPACE}]", solid=f"[^{SPACE}]")
+        )
+        space = {"space": r"\s", "solid": r"\S"}
+        self.plain = regex.compile(WORDS.format(letter=r"\p{L}", number=r"\p{N}", other=r"[^\s\p{L}\p{N}]", **space))
         new = words.newer
-        strict = WORDS.format(letter=rf"[\p{{L}}--[{new}]]", number=rf"[\p{{N}}--[{new}]]", other=rf"(?:[^\s\p{{L}}\p{{N}}]|[{new}])")
+        strict = WORDS.format(letter=rf"[\p{{L}}--[{new}]]", number=rf"[\p{{N}}--[{new}]]", other=rf"(?:[^\s\p{{L}}\p{{N}}]|[{new}])", **space)
         self.strict = regex.compile("(?V1)" + strict) if new else self.plain
         self.newer = re.compile(f"[{new}]") if new else re.compile("(?!)")
         contents = sorted((re.escape(text) for text, _ in words.added), key=len, reverse=True)
@@ -164,34 +171,19 @@ class Encoder:
         return np.concatenate(found) if found else np.empty(0, np.uint32)
 
     def _segment(self, text: str) -> list[np.ndarray]:
-        return [self._window(words) for words in self.words(text)]
-
-    def _window(self, words: list[str]) -> np.ndarray:
-        if len(self.remembered) >= REMEMBERED:
-            self.remembered.clear()
-        known = self.remembered
-        new = [w for w in set(words) if w not in known]
-        if new:
-            short = [w for w in new if len(w) <= REMEMBERED_LENGTH]
-            known.update(zip(short, self._short(short)))
-            if len(short) < len(new):
-                known = dict(known) if len(known) < len(words) else {w: known[w] for w in set(words) if w in known}
-                known.update((w, self.backtrack(w.encode("utf-8", "surrogatepass"))) for w in new if len(w) > REMEMBERED_LENGTH)
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.uint32)
-
-    def _short(self, words: list[str]) -> Iterator[tuple[int, ...]]:
-        """The ids of words that are searched together, a character between them that no token holds."""
-        data = [w.encode("utf-8", "surrogatepass") for w in words]
-        first = self._search(BETWEEN.join([d.decode("latin-1") for d in data])).tolist()
-        at = 0
-        for d in data:
-            yield self._walk(first[at : at + len(d)], len(d))
-            at += len(d) + 1
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32) for words in self.words(text)]
+
+    def _pattern(self, text: str):
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.strict if self.newer.search(text) else self.plain
+        return self.latin
 
     def words(self, text: str) -> Iterator[list[str]]:
         """The words of a text, a window at a time; a word longer than a window makes the window grow."""
         self._tables
-        pattern = self.plain if text.isascii() or not self.newer.search(text) else self.strict
+        pattern = self._pattern(text)
         at, end, span = 0, len(text), WINDOW
         while at < end:
             stop = min(at + span, end)
@@ -205,27 +197,26 @@ class Encoder:
             yield found
             at, span = stop, WINDOW
 
-    def _search(self, text: str) -> np.ndarray:
-        """The longest token that begins at each place, from one pass over the reversed text."""
-        out = np.full(len(text), -1, np.int32)
-        last, before = len(text) - 1, -1
-        # Of the matches that end at one place of the reversed text, the longest comes first.
-        for end, token in self._tables.iter(text[::-1]):
+    def search(self, data: bytes) -> list[int]:
+        """The longest token that begins at each place, from one pass over the reversed bytes."""
+        out = [-1] * len(data)
+        last, before = len(data) - 1, -1
+        # Of the matches that end at one place of the reversed bytes, the longest comes first.
+        for end, token in self._tables.iter(data[::-1].decode("latin-1")):
             if end != before:
                 out[last - end] = token
                 before = end
         return out
 
-    def backtrack(self, data: bytes) -> tuple[int, ...]:
+    def backtrack(self, data: bytes) -> list[int]:
         """The tokens that the merges make of a word's bytes. A long word is searched block by block."""
         self._tables
-        return self._walk(Blocks(self, data), len(data))
-
-    def _walk(self, first: Sequence[int], size: int) -> tuple[int, ...]:
+        first: Sequence[int] = self.search(data) if len(data) <= BLOCK else Blocks(self, data)
+        size = len(data)
+        out: list[int] = []
         if not size:
-            return ()
+            return out
         sizes, shorter, fits = self.sizes, self.shorter, self.fits
-        out: list[int] = []
         dead: set[int] = set()
         place, before, token = 0, -1, first[0]
         while place < size:
@@ -234,7 +225,7 @@ class Encoder:
                 if end not in dead:
                     if before < 0:
                         break
-                    good = fits.get((before, token))
+                    good = fits.get(before << 32 | token)
                     if good if good is not None else self.compatible(before, token):
                         break
                 token = shorter[token]
@@ -247,39 +238,65 @@ class Encoder:
                 token = out.pop()
                 place -= sizes[token]
                 before = out[-1] if out else -1
-        return tuple(out)
+        return out
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merges leave two tokens as they are when their bytes stand side by side; remembered by pair."""
-        known = self.fits.get((left, right))
+        self._tables
+        pair = left << 32 | right
+        known = self.fits.get(pair)
         if known is None:
-            if len(self.fits) >= 16 * REMEMBERED:
+            if len(self.fits) >= 4 * REMEMBERED:
                 self.fits.clear()
-            known = self.fits[left, right] = self._compatible(left, right)
+            known = self.fits[pair] = self._compatible(left, right)
         return known
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens that stand at one edge of a token while it is built, each with the rank of the merge that takes
         it up."""
-        out, until = [], NEVER
-        while True:
-            out.append((token, until))
-            if token not in self.parts:
-                return out
-            until = self.parts[token][2]
-            token = self.parts[token][side]
+        out = self.edges[side][token]
+        if out is None:
+            out, until, at = [(token, NEVER)], NEVER, token
+            while at in self.parts:
+                until = self.parts[at][2]
+                at = self.parts[at][side]
+                out.append((at, until))
+            self.edges[side][token] = out
+        return out
 
     def _compatible(self, left: int, right: int) -> bool:
         rights = self._edge(right, 0)
         for a, a_until in self._edge(left, 1):
-            for b, b_until in rights:
-                # Of equal merges the leftmost is done first: the one on the left's side before, that on the right's after.
-                rank = self.rank_of.get((a, b), NEVER)
-                if rank < a_until and rank <= b_until and rank < NEVER:
-                    return False
+            ranks = self.rank_of.get(a)
+            if ranks:
+                for b, b_until in rights:
+                    # Of equal merges the leftmost is done first: the one on the left's side before, that on the right's after.
+                    rank = ranks.get(b)
+                    if rank is not None and rank < a_until and rank <= b_until:
+                        return False
         return True
 
 
+class _Words(dict):
+    """The packed ids of words, found when first asked for. A part is forgotten once there are many; words that come
+    again soon stay, as the half that was asked for last is kept."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("I", self.encoder.backtrack(word.encode("utf-8", "surrogatepass"))).tobytes()
+        if len(word) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Blocks:
     """The longest tokens of a word's places; two blocks are held at a time, as a walk goes back by a few tokens only
     and what it left can be found again."""
@@ -293,7 +310,7 @@ class Blocks:
             if len(self.held) == 2:
                 del self.held[max(self.held, key=lambda b: abs(b - k))]
             part = self.data[k * BLOCK : (k + 1) * BLOCK + self.encoder.longest_size]
-            self.held[k] = self.encoder._search(part.decode("latin-1"))[:BLOCK].tolist()
+            self.held[k] = self.encoder.search(part)[:BLOCK]
         return self.held[k][at]
 
 
