@@ -125,7 +125,7 @@ def apply_actions(
     target: str = "target",
     unique_keys: Collection[tuple[str, str]] = (),
     approx_distinct: bool = False,
-    skew: SkewPolicy = DEFAULT_SKEW,
+    skew: SkewPolicy | None = DEFAULT_SKEW,
     share: bool = False,
 ) -> ActionResult:
     """Apply every valid action to all roots alike, or to none of them.

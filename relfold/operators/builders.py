@@ -20,7 +20,7 @@ def merge_feature(
     base: DataFrame,
     feature: DataFrame,
     keys: Sequence[str],
-    skew: SkewPolicy = DEFAULT_SKEW,
+    skew: SkewPolicy | None = DEFAULT_SKEW,
 ) -> DataFrame:
     """Left join on composite keys that keeps the rows of the base as they are.
 
@@ -47,7 +47,7 @@ def apply_builders(
     builders: Sequence[FeatureBuilder],
     target: str = "target",
     on_error: str = "skip",
-    skew: SkewPolicy = DEFAULT_SKEW,
+    skew: SkewPolicy | None = DEFAULT_SKEW,
     store_roots_every: int = 8,
 ) -> ActionResult:
     """Run builders in turn; each sees the features of those before it, never the label.

@@ -31,13 +31,13 @@ def prefixed(table: str, source: DataFrame, key: str, columns: Sequence[str] | N
 
 
 def direct_enrich(base: DataFrame, table: str, source: DataFrame, key: str, base_key: str | None = None,
-                  null_safe: bool = True, skew: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
+                  null_safe: bool = True, skew: SkewPolicy | None = DEFAULT_SKEW) -> DataFrame:
     """Left join of a dimension whose key is unique."""
     return attach(base, [base_key or key], [prefixed(table, source, key, null_safe=null_safe)], skew)
 
 
 def aggregate_enrich(base: DataFrame, table: str, source: DataFrame, key: str, base_key: str | None = None,
-                     exclude_ids: bool = False, approx_distinct: bool = False, skew: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
+                     exclude_ids: bool = False, approx_distinct: bool = False, skew: SkewPolicy | None = DEFAULT_SKEW) -> DataFrame:
     """Left join of a child table reduced to one row per key first."""
     measures = automatic_measures(table, source, key, exclude_ids)
     frame = aggregate_by_key(source, [key], measures, approx_distinct=approx_distinct)
@@ -73,7 +73,7 @@ def _lay_out(
     edges: Sequence[JoinEdge],
     exclude_ids: bool,
     approx_distinct: bool,
-    skew: SkewPolicy,
+    skew: SkewPolicy | None,
     share: bool,
 ) -> _Layout:
     """Decide from the schemas alone which frame is joined where."""
@@ -113,7 +113,7 @@ def enrich_tree(
     edges: Sequence[JoinEdge],
     exclude_ids: bool = False,
     approx_distinct: bool = False,
-    skew: SkewPolicy = DEFAULT_SKEW,
+    skew: SkewPolicy | None = DEFAULT_SKEW,
 ) -> DataFrame:
     """Join every edge of the tree onto the base, aggregating children where a join would add rows.
 
@@ -132,7 +132,7 @@ def enrich_roots(
     edges: Sequence[JoinEdge],
     exclude_ids: bool = False,
     approx_distinct: bool = False,
-    skew: SkewPolicy = DEFAULT_SKEW,
+    skew: SkewPolicy | None = DEFAULT_SKEW,
 ) -> dict[str, DataFrame]:
     """``enrich_tree`` for several roots: each aggregated child is computed once, written to the
     checkpoint folder and shared."""
@@ -145,7 +145,7 @@ def enrich_roots(
     return wide
 
 
-def _folded(planned: _Planned, skew: SkewPolicy) -> KeyedFrame:
+def _folded(planned: _Planned, skew: SkewPolicy | None) -> KeyedFrame:
     """A dimension with its own dimensions already joined to it."""
     frame = planned.frame.frame
     for keys, inner in planned.inner.items():

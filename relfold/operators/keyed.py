@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from relfold.functions.columns import field_of, is_integral, quoted
 from relfold.session import stored
@@ -28,11 +30,12 @@ _DEFAULTS = {
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """How the left side of a join is split by hand.
+    """Salting of hot keys by hand, for plans that run without adaptive execution or must keep their partitioning.
 
-    Adaptive execution splits a hot partition only if both join sides come straight from a shuffle
-    and nothing after the join needs its partitioning; a grouped right side, or a second frame on
-    the same key, rules that out. Hot keys of the left side are therefore salted here, at every size of input.
+    Without a policy, joins leave hot keys to adaptive execution: both sides are shuffled for the join itself, so a
+    partition that is far larger than the others is read in slices, the matching one once per slice. No job is started
+    to find hot keys. With a policy, a sketch of the left side's keys (``hot_hashes``) tells the hot ones, which are
+    salted at every size of input.
 
     ``share``: part of the rows that makes a key hot, by default 1 / (4 * shuffle partitions), so that what is not
     split is a quarter of an even partition at most. At most 1 / share keys can be hot. ``salts``: slices per hot
@@ -46,7 +49,8 @@ class SkewPolicy:
         return self.share or 1 / (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-DEFAULT_SKEW = SkewPolicy()
+#: Hot keys are split by adaptive execution.
+DEFAULT_SKEW: SkewPolicy | None = None
 
 
 @dataclass(frozen=True)
@@ -162,31 +166,67 @@ def guarded(df: DataFrame, keys: Sequence[str], null_safe: bool = True) -> Keyed
     return KeyedFrame(checked.drop("__rows"), tuple(keys), null_safe)
 
 
+#: Most keys that one sketch may track, a bound of the aggregate itself.
+TRACKED = 1_000_000
+
+
+def _tracked(share: float) -> int:
+    """Keys a sketch tracks so that none above ``share`` is missed: it may be off by the rows over three quarters of
+    their number, and twice that keeps the errors below the share."""
+    return min(TRACKED, max(64, int(4 / share)))
+
+
+@dataclass(frozen=True)
+class KeySketch:
+    """Counters of a table's most frequent keys, one sketch per set of keys, and its rows. Taken in one pass, also
+    while the table is written (``stored_with_sketch``), and merged over tasks by the aggregate itself."""
+
+    total: int
+    #: (hash of the key, estimated rows), most frequent first.
+    counters: dict[str, list[tuple[int, int]]]
+
+    def hot(self, name: str, share: float) -> list[int]:
+        """Hashes of keys that hold more than ``share`` of the rows. A hash collision splits both keys: results do not
+        depend on what is found."""
+        return [h for h, n in self.counters[name] if n > share * self.total]
+
+
+def _sketch_columns(key_sets: dict[str, list[Column]], share: float) -> list[Column]:
+    # The estimate is part of the aggregate's result, so at most 1 / share counters per set reach the driver.
+    size = min(_tracked(share), int(1 / share) + 1)
+    tops = [F.call_function("approx_top_k", F.xxhash64(*cols), F.lit(size), F.lit(_tracked(share))).alias(name) for name, cols in key_sets.items()]
+    return [F.count(F.lit(1)).alias("__total"), *tops]
+
+
+def _sketch_of(values: dict, names: Sequence[str]) -> KeySketch:
+    return KeySketch(values["__total"], {n: [(r["item"], r["count"]) for r in values[n] or []] for n in names})
+
+
+def key_sketch(df: DataFrame, key_sets: dict[str, list[Column]], share: float) -> KeySketch:
+    """The sketch of a frame's keys, in one pass."""
+    return _sketch_of(df.agg(*_sketch_columns(key_sets, share)).first().asDict(), list(key_sets))
+
+
+def stored_with_sketch(df: DataFrame, key_sets: dict[str, Sequence[str]], share: float) -> tuple[DataFrame, KeySketch]:
+    """``stored`` with the sketch of some sets of key columns, observed while the table is written: the frame is
+    computed once, and ``attach`` takes ``sketch.hot(name, share)`` for any number of joins on the stored table."""
+    observed = Observation()
+    columns = _sketch_columns({name: token_columns(df, keys) for name, keys in key_sets.items()}, share)
+    frame = stored(df.observe(observed, *columns))
+    return frame, _sketch_of(observed.get, list(key_sets))
+
+
 def hot_hashes(df: DataFrame, key_sets: dict[str, list[Column]], share: float) -> dict[str, list[int]]:
-    """Hashes of keys that hold more than ``share`` of the rows.
+    """Hashes of keys that hold more than ``share`` of the rows, from a sketch taken in one pass."""
+    sketch = key_sketch(df, key_sets, share)
+    return {name: sketch.hot(name, share) for name in key_sets}
 
-    A map-side pass (``freqItems``) finds at most 1/share candidates per column, every frequent one among them;
-    a second pass counts these alone. A hash collision splits both keys: results do not depend on what is found.
-    """
-    # Read twice, and the frame may be the result of joins.
-    hashes = stored(df.select(*[F.xxhash64(*cols).alias(name) for name, cols in key_sets.items()]))
-    row = hashes.stat.freqItems(list(key_sets), share).first()
-    maybe = {name: row[f"{name}_freqItems"] for name in key_sets if row[f"{name}_freqItems"]}
-    if not maybe:
-        return {name: [] for name in key_sets}
-    wanted = F.col("set").isNull()
-    for name, found in maybe.items():
-        wanted = wanted | ((F.col("set") == name) & F.col("hash").isin(*found))
-    listed = [F.struct(F.lit(name).alias("set"), F.col(name).alias("hash")) for name in maybe]
-    every = F.struct(F.lit(None).cast("string").alias("set"), F.lit(0).cast("bigint").alias("hash"))
-    counted = hashes.select(F.inline(F.array(every, *listed))).where(wanted).groupBy("set", "hash").count().collect()
-    total = next((r["count"] for r in counted if r["set"] is None), 0)
-    return {name: [r["hash"] for r in counted if r["set"] == name and r["count"] > share * total] for name in key_sets}
-
-
-def _found_hot(hashed: Column, hot: Sequence[int]) -> Column:
-    """Whether a hash is among the hot ones, at most 1 / share of them: one literal array, looked up by hash."""
-    return hashed.isin(*hot)
+
+def _marked(df: DataFrame, hashed: Column, hot: Sequence[int], name: str) -> DataFrame:
+    """``df`` with a column that tells whether a hash is hot. The hot ones, at most 1 / share numbers, are a table."""
+    table = df.sparkSession.createDataFrame(pd.DataFrame({"__hot": np.array(hot, np.int64)}), "__hot bigint")
+    joined = df.join(F.broadcast(table), hashed == F.col("__hot"), "left")
+    return joined.withColumn(name, F.col("__hot").isNotNull()).drop("__hot")
 
 
 def _salt_source(df: DataFrame) -> Column:
@@ -199,28 +239,31 @@ def attach(
     base: DataFrame,
     base_keys: Sequence[str],
     frames: Sequence[KeyedFrame],
-    skew: SkewPolicy = DEFAULT_SKEW,
+    skew: SkewPolicy | None = DEFAULT_SKEW,
     hot: Sequence[int] | None = None,
 ) -> DataFrame:
     """Left-join frames that share one base key. The base is shuffled once for all of them.
 
     Each frame holds one row per key, so the rows of ``base`` neither multiply nor vanish. A frame
-    column already present on the base is dropped (left wins). Hot base keys are salted and the few
-    matching right rows replicated; whether a frame is broadcast is left to Spark, which checks size.
+    column already present on the base is dropped (left wins). Whether a frame is broadcast is left to Spark, which
+    checks size. Hot base keys are split by adaptive execution; with a ``skew`` policy, or given their hashes as
+    ``hot``, they are salted and the few matching right rows replicated. An empty ``hot`` says that there are none, so
+    that a grouped frame need not be shuffled again.
     """
     if not frames:
         return base
     order = list(base.columns)
     spark = base.sparkSession
-    if hot is None:
+    adaptive = hot is None and skew is None
+    if hot is None and skew is not None:
         hot = hot_hashes(base, {"h": token_columns(base, base_keys)}, skew.share_in(spark))["h"]
-    salts = skew.salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = (skew and skew.salts) or int(spark.conf.get("spark.sql.shuffle.partitions"))
     split = bool(hot) and salts > 1
     result = base
     if split:
-        is_hot = _found_hot(F.xxhash64(*token_columns(base, base_keys)), hot)
-        salt = F.when(is_hot, F.pmod(_salt_source(base), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-        result = base.withColumn("__salt", salt)
+        marked = _marked(base, F.xxhash64(*token_columns(base, base_keys)), hot, "__is_hot")
+        salt = F.when(F.col("__is_hot"), F.pmod(_salt_source(base), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+        result = marked.withColumn("__salt", salt).drop("__is_hot")
     for item in frames:
         if len(item.keys) != len(base_keys):
             raise ValueError(f"keys {item.keys} do not pair with {list(base_keys)}")
@@ -234,9 +277,14 @@ def attach(
         condition = [c == F.col(n) for c, n in zip(left, matched.values())]
         right = item.frame
         if split:
-            right = right.withColumn("__right_salt", _replicas(item, hot, salts))
+            right = _replicated(item, hot, salts)
             condition.append(F.col("__salt") == F.col("__right_salt"))
         right = right.withColumnsRenamed(matched)
+        if adaptive:
+            # Joined by the tokens' hash first: no frame comes partitioned by it, so both sides are shuffled for this
+            # join alone, which is what adaptive execution can split; and sorting compares one number.
+            right = right.withColumn("__right_hash", _token_hash(item, "__right__"))
+            condition.insert(0, F.xxhash64(*token_columns(result, base_keys)) == F.col("__right_hash"))
         joined = result.join(right, condition, "left")
         order += item.payload
         keep = order + ["__salt"] if split else order
@@ -244,6 +292,14 @@ def attach(
     return result.select(*[quoted(c) for c in order]) if split else result
 
 
+def _token_hash(item: KeyedFrame, prefix: str = "__") -> Column:
+    """The hash that ``xxhash64(*token_columns(...))`` gives on the base side: values, then null flags."""
+    n = range(len(item.keys))
+    tokens = [F.col(f"{prefix}key{i}") for i in n]
+    flags = [F.col(f"{prefix}null{i}") if item.null_safe else F.isnull(F.col(f"{prefix}key{i}")) for i in n]
+    return F.xxhash64(*tokens, *flags)
+
+
 def _same_types(left: DataFrame, item: KeyedFrame) -> None:
     for mine, name in zip(left.schema.fields, item.tokens):
         theirs = field_of(item.frame, name)
@@ -254,27 +310,26 @@ def _same_types(left: DataFrame, item: KeyedFrame) -> None:
             )
 
 
-def _replicas(item: KeyedFrame, hot: Sequence[int], salts: int) -> Column:
-    """Salt values of a right row: all of them for a hot key, zero otherwise."""
-    n = len(item.keys)
-    tokens = [F.col(f"__key{i}") for i in range(n)]
-    # Same hash input as the base side: values then null flags.
-    flags = [F.col(f"__null{i}") if item.null_safe else F.isnull(F.col(f"__key{i}")) for i in range(n)]
-    is_hot = _found_hot(F.xxhash64(*tokens, *flags), hot)
-    return F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+def _replicated(item: KeyedFrame, hot: Sequence[int], salts: int) -> DataFrame:
+    """The frame with a salt: all of them for a hot key, zero otherwise."""
+    marked = _marked(item.frame, _token_hash(item), hot, "__is_hot")
+    every = F.when(F.col("__is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return marked.withColumn("__right_salt", F.explode(every)).drop("__is_hot")
 
 
 def attach_grouped(
     base: DataFrame,
     groups: dict[tuple[str, ...], list[KeyedFrame]],
-    skew: SkewPolicy = DEFAULT_SKEW,
+    skew: SkewPolicy | None = DEFAULT_SKEW,
 ) -> DataFrame:
-    """``attach`` for several base keys; hot keys of all of them are found in one pass."""
-    sets = {f"h{i}": token_columns(base, keys) for i, keys in enumerate(groups) if set(keys) <= set(base.columns)}
-    found: dict[str, list[int]] = hot_hashes(base, sets, skew.share_in(base.sparkSession)) if sets else {}
+    """``attach`` for several base keys; with a policy, one sketch tells the hot keys of all of them."""
+    found: dict[str, list[int]] = {}
+    if skew is not None:
+        sets = {f"h{i}": token_columns(base, keys) for i, keys in enumerate(groups) if set(keys) <= set(base.columns)}
+        found = hot_hashes(base, sets, skew.share_in(base.sparkSession)) if sets else {}
     result = base
     for i, (keys, frames) in enumerate(groups.items()):
-        # A key that an earlier frame brings in is probed on the joins that lead to it; other columns are pruned.
+        # A key that an earlier frame brings in is sketched on the joins that lead to it; other columns are pruned.
         result = attach(result, keys, frames, skew, found.get(f"h{i}"))
     return result
 
@@ -286,7 +341,7 @@ def left_join_unique(
     right_keys: Sequence[str] | None = None,
     columns: Sequence[str] | None = None,
     null_safe: bool = True,
-    skew: SkewPolicy = DEFAULT_SKEW,
+    skew: SkewPolicy | None = DEFAULT_SKEW,
 ) -> DataFrame:
     """Left join to a right side the caller knows to be unique on its keys."""
     frame = keyed(right, right_keys or keys, columns, null_safe)

@@ -9,7 +9,7 @@ from relfold.operators.keyed import DEFAULT_SKEW, SkewPolicy, attach, guarded
 
 
 def with_target(output: DataFrame, source: DataFrame, id_column: str = "row_id", target: str = "target",
-                skew: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
+                skew: SkewPolicy | None = DEFAULT_SKEW) -> DataFrame:
     """Bring the label back from the source root; nothing to do if it is there or cannot be had."""
     if target in output.columns or not {id_column, target} <= set(source.columns):
         return output
@@ -17,7 +17,7 @@ def with_target(output: DataFrame, source: DataFrame, id_column: str = "row_id",
 
 
 def with_held_out_labels(test: DataFrame, labels: DataFrame, id_column: str = "row_id", target: str = "target",
-                         skew: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
+                         skew: SkewPolicy | None = DEFAULT_SKEW) -> DataFrame:
     """The test rows with their hidden labels, aligned by id. Absent labels are an error, never made up: a missing
     column at once, a row without a label when the rows are read."""
     missing = [c for c in (id_column, target) if c not in labels.columns]

@@ -47,7 +47,7 @@ def bring_columns(
     tables: Mapping[str, DataFrame],
     candidates: Sequence[str],
     facts: KeyFacts,
-    skew: SkewPolicy = DEFAULT_SKEW,
+    skew: SkewPolicy | None = DEFAULT_SKEW,
     is_key: Callable[[str], bool] = named_like_key,
 ) -> DataFrame:
     """Add the needed columns by left joins through unique keys, by the shortest way to each."""
@@ -133,7 +133,7 @@ def spec_frames(
     tables: Mapping[str, DataFrame],
     facts: KeyFacts,
     roots: Collection[str] = ("train", "test"),
-    skew: SkewPolicy = DEFAULT_SKEW,
+    skew: SkewPolicy | None = DEFAULT_SKEW,
     is_key: Callable[[str], bool] = named_like_key,
 ) -> dict[tuple[str, ...], list[KeyedFrame]]:
     """Frames of a spec per group_by. Root tables are not read: their rows carry the label."""
@@ -162,7 +162,7 @@ def apply_specs(
     tables: Mapping[str, DataFrame],
     specs: Sequence[FeatureSpec],
     unique_keys: Collection[tuple[str, str]] = (),
-    skew: SkewPolicy = DEFAULT_SKEW,
+    skew: SkewPolicy | None = DEFAULT_SKEW,
     share: bool = False,
     is_key: Callable[[str], bool] = named_like_key,
 ) -> ActionResult:

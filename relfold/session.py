@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot partition even if what follows the join then needs a shuffle of its own.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Report the true size of an outsized block, so that adaptive execution can see skew in
     # shuffles with thousands of partitions.
     "spark.shuffle.accurateBlockSkewedFactor": "5.0",

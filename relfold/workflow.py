@@ -86,7 +86,7 @@ def build_features(
     join_tree: bool = False,
     target: str = "target",
     is_key: Callable[[str, str], bool] = named_like_id,
-    skew: SkewPolicy = DEFAULT_SKEW,
+    skew: SkewPolicy | None = DEFAULT_SKEW,
 ) -> Built:
     """Builders, then specs, then actions, then (if asked) the whole join tree, on both roots."""
     tables = dict(bundle.tables.items())
@@ -118,7 +118,7 @@ def run(
     prefer: Iterable[tuple[str, str]] = (),
     threshold: float = UNIQUE_THRESHOLD,
     strict: bool = True,
-    skew: SkewPolicy = DEFAULT_SKEW,
+    skew: SkewPolicy | None = DEFAULT_SKEW,
     exact_split: bool = True,
 ) -> Selection:
     """From a bundle to the two written outputs: base columns plus the strongest features.

@@ -13,6 +13,7 @@ from relfold.operators.keyed import (
     duplicate_keys,
     guarded,
     hot_hashes,
+    stored_with_sketch,
     is_unique,
     keyed,
     left_join_unique,
@@ -174,3 +175,67 @@ def test_grouped_frame_is_not_shuffled_again(spark, frame):
     # One shuffle of the base and one per grouping, none between grouping and join.
     assert plan.count("Exchange hashpartitioning") == 3
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_joins_start_no_job_and_split_hot_keys_as_they_run(spark):
+    """Half of the rows on one key: its partition is read in slices, also by the join that follows."""
+    settings = {
+        "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        base = spark.range(60000, numPartitions=8).selectExpr("if(id % 2 = 0, 7, id % 5000) as k", "xxhash64(id) as v")
+        child = spark.range(20000).selectExpr("id % 5000 as k", "id")
+        frames = [aggregate_by_key(child, ["k"], [Measure("sum", "a", "id")]), aggregate_by_key(child, ["k"], [Measure("max", "b", "id")])]
+        tracker = spark.sparkContext.statusTracker()
+        seen = set(tracker.getJobIdsForGroup(None))
+        joined = attach(base, ["k"], frames)
+        assert set(tracker.getJobIdsForGroup(None)) == seen
+        assert _final_plan(joined).count("skew=true") >= 1
+        assert joined.count() == 60000 and joined.where("b is null or a < b").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("policy", [None, SkewPolicy(salts=3)])
+def test_twenty_thousand_partitions(spark, frame, policy):
+    spark.conf.set("spark.sql.shuffle.partitions", "20000")
+    try:
+        left = spark.range(3000).selectExpr("id", "cast(if(id % 3 = 0, 7, id) as int) as k")
+        right = spark.range(3000).selectExpr("cast(id as int) as k", "id * 2 as twice")
+        joined = attach(left, ["k"], [keyed(right, ["k"])], policy)
+        if policy:
+            assert policy.share_in(spark) == 1 / 80000
+            # No key is written into the plan.
+            assert len(joined._jdf.queryExecution().logical().toString()) < 10_000
+        assert joined.where("twice = 2 * k").count() == 3000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_one_sketch_rides_along_when_a_root_is_stored(spark):
+    root = spark.range(9000).selectExpr("id", "cast(if(id % 3 = 0, 7, id + 100) as int) as k", "if(id % 2 = 0, null, cast(id as string)) as s")
+    tracker = spark.sparkContext.statusTracker()
+    seen = len(tracker.getJobIdsForGroup(None))
+    table, sketch = stored_with_sketch(root, {"k": ["k"], "s": ["s"]}, 0.1)
+    assert len(tracker.getJobIdsForGroup(None)) == seen + 1  # the writing
+    assert sketch.total == 9000
+    for name, value in (("k", "cast(7 as int)"), ("s", "cast(null as string)")):
+        row = spark.range(1).selectExpr(f"{value} as {name}")
+        assert sketch.hot(name, 0.1) == [row.select(F.xxhash64(*token_columns(row, [name]))).first()[0]]
+    child = spark.range(9200).selectExpr("cast(id as int) as k", "id as v")
+    by_text = aggregate_by_key(root, ["s"], [Measure("size", "n")])
+    seen = len(tracker.getJobIdsForGroup(None))
+    joined = attach(attach(table, ["k"], [keyed(child, ["k"])], hot=sketch.hot("k", 0.1)), ["s"], [by_text], hot=sketch.hot("s", 0.1))
+    assert len(tracker.getJobIdsForGroup(None)) == seen
+    assert joined.where("v = k").count() == 9000 and joined.where("s is null and n = 4500").count() == 4500
