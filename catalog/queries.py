@@ -537,7 +537,7 @@ def score_report(spark: SparkSession, sf: str) -> DataFrame:
     tables = _planted(views)
     score = score_output(
         tables["train"].drop("target"), tables["test"].drop("target"), tables["test"].select("row_id", "target"),
-        source_train=tables["train"], keys=("user_id", "product_id"), parallelism=5,
+        source_train=tables["train"], keys=("user_id", "product_id"), parallelism=6,
     )
     return score.report
 

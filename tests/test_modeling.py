@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
@@ -10,7 +11,10 @@ from relfold.modeling.metrics import auc_by_rank
 from relfold.modeling.scoring import cross_validate, score_output
 from relfold.modeling.selection import all_features, final_projection, numeric_features, select_features
 from relfold.modeling.split import with_exact_folds, with_exact_holdout, with_folds, with_holdout
-from relfold.modeling.training import MEAN_FOLDS, FeatureEncoder, TreeSettings, fit_trees, top_features, with_class_weights
+from relfold.modeling import training
+from relfold.modeling.training import (
+    MEAN_FOLDS, FeatureEncoder, TreeSettings, boosted, first_rounds, fit_trees, top_features, with_class_weights,
+)
 from relfold.operators.checks import failed, output_checks, require
 from relfold.operators.labels import with_held_out_labels, with_target
 from relfold.plans.models import Action, FeatureBuilder, TablePlan
@@ -268,3 +272,37 @@ def test_whole_run(spark, tmp_path):
     written = load_bundle(spark, str(tmp_path / "out"))
     assert written.train.columns == ["row_id", "user_id", "target", *found.selected]
     assert written.test.count() == 40
+
+
+def test_the_first_rounds_are_what_fewer_rounds_give(labelled):
+    vectors = FeatureEncoder(["x", "noise"], "target").fit(labelled).transform(labelled.withColumn("__label", F.col("target").cast("double")), ["__label"])
+    many, few = boosted(vectors, TreeSettings(iterations=9, depth=3)), boosted(vectors, TreeSettings(iterations=4, depth=3))
+    prefix = first_rounds(many, 4)
+    assert prefix.getNumTrees == 4 and prefix.treeWeights == few.treeWeights
+    assert prefix.featureImportances == few.featureImportances
+    assert prefix.transform(vectors).select("probability").collect() == few.transform(vectors).select("probability").collect()
+
+
+def test_boosting_is_run_once(labelled, monkeypatch):
+    runs = []
+    original = training.boosted
+    monkeypatch.setattr(training, "boosted", lambda *a, **k: runs.append(1) or original(*a, **k))
+    model = fit_trees(with_holdout(labelled), ["noise", "gap"], "target", TreeSettings(iterations=25, depth=3, learning_rate=0.5), "is_holdout")
+    assert model.kept < 25 and len(runs) == 1
+
+
+@pytest.mark.parametrize("fold", [0, 2])
+def test_one_encoding_serves_all_folds(labelled, fold):
+    """Means by subtraction equal those of an encoder that never saw the fold."""
+    features = ["x", "kind", "who"]
+    placed = with_exact_folds(labelled, folds=3)
+    encoder = FeatureEncoder(features, "target", "fold", 3).fit(placed)
+    encoded = stored(encoder.encode(placed, ["row_id", "fold"], F.lit(True), [None, 0, 1, 2]))
+    alone = FeatureEncoder(features, "target").fit(placed.where(F.col("fold") != fold))
+    apart = alone.transform(placed, ["row_id", "fold"], F.col("fold") != fold)
+    together = encoder.vectors(encoded, ["row_id", "fold"], fold)
+    mine, theirs = ({r["row_id"]: r["features"].toArray() for r in df.collect()} for df in (together, apart))
+    assert len(mine) == 400 and all(np.allclose(mine[k], theirs[k]) for k in mine)
+    every = FeatureEncoder(features, "target").fit(placed).transform(placed, ["row_id"], F.lit(True))
+    whole = {r["row_id"]: r["features"].toArray() for r in encoder.vectors(encoded, ["row_id"]).collect()}
+    assert all(np.allclose(whole[r["row_id"]], r["features"].toArray()) for r in every.collect())
