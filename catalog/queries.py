@@ -17,7 +17,7 @@ from relfold.modeling.training import top_features, with_class_weights
 from relfold.operators.actions import apply_actions
 from relfold.operators.aggregates import Measure, aggregate_by_key, top_values
 from relfold.operators.builders import apply_builders, merge_feature
-from relfold.operators.checks import output_checks
+from relfold.operators.checks import new_columns, output_checks, stored_counted, write_counted
 from relfold.operators.enrich import aggregate_enrich, direct_enrich, enrich_roots, enrich_tree
 from relfold.operators.keyed import attach, left_join_unique
 from relfold.operators.labels import with_held_out_labels, with_target
@@ -447,21 +447,28 @@ def class_weights(spark: SparkSession, sf: str) -> DataFrame:
     return with_class_weights(Views(spark, sf).train, "target").select("row_id", "target", "weight")
 
 
-def _two_features(views: Views) -> dict[str, DataFrame]:
+def _two_features(views: Views, roots: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Both roots with two features, the second missing for many products."""
+    roots = roots or {"train": views.train, "test": views.test}
     orders = aggregate_by_key(views.order_users, ["user_id"], [Measure("size", "user_orders")])
     late = aggregate_by_key(
         views.user_items.where("add_to_cart_order >= 7"), ["product_id"], [Measure("size", "product_late")]
     )
     return {
         name: attach(attach(df, ["user_id"], [orders]), ["product_id"], [late])
-        for name, df in (("train", views.train), ("test", views.test))
+        for name, df in roots.items()
     }
 
 
 def checked_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """The roots are stored, their outputs written; the checks follow from what was counted meanwhile."""
     views = Views(spark, sf)
-    return output_checks({"train": views.train, "test": views.test}, _two_features(views))
+    stored_roots = {name: stored_counted(df) for name, df in (("train", views.train), ("test", views.test))}
+    bases = {name: df for name, (df, _) in stored_roots.items()}
+    outputs = _two_features(views, bases)
+    folder = f"{shared_folder(spark)}/checked-{uuid.uuid4().hex}"
+    written = {name: write_counted(df, f"{folder}/{name}.parquet", columns=new_columns(bases[name], df)) for name, df in outputs.items()}
+    return output_checks(bases, outputs, written=written, base_counts={name: counts for name, (_, counts) in stored_roots.items()})
 
 
 def final_columns(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
@@ -11,8 +11,8 @@ from relfold.functions.columns import quoted, split_columns
 from relfold.modeling.metrics import auc_by_rank
 from relfold.modeling.split import with_exact_holdout, with_holdout
 from relfold.modeling.training import TreeModel, TreeSettings, fit_trees, top_features
+from relfold.operators.checks import Counts, write_counted
 from relfold.session import stored
-from relfold.sources.files import write_table
 
 KEPT_FEATURES = 5
 
@@ -27,6 +27,8 @@ class Selection:
     asked_rounds: int = 0
     kept_rounds_all: int = 0
     kept_rounds_selected: int = 0
+    #: Counts of the outputs, observed as they were written.
+    written: Mapping[str, Counts] = field(default_factory=dict)
 
     def summary(self) -> DataFrame:
         spark = self.importances.sparkSession
@@ -114,9 +116,11 @@ def select_features(
     auc_all = holdout_auc(model, split, target)
     smaller = fit_trees(split, selected, target, settings, "is_holdout")
     auc_selected = holdout_auc(smaller, split, target)
+    written = {}
     if output_folder:
         for name, df in outputs.items():
-            write_table(df, f"{output_folder.rstrip('/')}/{name}.{output_format}", output_format)
+            path = f"{output_folder.rstrip('/')}/{name}.{output_format}"
+            written[name] = write_counted(df, path, output_format, selected)
     return Selection(
-        selected, auc_all, auc_selected, importances, outputs, model.asked, model.kept, smaller.kept
+        selected, auc_all, auc_selected, importances, outputs, model.asked, model.kept, smaller.kept, written
     )

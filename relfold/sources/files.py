@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
+from typing import TYPE_CHECKING
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from relfold.functions.columns import quoted
 
+if TYPE_CHECKING:
+    from relfold.operators.checks import Counts
+    from relfold.sources.store import TableStore
+
 SEPARATORS = (",", ";", "\t", "|")
 SAMPLE_LINES = 5
 FORMATS = ("csv", "parquet")
@@ -88,14 +94,10 @@ def _cleaned(column: Column) -> Column:
     return F.when(~column.isin(*NULL_TOKENS), column)
 
 
-def _typed(df: DataFrame) -> DataFrame:
-    """Integers, floats and booleans where every value reads as one; anything else stays text.
-
-    One aggregation over the whole input decides, so a late odd value is never lost. Dates stay text.
-    """
-    names = df.columns
+def type_checks(texts: DataFrame) -> list[Column]:
+    """Aggregates that tell, for each text column, whether every value reads as an integer, a float or a boolean."""
     checks = []
-    for i, name in enumerate(names):
+    for i, name in enumerate(texts.columns):
         value = quoted(name)
         number = value.rlike(_DECIMAL) | F.lower(value).rlike(_INFINITE)
         checks += [
@@ -104,17 +106,29 @@ def _typed(df: DataFrame) -> DataFrame:
             F.bool_and(F.when(value.isNotNull(), number & value.try_cast("double").isNotNull())).alias(f"d{i}"),
             F.bool_and(value.isin("True", "TRUE", "true", "False", "FALSE", "false")).alias(f"b{i}"),
         ]
-    found = df.agg(*checks).first()
-    columns = []
+    return checks
+
+
+def types_found(names: Sequence[str], found: Mapping) -> dict[str, str]:
+    """The type of each column from its ``type_checks``; a column without values counts as floats."""
+    kinds = {}
     for i, name in enumerate(names):
-        kind = "string"
+        kinds[name] = "string" if found[f"n{i}"] else "double"
         if found[f"n{i}"]:
-            kind = next((t for c, t in (("i", "bigint"), ("d", "double"), ("b", "boolean")) if found[f"{c}{i}"]), kind)
-        elif found[f"n{i}"] == 0:
-            kind = "double"
-        value = quoted(name)
-        columns.append((F.trim(value).cast(kind) if kind != "string" else value).alias(name))
-    return df.select(*columns)
+            kinds[name] = next((t for c, t in (("i", "bigint"), ("d", "double"), ("b", "boolean")) if found[f"{c}{i}"]), "string")
+    return kinds
+
+
+def as_types(texts: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
+    return texts.select(*[(F.trim(quoted(c)).cast(k) if k != "string" else quoted(c)).alias(c) for c, k in kinds.items()])
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    """Integers, floats and booleans where every value reads as one; anything else stays text.
+
+    One aggregation over the whole input decides, so a late odd value is never lost. Dates stay text.
+    """
+    return as_types(df, types_found(df.columns, df.agg(*type_checks(df)).first().asDict()))
 
 
 def leaves_quotes_open(spark: SparkSession, path: str) -> bool:
@@ -123,15 +137,10 @@ def leaves_quotes_open(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
 
 
-def read_csv(
-    spark: SparkSession,
-    path: str,
-    schema: str | None = None,
-    sep: str | None = None,
-    default_sep: str | None = None,
-    multi_line: bool | None = None,
+def csv_texts(
+    spark: SparkSession, path: str, sep: str | None = None, default_sep: str | None = None, multi_line: bool | None = None
 ) -> DataFrame:
-    """A delimited file with a header. With ``schema`` (DDL) no types are inferred.
+    """The columns of a delimited file as texts, missing values as null.
 
     ``multi_line`` allows line breaks inside quotes; such files cannot be split among tasks. Left open, it is found
     out by one pass over the lines: where a line leaves a quote open, the file is read so.
@@ -141,14 +150,32 @@ def read_csv(
         multi_line = leaves_quotes_open(spark, path)
     reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multi_line)
     texts = reader.csv(path)
-    texts = texts.select(*[_cleaned(quoted(c)).alias(c) for c in texts.columns])
-    if schema is None:
-        return _typed(texts)
+    return texts.select(*[_cleaned(quoted(c)).alias(c) for c in texts.columns])
+
+
+def declared_types(spark: SparkSession, texts: DataFrame, schema: str, path: str) -> dict[str, str]:
+    """Column types of a DDL schema, all of whose columns must be there."""
     wanted = spark.createDataFrame([], schema).schema.fields
     missing = [f.name for f in wanted if f.name not in texts.columns]
     if missing:
         raise ValueError(f"{path} has no columns {missing}")
-    return texts.select(*[quoted(f.name).cast(f.dataType).alias(f.name) for f in wanted])
+    return {f.name: f.dataType.simpleString() for f in wanted}
+
+
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: str | None = None,
+    sep: str | None = None,
+    default_sep: str | None = None,
+    multi_line: bool | None = None,
+) -> DataFrame:
+    """A delimited file with a header (see ``csv_texts``). With ``schema`` (DDL) no types are inferred."""
+    texts = csv_texts(spark, path, sep, default_sep, multi_line)
+    if schema is None:
+        return _typed(texts)
+    kinds = declared_types(spark, texts, schema, path)
+    return texts.select(*[quoted(c).cast(k).alias(c) for c, k in kinds.items()])
 
 
 def read_table(
@@ -208,6 +235,13 @@ class Bundle:
     tables: TableSet
     train_name: str = "train"
     test_name: str = "test"
+    #: The store the tables came through, if any (``relfold.sources.store``).
+    store: "TableStore | None" = None
+
+    @property
+    def counts(self) -> dict[str, "Counts"]:
+        """Rows of tables that were counted as the store copied them."""
+        return self.store.counts if self.store else {}
 
     @property
     def train(self) -> DataFrame:
@@ -234,18 +268,18 @@ def load_bundle(
     train_name: str = "train",
     test_name: str = "test",
     options: Mapping[str, Mapping] | None = None,
+    store: "TableStore | None" = None,
 ) -> Bundle:
     """Every table of a folder; the two roots must be among them. ``options`` holds options of ``read_csv`` by
-    table."""
+    table. With a ``store``, delimited files are parsed once per change of theirs and read from its copy since."""
+    read = store.read if store else partial(read_table, spark)
     tables = {
-        source.name: read_table(
-            spark, source, (schemas or {}).get(source.name), default_sep, **(options or {}).get(source.name, {})
-        )
+        source.name: read(source, (schemas or {}).get(source.name), default_sep, **(options or {}).get(source.name, {}))
         for source in list_tables(spark, folder)
     }
     for name in (train_name, test_name):
         if name not in tables:
             raise MissingTableError(f"table {name!r} not found in {folder}")
-    bundle = Bundle(TableSet(tables), train_name, test_name)
+    bundle = Bundle(TableSet(tables), train_name, test_name, store)
     bundle.tables.register_views()
     return bundle

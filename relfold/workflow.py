@@ -53,9 +53,13 @@ def discover(
     threshold: float = UNIQUE_THRESHOLD,
     strict: bool = True,
 ) -> Discovery:
-    """Profile the key columns, find the joinable pairs and grow the join tree from the train root."""
+    """Profile the key columns, find the joinable pairs and grow the join tree from the train root. A bundle that came
+    through a store is profiled from what the store knows; it reads only files that it has not seen."""
     tables = {bundle.train_name: bundle.train, **bundle.additional}
-    keys = as_metadata(key_profile(tables, is_key, threshold))
+    if bundle.store:
+        keys = bundle.store.key_profile(is_key, list(tables), threshold)
+    else:
+        keys = as_metadata(key_profile(tables, is_key, threshold))
     relationships = find_relationships(keys, bundle.train_name, bundle.test_name, threshold, strict)
     ranked = rank_candidates(both_directions(relationships, threshold, strict), prefer)
     edges = grow_tree(ranked, bundle.train_name)
@@ -123,21 +127,8 @@ def run(
 ) -> Selection:
     """From a bundle to the two written outputs: base columns plus the strongest features.
 
-    Tables that features read again and again are kept while the run lasts."""
-    bundle.tables.keep(*bundle.additional)
-    try:
-        return _run(
-            bundle, output_folder, plans, specs, builders, join_tree, target, id_column, settings, output_format,
-            is_key, prefer, threshold, strict, skew, exact_split,
-        )
-    finally:
-        bundle.tables.release()
-
-
-def _run(
-    bundle, output_folder, plans, specs, builders, join_tree, target, id_column, settings, output_format,
-    is_key, prefer, threshold, strict, skew, exact_split,
-) -> Selection:
+    Tables are not kept in memory: columnar files are read as often as they are needed, and a bundle loaded through a
+    ``TableStore`` has a columnar copy of every delimited one."""
     discovery = discover(bundle, is_key, prefer, threshold, strict)
     built = build_features(bundle, discovery, plans, specs, builders, join_tree, target, is_key, skew)
     base_columns = {name: df.columns for name, df in bundle.roots.items()}
@@ -145,5 +136,5 @@ def _run(
         built.roots, base_columns, target, id_column, settings=settings,
         output_folder=output_folder, output_format=output_format, exact_split=exact_split,
     )
-    require(output_checks(bundle.roots, selection.outputs))
+    require(output_checks(bundle.roots, selection.outputs, written=selection.written, base_counts=bundle.counts))
     return selection
