@@ -33,6 +33,18 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_written_order(df: DataFrame, name: str) -> DataFrame:
+    """Rows read from a written table with a number ``name`` that rises in the order in which they were written: by
+    the number that a task gave its file, the file's own number, and the row's place in it. Other frames stay."""
+    if not df.inputFiles():
+        return df
+    file = F.col("_metadata.file_name")
+    task = F.regexp_extract(file, r"^part-(\d+)", 1)
+    again = F.regexp_extract(file, r"-c(\d+)", 1)  # a task's further files
+    number = [F.coalesce(c.try_cast("bigint"), F.lit(0)) for c in (task, again)]
+    return df.withColumn(name, (number[0] * 1000 + number[1]) * (1 << 36) + F.col("_metadata.row_index"))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether crc32 of the id as text is divisible by 5. A null id is held out, too: nothing is learnt from it."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
@@ -51,17 +63,13 @@ def fraction(*columns: str | Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
-#: Characters of the longest text that is drawn for training; with the rows of a draw it bounds what the driver holds.
-LONGEST_DRAWN = 200_000
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int = LONGEST_DRAWN) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """At most about ``per_class`` documents of each class (0 and 1) outside the held-out ones, with
     columns doc_id, text, label, weight (documents of the class for each one drawn) and part in [0, 1).
 
     The draw is a hash of doc_id, so reruns agree. Of repeated labels for an id the largest counts; null
-    labels and ids count as absent. ``per_class`` and ``longest`` bound what a caller may hold: about so many rows
-    are drawn, and longer texts are not learnt from (they are scored like others).
+    labels and ids count as absent. ``per_class`` bounds the rows; texts are drawn whole, whatever their length, so a
+    caller takes from them inside Spark what it needs.
     """
     marks = (
         labels.where(F.col(label).isNotNull() & ~held_out())
@@ -78,5 +86,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         "doc_id", "label", F.try_divide(F.lit(1.0), rate).alias("weight"), fraction(F.col("doc_id"), F.lit("part")).alias("part")
     )
     # The drawn ids are bounded by per_class, whatever the table's size.
-    texts = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
-    return texts.join(F.broadcast(drawn), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")

@@ -152,6 +152,10 @@ def fit_language(docs: DataFrame, text: str = "text", lang: str = "lang", per_la
     return fit_arrays(packed, np.array([r["lang"] for r in kept], object))
 
 
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def predict_language(text: Column, model: LanguageModel | None) -> Column:
     """A struct (lang_pred, score) of every whole text: ``und`` and 0 if it is null or has no letter (or nothing was
     learnt); else the likeliest language, the first by name among equals, and its probability."""
@@ -171,7 +175,7 @@ def predict_language(text: Column, model: LanguageModel | None) -> Column:
             top = chances[np.arange(len(best)), best].astype(np.float64)
             yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(top)], ["lang_pred", "score"])
 
-    return F.when(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), scored(F.lower(text))).otherwise(nothing)
+    return F.when(has_letter(text), scored(F.lower(text))).otherwise(nothing)
 
 
 def with_language(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> tuple[DataFrame, str, str]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from relfold.llm.common import labelled_sample, small_batches
+from relfold.llm.common import free_name, labelled_sample, small_batches
 from relfold.llm.words import text_bytes
 
 #: Bytes compressed at a time, so that a long text is judged by the dictionary throughout, not by its own start.
@@ -81,22 +81,30 @@ def calibrate(differences: np.ndarray, labels: np.ndarray, weights: np.ndarray)
 STEP, LEAST_STEP = 256, 32
 
 
-def dictionary(texts: list[bytes], size: int) -> bytes:
-    """Raw dictionary content of at most ``size`` bytes: all of the texts if they fit, else an equal share of every
-    text (short ones leave theirs to the others), in pieces drawn from its whole length."""
-    lengths = np.array([len(t) for t in texts], np.int64)
+def share_of(lengths: np.ndarray, size: int) -> int:
+    """Bytes that each text may give to a dictionary of ``size`` bytes: as many as it has if all fit, else an equal
+    share (short texts leave theirs to the others), at least LEAST_STEP."""
     if lengths.sum() <= size:
-        return b"".join(texts)
+        return int(lengths.max(initial=0))
     # The share at which the texts fill the dictionary: those shorter than it are a prefix in order of length.
     ordered = np.sort(lengths)
     before = np.cumsum(ordered) - ordered
     levels = (size - before) // np.arange(len(ordered), 0, -1)
-    share = int(levels[np.argmax(levels < ordered)])
-    out = bytearray()
-    for text in texts:
-        out += spread(text, share)
-    # With more texts than bytes for the least piece of each, an evenly spaced part of them gives one.
-    return bytes(out) if share >= LEAST_STEP else b"".join(spread(texts[i * len(texts) * LEAST_STEP // size], LEAST_STEP) for i in range(size // LEAST_STEP))
+    return max(LEAST_STEP, int(levels[np.argmax(levels < ordered)]))
+
+
+def dictionary(texts: list[bytes], size: int) -> bytes:
+    """Raw dictionary content of at most ``size`` bytes: all of the texts if they fit, else an equal share of every
+    text, in pieces drawn from its whole length."""
+    share = share_of(np.array([len(t) for t in texts], np.int64), size)
+    return joined([spread(t, share) for t in texts], size)
+
+
+def joined(pieces: list[bytes], size: int) -> bytes:
+    """What the texts give, laid end to end; with more texts than least shares, an evenly spaced part of them."""
+    if sum(map(len, pieces)) <= size:
+        return b"".join(pieces)
+    return b"".join(pieces[i * len(pieces) * LEAST_STEP // size][:LEAST_STEP] for i in range(size // LEAST_STEP))
 
 
 def spread(text: bytes, share: int) -> bytes:
@@ -120,9 +128,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_
     """Learn from at most about ``per_class`` labelled rows of either class that are not held out (a repeatable
     draw); None unless both classes occur. Two thirds fill dictionaries of ``size`` bytes, the others calibrate."""
     rows = labelled_sample(docs, labels, label, per_class)
-    kept = rows.where("part < 0.66").select("label", "part", "doc_id", "text").where("text is not null").collect()
-    kept.sort(key=lambda r: (r["part"], r["doc_id"], r["text"]))
-    parts = [dictionary([r["text"].encode() for r in kept if r["label"] == c], size) for c in (1, 0)]
+    texts = rows.where("part < 0.66 and text is not null")
+    # The driver learns the texts' lengths, and then holds no more of them than the dictionaries do.
+    lengths = texts.select("label", F.octet_length("text").alias("size")).collect()
+    shares = {c: share_of(np.array([r["size"] for r in lengths if r["label"] == c], np.int64), size) for c in (1, 0)}
+
+    @F.arrow_udf("binary")
+    def pieces(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for column, label_ in columns:
+            pairs = zip(column.to_pylist(), label_.to_pylist())
+            yield pa.array([spread(t.encode(), shares[c]) for t, c in pairs], pa.binary())
+
+    kept = texts.select("label", "part", "doc_id", pieces("text", "label").alias("piece")).collect()
+    kept.sort(key=lambda r: (r["part"], r["doc_id"], bytes(r["piece"])))
+    parts = [joined([bytes(r["piece"]) for r in kept if r["label"] == c], size) for c in (1, 0)]
     if not all(parts):
         return None
     checks = rows.where("part >= 0.66").select("label", "weight", "doc_id", difference(F.col("text"), *parts).alias("d")).collect()
@@ -159,5 +178,7 @@ def quality_score(text: Column, model: QualityModel | None) -> Column:
 
 
 def with_quality(docs: DataFrame, model: QualityModel | None, name: str = "score", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the quality of their whole text added as ``name``, with underscores in front until no
+    column is called so. Null, empty and repeated texts are scored like others; an empty table gives an empty one."""
     small_batches(docs.sparkSession)
-    return docs.withColumn(name, quality_score(F.col(text), model))
+    return docs.withColumn(free_name(docs, name), quality_score(F.col(f"`{text}`"), model))
