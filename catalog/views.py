@@ -13,6 +13,7 @@ from relfold.modeling.split import hash_fraction
 from relfold.operators.aggregates import Measure, aggregate_by_key
 from relfold.operators.keyed import attach, keyed
 from relfold.operators.profile import as_metadata, column_profile
+from relfold.session import stored
 from relfold.sources.files import Bundle, TableSet
 from relfold.workflow import named_like_id
 
@@ -22,9 +23,12 @@ TEST_SEED = 7
 
 
 class Views:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    """``keep`` stores the items with their orders once, for queries that read several tables made from them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False):
         self.spark = spark
         self._dir = sf_dir.rstrip("/")
+        self._keep = keep
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self._dir}/{name}.parquet")
@@ -63,7 +67,12 @@ class Views:
     @cached_property
     def order_users(self) -> DataFrame:
         """(order_id, user_id) of the history."""
-        return self._order_facts.where("is_prior").select("order_id", "user_id")
+        return self._orders_kept.where("is_prior").select("order_id", "user_id")
+
+    @cached_property
+    def _orders_kept(self) -> DataFrame:
+        """The orders' facts; read once for the items and for themselves if they are kept."""
+        return stored(self._order_facts) if self._keep else self._order_facts
 
     @cached_property
     def _items(self) -> DataFrame:
@@ -72,8 +81,9 @@ class Views:
             F.col("l_partkey").alias("product_id"),
             F.col("l_linenumber").alias("add_to_cart_order"),
         )
-        facts = keyed(self._order_facts, ["order_id"], null_safe=False)
-        return attach(items, ["order_id"], [facts]).where("user_id is not null")
+        facts = keyed(self._orders_kept, ["order_id"], null_safe=False)
+        joined = attach(items, ["order_id"], [facts]).where("user_id is not null")
+        return stored(joined) if self._keep else joined
 
     @cached_property
     def items_all(self) -> DataFrame:

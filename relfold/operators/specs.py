@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Collection, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -18,6 +19,7 @@ from relfold.operators.actions import APPLIED, FAILED, ActionResult
 from relfold.operators.aggregates import Measure, aggregate_by_key
 from relfold.operators.keyed import DEFAULT_SKEW, KeyedFrame, SkewPolicy, attach, attach_grouped, is_unique, keyed
 from relfold.plans.models import Aggregation, FeatureSpec
+from relfold.session import stored
 
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _KINDS = {"ratio": "size", "mode_ratio": "mode_ratio"}
@@ -41,19 +43,28 @@ def named_like_key(column: str) -> bool:
     return column == "id" or column.endswith("_id")
 
 
-def bring_columns(
-    base: DataFrame,
+@dataclass(frozen=True)
+class Step:
+    """A join through ``key`` to ``table``, which is unique on it, for some of its columns."""
+
+    table: str
+    key: str
+    columns: tuple[str, ...]
+
+
+def plan_steps(
+    present: Sequence[str],
     needed: Sequence[str],
     tables: Mapping[str, DataFrame],
     candidates: Sequence[str],
     facts: KeyFacts,
-    skew: SkewPolicy | None = DEFAULT_SKEW,
     is_key: Callable[[str], bool] = named_like_key,
-) -> DataFrame:
-    """Add the needed columns by left joins through unique keys, by the shortest way to each."""
-    wanted = [c for c in dict.fromkeys(needed) if c not in base.columns]
+) -> list[Step]:
+    """The joins that bring the needed columns, by the shortest way to each. Where a column comes from depends on the
+    present columns and the candidates alone, so several needs on one table can be met by one plan."""
+    wanted = [c for c in dict.fromkeys(needed) if c not in present]
     steps: list[tuple[str, str]] = []
-    seen_columns = list(base.columns)
+    seen_columns = list(present)
     origin: dict[str, int] = {}
     open_tables = [t for t in dict.fromkeys(candidates) if t in tables]
     while any(c not in seen_columns for c in wanted):
@@ -85,14 +96,61 @@ def bring_columns(
             if steps[index][1] in origin:
                 todo.append(steps[index][1])
     carried = set(wanted) | {steps[i][1] for i in used}
+    return [
+        Step(*steps[i], tuple(c for c in tables[steps[i][0]].columns if origin.get(c) == i and c in carried)) for i in sorted(used)
+    ]
+
+
+def bring_columns(
+    base: DataFrame,
+    needed: Sequence[str],
+    tables: Mapping[str, DataFrame],
+    candidates: Sequence[str],
+    facts: KeyFacts,
+    skew: SkewPolicy | None = DEFAULT_SKEW,
+    is_key: Callable[[str], bool] = named_like_key,
+) -> DataFrame:
+    """Add the needed columns by left joins through unique keys, by the shortest way to each."""
     result = base
-    for index in sorted(used):
-        table, key = steps[index]
-        columns = [c for c in tables[table].columns if origin.get(c) == index and c in carried]
-        result = attach(result, [key], [keyed(tables[table], [key], columns)], skew)
+    for step in plan_steps(base.columns, needed, tables, candidates, facts, is_key):
+        result = attach(result, [step.key], [keyed(tables[step.table], [step.key], step.columns)], skew)
+    wanted = [c for c in dict.fromkeys(needed) if c not in base.columns]
     return result.select(*[quoted(c) for c in [*base.columns, *wanted]])
 
 
+@dataclass
+class Bridges:
+    """Source tables widened by the columns that groupings need, once for all groupings of all specs.
+
+    Needs are collected first (``ask``), from schemas alone; a frame is widened by everything that was asked of its
+    table and candidates when it is first read (``frame``), and stored if more than one reader will come.
+    """
+
+    tables: Mapping[str, DataFrame]
+    facts: KeyFacts
+    skew: SkewPolicy | None = DEFAULT_SKEW
+    is_key: Callable[[str], bool] = named_like_key
+    _needs: dict[tuple, dict[str, None]] = field(default_factory=dict)
+    _readers: dict[tuple, int] = field(default_factory=dict)
+    _frames: dict[tuple, DataFrame] = field(default_factory=dict)
+
+    def ask(self, table: str, candidates: Sequence[str], needed: Sequence[str], readers: int = 1) -> None:
+        """Raises if the columns cannot be reached."""
+        plan_steps(self.tables[table].columns, needed, self.tables, candidates, self.facts, self.is_key)
+        place = (table, tuple(candidates))
+        self._needs.setdefault(place, {}).update(dict.fromkeys(needed))
+        self._readers[place] = self._readers.get(place, 0) + readers
+
+    def frame(self, table: str, candidates: Sequence[str], needed: Sequence[str]) -> DataFrame:
+        place = (table, tuple(candidates))
+        if place not in self._frames:
+            columns = list(self._needs[place])
+            wide = bring_columns(self.tables[table], columns, self.tables, candidates, self.facts, self.skew, self.is_key)
+            wide = wide.select(*[quoted(c) for c in columns])
+            self._frames[place] = stored(wide) if self._readers[place] > 1 else wide
+        return self._frames[place].select(*[quoted(c) for c in dict.fromkeys(needed)])
+
+
 def _measure(item: Aggregation) -> Measure:
     kind = _KINDS.get(item.operation, item.operation)
     column = None if kind == "size" else item.source_column
@@ -128,6 +186,36 @@ def _source_table(item: Aggregation, spec: FeatureSpec, tables: Mapping[str, Dat
     raise ValueError(f"no table of spec {spec.title!r} has column {item.source_column!r}")
 
 
+@dataclass(frozen=True)
+class Grouping:
+    """Measures of a spec over one table and grouping, and the columns they need."""
+
+    table: str
+    group_by: tuple[str, ...]
+    items: tuple[Aggregation, ...]
+    candidates: tuple[str, ...]
+    needed: tuple[str, ...]
+
+
+def spec_groupings(spec: FeatureSpec, tables: Mapping[str, DataFrame]) -> list[Grouping]:
+    """The groupings of a spec over ``tables``, from schemas alone."""
+    named = [t for path in spec.join_paths for t in path] + list(spec.required_tables)
+    candidates = [t for t in dict.fromkeys(named) if t in tables]
+    groups: dict[tuple[str, tuple[str, ...]], list[Aggregation]] = {}
+    for item in spec.aggregations:
+        groups.setdefault((_source_table(item, spec, tables), item.group_by), []).append(item)
+    found = []
+    for (table, group_by), items in groups.items():
+        known = {c for t in [table, *candidates] for c in tables[t].columns}
+        needed = list(group_by)
+        for item in items:
+            needed.append(item.source_column)
+            needed += [w for w in _WORD.findall(item.filter_expression or "") if w in known]
+        others = tuple(t for t in candidates if t != table)
+        found.append(Grouping(table, tuple(group_by), tuple(items), others, tuple(dict.fromkeys(needed))))
+    return found
+
+
 def spec_frames(
     spec: FeatureSpec,
     tables: Mapping[str, DataFrame],
@@ -135,25 +223,20 @@ def spec_frames(
     roots: Collection[str] = ("train", "test"),
     skew: SkewPolicy | None = DEFAULT_SKEW,
     is_key: Callable[[str], bool] = named_like_key,
+    bridges: Bridges | None = None,
 ) -> dict[tuple[str, ...], list[KeyedFrame]]:
-    """Frames of a spec per group_by. Root tables are not read: their rows carry the label."""
+    """Frames of a spec per group_by. Root tables are not read: their rows carry the label. ``bridges`` must have been
+    asked for what the spec needs; without them it has its own."""
     usable = {name: df for name, df in tables.items() if name not in roots}
-    named = [t for path in spec.join_paths for t in path] + list(spec.required_tables)
-    candidates = [t for t in dict.fromkeys(named) if t in usable]
-    groups: dict[tuple[str, tuple[str, ...]], list[Aggregation]] = {}
-    for item in spec.aggregations:
-        groups.setdefault((_source_table(item, spec, usable), item.group_by), []).append(item)
+    groupings = spec_groupings(spec, usable)
+    if bridges is None:
+        bridges = Bridges(usable, facts, skew, is_key)
+        for g in groupings:
+            bridges.ask(g.table, g.candidates, g.needed)
     frames: dict[tuple[str, ...], list[KeyedFrame]] = {}
-    for (table, group_by), items in groups.items():
-        known = {c for t in [table, *candidates] for c in usable[t].columns}
-        needed = list(group_by)
-        for item in items:
-            needed.append(item.source_column)
-            needed += [w for w in _WORD.findall(item.filter_expression or "") if w in known]
-        others = [t for t in candidates if t != table]
-        source = bring_columns(usable[table], needed, usable, others, facts, skew, is_key)
-        source = source.select(*[quoted(c) for c in dict.fromkeys(needed)])
-        frames.setdefault(group_by, []).append(group_frame(source, group_by, items))
+    for g in groupings:
+        source = bridges.frame(g.table, g.candidates, g.needed)
+        frames.setdefault(g.group_by, []).append(group_frame(source, g.group_by, g.items))
     return frames
 
 
@@ -169,15 +252,30 @@ def apply_specs(
     """Join the features of every spec to all roots alike, or not at all.
 
     A grouping column the roots lack (the category of an item, say) is looked up for the join and
-    dropped again. ``share`` computes each frame once and stores it for all roots.
+    dropped again. Each source table is widened once for the groupings of all specs, and stored if several read it.
+    ``share`` computes each frame once and stores it for all roots.
     """
     usable = {name: df for name, df in tables.items() if name not in roots}
     facts = KeyFacts(usable, unique_keys)
+    bridges = Bridges(usable, facts, skew, is_key)
+    problems: dict[int, str] = {}
+    for i, spec in enumerate(specs):
+        try:
+            groupings = spec_groupings(spec, usable)
+            for g in groupings:
+                plan_steps(usable[g.table].columns, g.needed, usable, g.candidates, facts, is_key)
+            for g in groupings:
+                # Without stored frames, each root computes a grouping for itself.
+                bridges.ask(g.table, g.candidates, g.needed, 1 if share else len(roots))
+        except (ValueError, TypeError) as error:
+            problems[i] = str(error)
     current = dict(roots)
     statuses: list[tuple] = []
     for i, spec in enumerate(specs):
         try:
-            frames = spec_frames(spec, tables, facts, tuple(roots), skew, is_key)
+            if i in problems:
+                raise ValueError(problems[i])
+            frames = spec_frames(spec, tables, facts, tuple(roots), skew, is_key, bridges)
             if share:
                 frames = {keys: [f.stored() for f in found] for keys, found in frames.items()}
             needed = [c for keys in frames for c in keys]

@@ -253,3 +253,22 @@ def test_spec_ingestion(frame):
     parsed = parse_specs(frame("id int, text string", (1, doc()), (2, doc(operation="median")), (3, "{}"), (4, doc(group_by_columns=[]))))
     assert dict(rows_of(parsed, "id", "error")) == {1: None, 2: "invalid aggregation", 3: "no compiled_feature_specs", 4: "invalid aggregation"}
     assert specs_from(parsed) == [FeatureSpec("t", (Aggregation("c", "count", ("k",), "f"),))]
+
+
+def test_specs_share_one_widened_table(spark, roots, tables, monkeypatch):
+    """Three groupings of two specs read the items once joined with what they need, not three times."""
+    from relfold.operators import specs as module
+
+    kept = []
+    monkeypatch.setattr(module, "stored", lambda df: kept.append(df.columns) or df)
+    specs = [category_families("kind"), FeatureSpec(
+        "s",
+        (Aggregation("product_id", "count", ("user_id",), "n_items", "order_items"), Aggregation("reordered", "mean", ("kind",), "kind_rate", "order_items")),
+        (("train", "orders", "order_items", "products"),),
+    )]
+    result = apply_specs(roots, tables, specs)
+    assert [s[4] for s in result.statuses] == ["applied", "applied"], result.statuses
+    assert len(kept) == 1 and set(kept[0]) == {"user_id", "kind", "product_id", "reordered"}
+    alone = apply_specs(apply_specs(roots, tables, specs[:1]).roots, tables, specs[1:])
+    for name in roots:
+        assert rows_of(result.roots[name]) == rows_of(alone.roots[name])
