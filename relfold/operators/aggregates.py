@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
@@ -256,20 +257,65 @@ def categorical_measures(
     return measures
 
 
-def top_values(source: DataFrame, columns: Sequence[str], k: int | None = None) -> DataFrame:
+#: Values that a sketch of a column tracks, and how many more than asked are recounted.
+TRACKED_VALUES, MORE_CANDIDATES = 1 << 16, 64
+
+
+def top_values(source: DataFrame, columns: Sequence[str], k: int | None = None, tracked: int = TRACKED_VALUES) -> DataFrame:
     """(column_name, value, n_rows, rank): the k most common values of each column.
 
-    Most frequent first, then value ascending. The rank filter reaches the map side as a group
-    limit, so each task hands on at most k values per column.
+    Most frequent first, then value ascending. A sketch of every column, taken in one pass without a shuffle, names
+    candidates; these alone are counted, so what is shuffled does not depend on the number of values. A column is
+    counted in full where the sketch cannot prove that no other value belongs among its first k.
     """
     limit = k or DEFAULT_TOP_K
     texts = source.select(*[category(present(source, c)).alias(c) for c in columns])
-    long = texts.unpivot([], [quoted(c) for c in columns], "column_name", "value").where("value is not null")
-    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+    candidates = _candidates(texts, columns, limit, tracked)
+    known = {c: values for c, (values, proven) in candidates.items() if proven}
+    parts = []
+    if known:
+        wanted = [F.when(quoted(c).isin(*values), quoted(c)).alias(c) for c, values in known.items() if values]
+        if wanted:
+            parts.append(_value_counts(texts.select(*wanted)))
+    rest = [c for c in columns if c not in known]
+    if rest:
+        parts.append(_value_counts(texts.select(*[quoted(c) for c in rest])))
+    if not parts:
+        parts.append(_value_counts(texts.where(F.lit(False))))
     order = Window.partitionBy("column_name").orderBy(F.desc("n_rows"), F.asc("value"))
+    # The rank filter reaches the map side as a group limit, so each task hands on at most k values per column.
+    counts = reduce(DataFrame.unionAll, parts)
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def _value_counts(texts: DataFrame) -> DataFrame:
+    long = texts.unpivot([], [quoted(c) for c in texts.columns], "column_name", "value").where("value is not null")
+    return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _candidates(texts: DataFrame, columns: Sequence[str], k: int, tracked: int) -> dict[str, tuple[list[str], bool]]:
+    """For each column values that may be among its k most common ones, and whether there can be no others.
+
+    A sketch of m counters overestimates a value by 3.5 / m of the rows at most. What it does not name has so many rows
+    at most, twice that where it is not sure of an item, or no more than the last item it names, if it names as many as
+    were asked. If the exact count of the k-th candidate lies above all that, which its estimate less the error tells
+    beforehand, the candidates are complete; ties at the border are thus never decided by the sketch.
+    """
+    names = list(dict.fromkeys(columns))
+    size = min(k + MORE_CANDIDATES, tracked)
+    tops = [F.call_function("approx_top_k", quoted(c), F.lit(size), F.lit(tracked)).alias(f"t{i}") for i, c in enumerate(names)]
+    filled = [F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(names)]
+    row = texts.agg(*tops, *filled).first()
+    found = {}
+    for i, c in enumerate(names):
+        named = row[f"t{i}"] or []
+        items = [r for r in named if r["item"] is not None]
+        error = 3.5 * row[f"n{i}"] / tracked
+        outside = max(2 * error, named[-1]["count"] if len(named) >= size else 0)
+        found[c] = [r["item"] for r in items], len(items) >= k and items[k - 1]["count"] - error > outside
+    return found
+
+
 def collect_top_values(source: DataFrame, columns: Sequence[str], k: int | None = None) -> dict[str, list[str]]:
     """At most k values per column reach the driver; they become column names."""
     found: dict[str, list[str]] = {c: [] for c in columns}

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 
 from relfold.operators.actions import APPLIED, FAILED, ActionResult
-from relfold.operators.keyed import DEFAULT_SKEW, KeyedFrame, SkewPolicy, attach, guarded, is_unique, keyed
+from relfold.operators.keyed import DEFAULT_SKEW, KeyedFrame, SkewPolicy, attach, guarded, is_unique, keyed, without_tokens
 from relfold.plans.models import FeatureBuilder
 from relfold.session import stored
 
@@ -65,7 +65,7 @@ def apply_builders(
         shown = {name: df.drop(target) if name in roots else df for name, df in tables.items()}
         keys = list(builder.keys)
         try:
-            feature = builder.build(current[first].drop(target), shown)
+            feature = builder.build(without_tokens(current[first].drop(target)), shown)
             if not isinstance(feature, DataFrame):
                 raise BuilderError("the builder did not return a DataFrame")
             for root in current.values():

@@ -7,6 +7,7 @@ that was grouped on its tokens is already partitioned for the join and is not sh
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from relfold.functions.columns import field_of, is_integral, quoted
-from relfold.session import stored
+from relfold.session import shared_folder, stored
 
 # Stand-in for a null key; the isnull token keeps it apart from a real value.
 _DEFAULTS = {
@@ -108,7 +109,53 @@ def _key_value(df: DataFrame, name: str) -> tuple[Column, T.DataType]:
     return quoted(name), dtype
 
 
+#: Names of the stored tokens of a bucketed table's key.
+_VALUE, _NULL = "__token__{}", "__token_null__{}"
+
+
+def bucketed(df: DataFrame, key: str, buckets: int | None = None, share: float | None = None) -> DataFrame:
+    """The frame stored in buckets of a key, so that any number of later joins and groupings on it shuffle the other
+    side only. The key's join tokens are stored as columns of their own (``without_tokens`` drops them), and its hot
+    values, sketched while the table is written, go along as their metadata: ``attach`` salts these alone, and where
+    there are none, no side of the table is touched."""
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = SkewPolicy(share).share_in(spark)
+    value, flag = (name.format(key) for name in (_VALUE, _NULL))
+    tokens = token_columns(df, [key])
+    # Hash partitioning deals rows out as buckets do, so each task writes one file.
+    wide = df.withColumns({value: tokens[0], flag: tokens[1]}).repartition(buckets, value, flag)
+    observed = Observation()
+    wide = wide.observe(observed, *_sketch_columns({"k": [F.col(value), F.col(flag)]}, share))
+    name = f"relfold_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    wide.write.bucketBy(buckets, value, flag).sortBy(value, flag).option("path", path).format("parquet").saveAsTable(name)
+    hot = _sketch_of(observed.get, ["k"]).hot("k", share)
+    return spark.table(name).withMetadata(value, {"hot": hot})
+
+
+def without_tokens(df: DataFrame) -> DataFrame:
+    """A frame without the token columns of ``bucketed``."""
+    prefixes = tuple(name.format("") for name in (_VALUE, _NULL))
+    return df.select(*[quoted(c) for c in df.columns if not c.startswith(prefixes)])
+
+
+def _stored_tokens(df: DataFrame, keys: Sequence[str]) -> list[str] | None:
+    names = [name.format(k) for name in (_VALUE, _NULL) for k in keys]
+    return names if set(names) <= set(df.columns) else None
+
+
+def _known_hot(df: DataFrame, keys: Sequence[str]) -> list[int] | None:
+    """The hot values of a bucketed table's key."""
+    if len(keys) != 1 or not _stored_tokens(df, keys):
+        return None
+    return field_of(df, _VALUE.format(keys[0])).metadata.get("hot")
+
+
 def token_columns(df: DataFrame, keys: Sequence[str], null_safe: bool = True) -> list[Column]:
+    kept = _stored_tokens(df, keys)
+    if kept and null_safe:
+        return [quoted(c) for c in kept]
     values, nulls = [], []
     for name in keys:
         value, dtype = _key_value(df, name)
@@ -171,9 +218,9 @@ TRACKED = 1_000_000
 
 
 def _tracked(share: float) -> int:
-    """Keys a sketch tracks so that none above ``share`` is missed: it may be off by the rows over three quarters of
-    their number, and twice that keeps the errors below the share."""
-    return min(TRACKED, max(64, int(4 / share)))
+    """Keys a sketch tracks so that none above ``share`` is missed: it is off by 3.5 of the rows over their number at most, and
+    names what has surely more than that, so its error must be less than half of the share."""
+    return min(TRACKED, max(64, int(8 / share)))
 
 
 @dataclass(frozen=True)
@@ -254,6 +301,7 @@ def attach(
         return base
     order = list(base.columns)
     spark = base.sparkSession
+    hot = _known_hot(base, base_keys) if hot is None else hot
     adaptive = hot is None and skew is None
     if hot is None and skew is not None:
         hot = hot_hashes(base, {"h": token_columns(base, base_keys)}, skew.share_in(spark))["h"]

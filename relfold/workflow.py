@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Collection, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -13,7 +14,7 @@ from relfold.operators.actions import STATUS_SCHEMA, apply_actions
 from relfold.operators.builders import apply_builders
 from relfold.operators.checks import output_checks, require
 from relfold.operators.enrich import enrich_roots
-from relfold.operators.keyed import DEFAULT_SKEW, SkewPolicy
+from relfold.operators.keyed import DEFAULT_SKEW, SkewPolicy, bucketed, without_tokens
 from relfold.operators.profile import as_metadata, key_profile
 from relfold.operators.relationships import (
     UNIQUE_THRESHOLD,
@@ -81,6 +82,18 @@ class Built:
         return next(iter(self.roots.values())).sparkSession.createDataFrame(self.statuses, STATUS_SCHEMA)
 
 
+def busiest_key(
+    roots: Mapping[str, DataFrame], plans: Sequence[TablePlan], builders: Sequence[FeatureBuilder], edges: Sequence[JoinEdge]
+) -> str | None:
+    """The key of all roots on which most joins are made, if there are two of them or more: actions on a key are one
+    join, each builder is one, and so are the tree's edges on a key."""
+    uses = Counter({a.join_key: 1 for plan in plans for a in plan.actions if a.action_type != "skip"})
+    uses.update(b.keys[0] for b in builders if len(b.keys) == 1)
+    uses.update({e.parent_key for e in edges})
+    shared = [k for k in uses if uses[k] > 1 and all(k in df.columns for df in roots.values())]
+    return max(sorted(shared), key=lambda k: uses[k], default=None)
+
+
 def build_features(
     bundle: Bundle,
     discovery: Discovery,
@@ -92,10 +105,16 @@ def build_features(
     is_key: Callable[[str, str], bool] = named_like_id,
     skew: SkewPolicy | None = DEFAULT_SKEW,
 ) -> Built:
-    """Builders, then specs, then actions, then (if asked) the whole join tree, on both roots."""
+    """Builders, then specs, then actions, then (if asked) the whole join tree, on both roots. Where several of these
+    join on one key of the roots, the roots are stored in buckets of it first."""
     tables = dict(bundle.tables.items())
     roots: Mapping[str, DataFrame] = bundle.roots
-    built = apply_builders(roots, tables, builders, target, skew=skew)
+    key = busiest_key(bundle.roots, plans, builders, discovery.edges if join_tree else ())
+    if key and skew is None:
+        roots = {name: bucketed(df, key) for name, df in roots.items()}
+    bare = {name: df for name, df in tables.items() if name not in roots}
+    tables = {**bare, **roots}
+    built = apply_builders(roots, {**tables, **bundle.roots}, builders, target, skew=skew)
     statuses = list(built.statuses)
     built = apply_specs(built.roots, tables, specs, discovery.unique_keys, skew, share=True, is_key=lambda c: is_key("", c))
     statuses += built.statuses
@@ -104,7 +123,7 @@ def build_features(
     roots = built.roots
     if join_tree:
         roots = enrich_roots(roots, bundle.additional, discovery.edges, skew=skew)
-    return Built(dict(roots), statuses)
+    return Built({name: without_tokens(df) for name, df in roots.items()}, statuses)
 
 
 def run(

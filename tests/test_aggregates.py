@@ -2,9 +2,12 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from relfold.operators.aggregates import (
+    MORE_CANDIDATES,
     Measure,
+    _candidates,
     aggregate_by_key,
     automatic_measures,
     categorical_measures,
@@ -146,3 +149,32 @@ def test_top_values_order_and_default(frame):
     found = rows_of(top_values(df, ["c", "n"], 3), "column_name", "rank", "value", "n_rows")
     assert found == [("c", 1, "a", 2), ("c", 2, "b", 2), ("c", 3, "c", 1), ("n", 1, "1", 2), ("n", 2, "2", 2)]
     assert collect_top_values(df, ["c"], 0) == {"c": ["a", "b", "c"]}
+
+
+def plain_top(df, column, k):
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).count().collect()
+    ranked = sorted(((-r["count"], r["value"]) for r in counts))[:k]
+    return [(column, value, -n, i + 1) for i, (n, value) in enumerate(ranked)]
+
+
+@pytest.mark.parametrize("tracked", [64, 1024, 65536])
+def test_top_values_from_candidates_are_exact(spark, tracked):
+    """Skewed, uniform, tied, null and wholly different values; few counters force the full way."""
+    df = spark.range(20000).selectExpr(
+        "cast(pow(20000 / (id + 1), 1) as int) as skewed", "id % 5000 as uniform", "id % 4 as tied", "id as own",
+        "if(id % 3 = 0, null, concat('v', id % 7)) as gaps", "cast(null as string) as nothing",
+    )
+    columns = ["skewed", "uniform", "tied", "own", "gaps", "nothing"]
+    for k in (1, 3, 4):
+        found = top_values(df, columns, k, tracked)
+        expected = [row for c in columns for row in plain_top(df, c, k)]
+        assert sorted(map(tuple, found.select("column_name", "value", "n_rows", "rank").collect())) == sorted(expected)
+    assert top_values(df.limit(0), columns, 3).count() == 0
+
+
+def test_only_candidates_of_a_skewed_column_are_shuffled(spark):
+    df = spark.range(50000).selectExpr("if(id % 2 = 0, id % 5, id) as v")
+    found = top_values(df, ["v"], 3)
+    assert [tuple(r) for r in found.select("column_name", "value", "n_rows", "rank").orderBy("rank").collect()] == plain_top(df, "v", 3)
+    candidates = _candidates(df.select(F.col("v").cast("string").alias("v")), ["v"], 3, 65536)["v"]
+    assert candidates[1] and len(candidates[0]) <= 3 + MORE_CANDIDATES

@@ -13,7 +13,9 @@ from relfold.operators.keyed import (
     duplicate_keys,
     guarded,
     hot_hashes,
+    bucketed,
     stored_with_sketch,
+    without_tokens,
     is_unique,
     keyed,
     left_join_unique,
@@ -239,3 +241,33 @@ def test_one_sketch_rides_along_when_a_root_is_stored(spark):
     joined = attach(attach(table, ["k"], [keyed(child, ["k"])], hot=sketch.hot("k", 0.1)), ["s"], [by_text], hot=sketch.hot("s", 0.1))
     assert len(tracker.getJobIdsForGroup(None)) == seen
     assert joined.where("v = k").count() == 9000 and joined.where("s is null and n = 4500").count() == 4500
+
+
+def test_bucketed_roots_are_not_shuffled_again(spark, frame):
+    """Specs, actions and both joins on one key read the root as it lies; its hot key is known from the writing."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        root = spark.range(400).selectExpr("id", "if(id % 40 = 0, null, id % 37) as user_id", "cast(id % 3 as string) as kind")
+        child = spark.range(300).selectExpr("if(id % 50 = 0, null, id % 30) as user_id", "id as v")
+        first = [aggregate_by_key(child, ["user_id"], [Measure("sum", "total", "v")])]
+        second = [aggregate_by_key(child, ["user_id"], [Measure("max", "most", "v")])]
+        kept = bucketed(root, "user_id", share=0.3)
+        joined = attach(attach(kept, ["user_id"], first), ["user_id"], second)
+        own = aggregate_by_key(kept, ["user_id"], [Measure("size", "n")])
+        joined = attach(joined, ["user_id"], [own])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2  # one for each grouping of the child
+        assert plan.count("Bucketed: true") == 2 and "__right_salt" not in plan
+        plain = attach(attach(attach(root, ["user_id"], first), ["user_id"], second), ["user_id"], [aggregate_by_key(root, ["user_id"], [Measure("size", "n")])])
+        assert without_tokens(joined).columns == plain.columns
+        assert rows_of(without_tokens(joined)) == rows_of(plain)
+        hot = bucketed(root.withColumn("user_id", F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id"))), "user_id", share=0.3)
+        salted = attach(hot, ["user_id"], first)
+        assert "__right_salt" in salted._jdf.queryExecution().analyzed().toString()
+        assert salted.count() == 400
+        assert rows_of(attach(kept, ["user_id"], [keyed(child.where("v < 30"), ["user_id"], null_safe=False)]), "id", "v") == rows_of(
+            attach(root, ["user_id"], [keyed(child.where("v < 30"), ["user_id"], null_safe=False)]), "id", "v")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
