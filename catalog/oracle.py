@@ -484,4 +484,23 @@ FROM (SELECT DISTINCT table_name FROM keys WHERE table_name <> 'train' UNION ALL
     "name_collision": _VIEWS + """
 SELECT t.*, t.product_id * -1.0e0 AS users__balance, u.nation_id AS users__nation_id, u.segment AS users__segment
 FROM train t LEFT JOIN users u ON t.user_id = u.user_id""",
+    "reported_features": _VIEWS + _PLANTED + """
+SELECT feature, CASE WHEN feature = 'pair_band' AND pure THEN 1.0e0 ELSE 0.0e0 END AS importance
+FROM (SELECT feature FROM named UNION ALL SELECT 'products__kind'),
+     (SELECT bool_and(low = high) AS pure FROM (SELECT min(y) AS low, max(y) AS high FROM planted GROUP BY pair_band))
+ORDER BY importance DESC, feature LIMIT 20""",
+    "table_headers": f"WITH {_PROFILE} SELECT table_name, CAST(column_ord AS INTEGER) AS column_ord, column_name FROM profile "
+    "WHERE table_name IN ('customer', 'nation', 'part', 'region')",
+    "stored_profile": f"""WITH {_PROFILE} SELECT table_name, column_name, row_count, non_null_count, unique_ratio >= 0.98 * 0.9 AS is_exact,
+       CASE WHEN unique_ratio >= 0.98 * 0.9 THEN distinct_count END AS distinct_count FROM profile WHERE column_name LIKE '%key'""",
+    "root_columns": """SELECT step, passed, column_name FROM (VALUES ('roots', true, NULL), ('one joined', false, NULL), ('added', true, 'products__brand'),
+  ('added', true, 'products__kind'), ('added', true, 'products__price'), ('added', true, 'products__product_name'), ('added', true, 'products__size')) v(step, passed, column_name)""",
+    "builder_status": _VIEWS + """
+SELECT CAST(action_ord AS INTEGER) AS action_ord, source_table, join_key, status, silent,
+       (SELECT CAST(count(*) AS BIGINT) FROM train) AS train_rows, 7 AS n_columns
+FROM (VALUES
+  (0, 'pair history', 'user_id,product_id', 'applied', true),
+  (1, 'repeated', 'user_id', (SELECT CASE WHEN count(*) > count(DISTINCT user_id) THEN 'failed' ELSE 'applied' END FROM orders_prior), false),
+  (2, 'known column', 'user_id', 'failed', false), (3, 'no key', 'shop_id', 'failed', false),
+  (4, 'no table', 'user_id', 'failed', false), (5, 'empty', 'user_id', 'applied', false)) v(action_ord, source_table, join_key, status, silent)""",
 }

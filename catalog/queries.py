@@ -21,7 +21,7 @@ from relfold.operators.checks import new_columns, output_checks, stored_counted,
 from relfold.operators.enrich import aggregate_enrich, direct_enrich, enrich_roots, enrich_tree
 from relfold.operators.keyed import attach, left_join_unique
 from relfold.operators.labels import with_held_out_labels, with_target
-from relfold.operators.profile import candidate_keys, column_profile, enrich_with_dictionary, table_profile
+from relfold.operators.profile import added_columns, candidate_keys, column_profile, enrich_with_dictionary, same_columns, table_profile
 from relfold.operators.relationships import (
     both_directions,
     find_relationships,
@@ -35,8 +35,9 @@ from relfold.operators.specs import apply_specs, category_families
 from relfold.plans.ingest import parse_plans, parse_specs
 from relfold.plans.models import Action, Aggregation, FeatureBuilder, FeatureSpec, TablePlan
 from relfold.session import shared_folder
-from relfold.sources.files import load_bundle, write_table
+from relfold.sources.files import header_columns, load_bundle, write_table
 from relfold.sources.profiles import load_profile, save_profile
+from relfold.sources.store import TableStore
 from relfold.workflow import discover
 
 CSV_TABLES = ("customer", "nation", "part", "region")
@@ -147,7 +148,7 @@ def snowflake_enrichment(spark: SparkSession, sf: str) -> DataFrame:
 
 def tree_both_roots(spark: SparkSession, sf: str) -> DataFrame:
     """The tree joined to both roots with shared frames."""
-    views = Views(spark, sf)
+    views = Views(spark, sf, keep=True)
     wide = enrich_roots({"train": views.train.drop("target"), "test": views.test}, views.tables(), fixture_tree(spark, sf))
     return wide["train"].withColumn("root", F.lit("train")).unionByName(wide["test"].withColumn("root", F.lit("test")))
 
@@ -283,7 +284,7 @@ def spec_filtered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spec_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    views = Views(spark, sf)
+    views = Views(spark, sf, keep=True)
     group = ("user_id", "brand")
     spec = FeatureSpec.from_dict(
         {
@@ -303,7 +304,7 @@ def spec_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def category_history(spark: SparkSession, sf: str) -> DataFrame:
-    views = Views(spark, sf)
+    views = Views(spark, sf, keep=True)
     tables = {"orders": views.order_users, "order_items": views.order_items, "products": views.products}
     known = {("orders", "order_id"), ("products", "product_id")}
     return apply_specs({"train": views.train}, tables, [category_families("kind")], known).roots["train"]
@@ -317,14 +318,14 @@ def pair_features(root: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame
 
 
 def pair_history(spark: SparkSession, sf: str) -> DataFrame:
-    views = Views(spark, sf)
+    views = Views(spark, sf, keep=True)
     tables = {"orders": views.order_users, "order_items": views.order_items}
     return merge_feature(views.train, pair_features(views.train.drop("target"), tables), ["user_id", "product_id"])
 
 
 def builder_apply(spark: SparkSession, sf: str) -> DataFrame:
     """Two builders in turn on both roots; the second uses what the first made."""
-    views = Views(spark, sf)
+    views = Views(spark, sf, keep=True)
     tables = {"orders": views.order_users, "order_items": views.order_items}
 
     def product_popularity(root: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -523,13 +524,13 @@ def _planted(views: Views) -> dict[str, DataFrame]:
 
 
 def feature_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    views = Views(spark, sf)
+    views = Views(spark, sf, keep=True)
     model, _, _ = rank_features(_planted(views)["train"], views.train.columns)
     return top_features(model.importances(spark), 5)
 
 
 def top5_retrain(spark: SparkSession, sf: str) -> DataFrame:
-    views = Views(spark, sf)
+    views = Views(spark, sf, keep=True)
     base = {"train": views.train.columns, "test": views.train.columns}
     summary = select_features(_planted(views), base, exact_split=True).summary()
     return summary.select(
@@ -540,7 +541,7 @@ def top5_retrain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def score_report(spark: SparkSession, sf: str) -> DataFrame:
-    views = Views(spark, sf)
+    views = Views(spark, sf, keep=True)
     tables = _planted(views)
     score = score_output(
         tables["train"].drop("target"), tables["test"].drop("target"), tables["test"].select("row_id", "target"),
@@ -597,6 +598,72 @@ def name_collision(spark: SparkSession, sf: str) -> DataFrame:
     return direct_enrich(base, "users", views.users, "user_id")
 
 
+def reported_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The features that a score report lists, from a model of all rows without cross-validation."""
+    views = Views(spark, sf, keep=True)
+    tables = _planted(views)
+    score = score_output(
+        tables["train"].drop("target"), tables["test"].drop("target"), tables["test"].select("row_id", "target"),
+        source_train=tables["train"], keys=("user_id", "product_id"), folds=0,
+    )
+    return score.top_features
+
+
+def table_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Column names of delimited tables, read from their headers alone."""
+    views, folder = Views(spark, sf), f"{shared_folder(spark)}/headers-{uuid.uuid4().hex}"
+    rows = []
+    for name in CSV_TABLES:
+        write_table(views.raw(name), f"{folder}/{name}.csv", "csv")
+        rows += [(name, i, c) for i, c in enumerate(header_columns(spark, f"{folder}/{name}.csv"))]
+    return spark.createDataFrame(rows, "table_name string, column_ord int, column_name string")
+
+
+def stored_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Delimited and columnar tables read through a store twice: the second time nothing is parsed or profiled, and
+    the key profile comes from what the store keeps. Counts that are not exact are left open."""
+    views, folder = Views(spark, sf), f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    for name in RAW_TABLES:
+        write_table(views.raw(name), f"{folder}/data/{name}.{'csv' if name in CSV_TABLES else 'parquet'}", "csv" if name in CSV_TABLES else "parquet")
+
+    def profile() -> DataFrame:
+        store = TableStore(spark, f"{folder}/store")
+        bundle = load_bundle(spark, f"{folder}/data", train_name="lineitem", test_name="orders", store=store)
+        return store.key_profile(lambda table, column: column.endswith("key"), list(bundle.tables))
+
+    profile()
+    exact = F.when(F.col("is_exact"), F.col("distinct_count"))
+    return profile().select("table_name", "column_name", "row_count", "non_null_count", "is_exact", exact.alias("distinct_count"))
+
+
+def root_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether both roots have the same columns, before and after a join to one of them, and what the join added."""
+    views = Views(spark, sf)
+    wide = direct_enrich(views.train, "products", views.products, "product_id")
+    rows = [("roots", same_columns(views.train, views.test), None), ("one joined", same_columns(wide, views.test), None)]
+    rows += [("added", True, c) for c in added_columns(views.train, wide)]
+    return spark.createDataFrame(rows, "step string, passed boolean, column_name string")
+
+
+def builder_status(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of builders that work, repeat a key, bring a known column, lack a key and return no table, and the
+    rows and columns of the roots after all of them."""
+    views = Views(spark, sf, keep=True)
+    tables = {"orders": views.order_users, "order_items": views.order_items}
+    builders = [
+        FeatureBuilder("pair history", ("user_id", "product_id"), pair_features),
+        FeatureBuilder("repeated", ("user_id",), lambda root, tables: tables["orders"].select("user_id", F.lit(1).alias("one"))),
+        FeatureBuilder("known column", ("user_id",), lambda root, tables: root.groupBy("user_id").agg(F.max("row_id").alias("row_id"))),
+        FeatureBuilder("no key", ("shop_id",), pair_features),
+        FeatureBuilder("no table", ("user_id",), lambda root, tables: 7),
+        FeatureBuilder("empty", ("user_id",), lambda root, tables: root.where("false").select("user_id", F.lit(1).alias("none"))),
+    ]
+    result = apply_builders({"train": views.train, "test": views.test}, tables, builders)
+    status = result.status_frame(spark).select("action_ord", "source_table", "join_key", "status", (F.col("detail") == "").alias("silent"))
+    rows = result.roots["train"].agg(F.count(F.lit(1)).alias("n")).scalar()
+    return status.withColumn("train_rows", rows).withColumn("n_columns", F.lit(len(result.roots["train"].columns)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_round_trip": csv_round_trip,
     "distinct_keys": distinct_keys,
@@ -648,4 +715,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rank_features": feature_ranking,
     "top5_retrain": top5_retrain,
     "score_report": score_report,
+    "reported_features": reported_features,
+    "table_headers": table_headers,
+    "stored_profile": stored_profile,
+    "root_columns": root_columns,
+    "builder_status": builder_status,
 }

@@ -63,8 +63,11 @@ def folded_rows(
     """``whole`` prepares the model of all rows, too."""
     if not features:
         raise ValueError("there are no features to train on")
-    placed = with_exact_folds(train, target, id_column, folds, name=FOLD) if exact_folds else with_folds(train, id_column, folds, name=FOLD)
-    encoder = FeatureEncoder(list(features), target, FOLD, folds).fit(placed)
+    if not folds:
+        placed = train.withColumn(FOLD, F.lit(0))
+    else:
+        placed = with_exact_folds(train, target, id_column, folds, name=FOLD) if exact_folds else with_folds(train, id_column, folds, name=FOLD)
+    encoder = FeatureEncoder(list(features), target, FOLD, max(folds, 1)).fit(placed)
     models = [*([None] if whole else []), *range(folds)]
     rows = placed.withColumn("__label", quoted(target).cast("double"))
     table = stored(encoder.encode(rows, ["__label", FOLD], F.lit(True), models))
@@ -119,7 +122,8 @@ def score_output(
     folds: int = FOLDS,
     parallelism: int = 1,
 ) -> Score:
-    """Train on the output, score its test side against the hidden labels, and report.
+    """Train on the output, score its test side against the hidden labels, and report. Without ``folds`` there is no
+    cross-validation, and its figures are null.
 
     Raw key columns (``keys``) are no features unless ``exclude_keys`` is off.
     """
