@@ -32,6 +32,8 @@ MARK = "▁"
 CHUNK = 1 << 15
 #: Characters of the texts that are solved together.
 SPAN = 1 << 18
+#: Places of an encoder's memory of segments (as a power of two), the longest of them, and the room for their characters.
+REMEMBERED, REMEMBERED_LENGTH, ROOM = 18, 64, 1 << 21
 #: Units of a score: whole numbers per unit of log probability.
 UNIT = 1_000_000
 NEVER = -(1 << 60)
@@ -78,11 +80,55 @@ def load_pieces(path: str) -> Pieces:
     return Pieces(tuple(pieces), tuple(scores), unknown, tuple(byte_ids))
 
 
+def _gathered(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of runs laid end to end, and where each run begins among them."""
+    begin = np.cumsum(sizes) - sizes
+    return np.repeat(starts - begin, sizes) + np.arange(int(sizes.sum())), begin
+
+
+class _Memory:
+    """Solved segments by hash, with their characters to compare. A newer one takes an older one's place; all are
+    forgotten when there is no more room for characters."""
+
+    def __init__(self):
+        places = 1 << REMEMBERED
+        self.hashes = np.zeros(places, np.uint64)
+        self.sizes, self.counts, self.codes_at, self.ids_at, self.scores = (np.zeros(places, np.int64) for _ in range(5))
+        self.codes, self.ids = np.zeros(ROOM, np.int32), np.zeros(4 * ROOM, np.int32)  # at most four byte pieces a character
+        self.used, self.ids_used = 0, 0
+
+    def find(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which segments are known, the place of each)."""
+        slot = ((hashes * _BASE) >> np.uint64(64 - REMEMBERED)).astype(np.int64)
+        hit = (self.sizes[slot] == sizes) & (self.hashes[slot] == hashes)
+        mine, begin = _gathered(starts[hit], sizes[hit])
+        theirs, _ = _gathered(self.codes_at[slot[hit]], sizes[hit])
+        if len(mine):
+            hit[hit] = np.logical_and.reduceat(codes[mine] == self.codes[theirs], begin)
+        return hit, slot
+
+    def add(self, hashes, slot, codes, starts, sizes, ids, offsets, scores) -> None:
+        if self.used + len(codes) > ROOM:
+            self.sizes[:], self.used, self.ids_used = 0, 0, 0
+            if len(codes) > ROOM:
+                return
+        self.codes[self.used : self.used + len(codes)] = codes
+        self.ids[self.ids_used : self.ids_used + len(ids)] = ids
+        short = sizes <= REMEMBERED_LENGTH
+        slot = slot[short]
+        self.hashes[slot], self.sizes[slot], self.scores[slot] = hashes[short], sizes[short], scores[short]
+        self.counts[slot], self.codes_at[slot] = np.diff(offsets)[short], self.used + starts[short]
+        self.ids_at[slot] = self.ids_used + offsets[:-1][short]
+        self.used += len(codes)
+        self.ids_used += len(ids)
+
+
 class Encoder:
     """Look-up tables of a vocabulary for whole arrays of characters."""
 
     def __init__(self, vocabulary: Pieces):
         self.vocabulary = vocabulary
+        self.memory: _Memory | None = None
         words = [(i, p) for i, p in enumerate(vocabulary.pieces) if isinstance(p, str)]
         self.longest = max((len(p) for _, p in words), default=1)
         #: Prefixes of pieces by rolling hash: per prefix the id of the piece it is, or -1.
@@ -104,6 +150,9 @@ class Encoder:
         self.scores = np.array(vocabulary.scores, np.int64)
         self.byte_ids = np.array(vocabulary.byte_ids, np.int32)
 
+    def __getstate__(self):
+        return {**self.__dict__, "memory": None}  # each worker remembers what it has seen itself
+
     def _table(self, prefix: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Open addressing with linear steps in a table of at least eight times as many places."""
         self.bits = max(10, (8 * len(prefix)).bit_length())
@@ -229,7 +278,7 @@ class Encoder:
 
     def encode_codes(self, codes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of texts laid end to end, the offsets of each text in them, and each text's score. Equal segments
-        are solved once: they are found by a hash and compared in full."""
+        are solved once, also those of earlier calls: they are found by a hash and compared in full."""
         cut = self.cuts(codes)
         cut[begins[begins < len(codes)]] = True
         starts = np.flatnonzero(cut)
@@ -242,18 +291,31 @@ class Encoder:
         powers = np.multiply.accumulate(powers)
         spread = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         hashes = np.add.reduceat((spread ^ (spread >> np.uint64(31))) * powers[place], starts)
-        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        known, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         like = starts[first][inverse]
         equal = (lengths[first][inverse] == lengths).all() and (codes[np.repeat(like, lengths) + place] == codes).all()
         if not equal:  # a hash collision: solve each on its own
             first = inverse = np.arange(len(starts))
-        sizes = lengths[first]
-        begin = np.cumsum(sizes) - sizes
-        picked = np.repeat(starts[first] - begin, sizes) + np.arange(int(sizes.sum()))
-        ids, offsets, scores = self.solve(codes[picked], begin)
-        counts = np.diff(offsets)[inverse]
+        begins_at, sizes = starts[first], lengths[first]
+        if self.memory is None:
+            self.memory = _Memory()
+        hit, slot = self.memory.find(known, codes, begins_at, sizes) if equal else (np.zeros(len(first), bool), None)
+        fresh = ~hit
+        picked, solved_at = _gathered(begins_at[fresh], sizes[fresh])
+        ids, offsets, solved_scores = self.solve(codes[picked], solved_at)
+        scores, own, at = np.empty(len(first), np.int64), np.empty(len(first), np.int64), np.empty(len(first), np.int64)
+        scores[fresh], own[fresh], at[fresh] = solved_scores, np.diff(offsets), offsets[:-1]
+        if slot is not None:
+            mine = slot[hit]
+            scores[hit], own[hit] = self.memory.scores[mine], self.memory.counts[mine]
+            remembered, at_memory = _gathered(self.memory.ids_at[mine], own[hit])
+            at[hit] = len(ids) + at_memory
+            kept = np.concatenate([ids, self.memory.ids[remembered]])
+            self.memory.add(known[fresh], slot[fresh], codes[picked], solved_at, sizes[fresh], ids, offsets, solved_scores)
+            ids = kept
+        counts = own[inverse]
         total = np.cumsum(counts)
-        out = ids[np.repeat(offsets[:-1][inverse] - (total - counts), counts) + np.arange(int(total[-1]))]
+        out = ids[np.repeat(at[inverse] - (total - counts), counts) + np.arange(int(total[-1]))]
         of_text = np.searchsorted(starts, np.append(begins, len(codes)))
         sums, ends = np.append(0, np.cumsum(scores[inverse])), np.append(0, total)
         return out, ends[of_text], np.diff(sums[of_text])
@@ -273,6 +335,22 @@ class Encoder:
             low = high
         return out
 
+    def spans(self, text: str) -> Iterator[np.ndarray]:
+        """Ids of a giant text, some SPAN characters at a time: it is cut where no piece can lie across, so the ids are
+        those of the whole text. A span without such a place grows."""
+        text = marked(text)
+        at, size = 0, SPAN
+        while at < len(text):
+            codes, _ = as_codes([text[at : at + size]])
+            stop = len(codes)
+            if at + stop < len(text):
+                stop = int(np.flatnonzero(self.cuts(codes))[-1])  # the first place is always one
+                if stop == 0:
+                    size *= 2
+                    continue
+            yield self.encode_codes(codes[:stop], np.array([0]))[0]
+            at, size = at + stop, SPAN
+
     # Chunks of a giant text -------------------------------------------------------------------------------
 
     def chunk_path(self, codes: np.ndarray, size: int, enter: np.ndarray, leave: int | None):

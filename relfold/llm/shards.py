@@ -10,6 +10,7 @@ byte (s mod R) * stride, so a reader starts anywhere and goes on where it stoppe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from relfold.llm.common import small_batches, written
-from relfold.llm.pieces import Encoder, Pieces
+from relfold.llm.pieces import SPAN, Encoder, Pieces
 
 #: Tokens of a sequence, bytes of a token, sequences of a shard.
 LENGTH, TOKEN_BYTES, PER_SHARD = 1024, 2, 512
@@ -80,12 +81,17 @@ def token_stream(docs: DataFrame, vocabulary: Pieces, end: int, text: str) -> Da
 
         task, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [np.append(i, end) for i in encoder.encode([t or "" for t in batch.column(0).to_pylist()])]
-            sizes = np.array([len(i) for i in ids], np.int64)
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            short = iter(encoder.encode([t for t in texts if len(t) <= SPAN]))
+            last = np.array([end], np.int64)
+            packed = []
+            for text in texts:  # a giant text's ids are had and packed a span at a time
+                spans = [next(short)] if len(text) <= SPAN else encoder.spans(text)
+                packed.append(b"".join(i.astype(f"<u{TOKEN_BYTES}").tobytes() for i in chain(spans, [last])))
+            sizes = np.array([len(p) // TOKEN_BYTES for p in packed], np.int64)
             begins = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())
-            packed = [i.astype(f"<u{TOKEN_BYTES}").tobytes() for i in ids]
-            yield pa.record_batch([pa.array([task] * len(ids), pa.int32()), pa.array(begins), pa.array(packed, pa.binary())], names=["task", "at", "tokens"])
+            yield pa.record_batch([pa.array([task] * len(texts), pa.int32()), pa.array(begins), pa.array(packed, pa.binary())], names=["task", "at", "tokens"])
 
     return written(docs.select(F.col(text)).mapInArrow(streamed, "task int, at bigint, tokens binary"), compression="zstd")
 
@@ -117,10 +123,15 @@ def training_shards(
     # One row for each task that wrote tokens.
     placed = stream.join(F.broadcast(begins.select("task", "begin")), "task").select((F.col("begin") + F.col("at")).alias("at"), size.alias("size"), "tokens")
     first, last = F.floor(F.col("at") / length), F.floor((F.col("at") + F.col("size") - 1) / length)
-    cut = placed.select("at", "size", "tokens", F.explode(F.sequence(first, last)).alias("number"))
-    begin, stop = F.greatest(F.col("at"), F.col("number") * length), F.least(F.col("at") + F.col("size"), (F.col("number") + 1) * length)
-    part = F.substring("tokens", ((begin - F.col("at")) * TOKEN_BYTES + 1).cast("int"), ((stop - begin) * TOKEN_BYTES).cast("int"))
-    parts = cut.select(slot_of(F.col("number"), count, key).alias("slot"), begin.alias("begin"), part.alias("part"))
+
+    def cut(number: Column) -> Column:
+        """A sequence's share of a text, cut out here: what comes after has a sequence's tokens, never a whole text's."""
+        begin, stop = F.greatest(F.col("at"), number * length), F.least(F.col("at") + F.col("size"), (number + 1) * length)
+        part = F.substring("tokens", ((begin - F.col("at")) * TOKEN_BYTES + 1).cast("int"), ((stop - begin) * TOKEN_BYTES).cast("int"))
+        return F.struct(number.alias("number"), begin.alias("begin"), part.alias("part"))
+
+    parts = placed.select(F.inline(F.transform(F.sequence(first, last), cut)))
+    parts = parts.select(slot_of(F.col("number"), count, key).alias("slot"), "begin", "part")
     parts = parts.withColumn("shard", F.floor(F.col("slot") / per_shard))
     # Slots are uniform, so ranges of shards are even without a sample.
     shards, ranges = -(-count // per_shard), int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -358,7 +358,7 @@ def test_query_covers_its_table(spark, duck, name):
 
 
 def test_numbers_of_the_queries():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, vocabulary):
@@ -374,7 +374,7 @@ def test_pipeline_stages(spark, vocabulary):
             assert {r["doc_id"] for r in before.collect()} - {r["doc_id"] for r in after.collect()} == {10**6, 10**6 + 1, 10**6 + 2}
         rows = [(r["doc_id"], r["text"]) for r in before.collect()]
         if name == "lines":
-            want = sorted((i, t) for i, t, dropped in brute_lines(rows) if t or not dropped)
+            want = sorted((i, t) for i, t, dropped in brute_lines(rows, passage_docs=3) if t or not dropped)
             assert sorted((r["doc_id"], r["text"]) for r in after.collect()) == want
             assert all(r["n_chars"] == len(r["text"]) for r in after.collect() if r["text"] != texts[r["doc_id"]])
         if name == "near":
@@ -409,3 +409,62 @@ def test_pipeline_runs_whole_and_on_nothing(spark, tmp_path):
 
 def test_shared_folder_is_the_named_one(spark):
     assert shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/"))
+
+
+def test_giant_texts_are_encoded_span_by_span(monkeypatch):
+    from relfold.llm import pieces
+
+    vocabulary = load_pieces(VOCABULARY)
+    encoder, rng = Encoder(vocabulary), random.Random(4)
+    for text in ("word " * 300, "x" * 700, "".join(rng.choice("ab cdé漢 ") for _ in range(900)), "a"):
+        whole = encoder.encode([text])[0]
+        monkeypatch.setattr(pieces, "SPAN", 50)
+        assert np.array_equal(np.concatenate(list(encoder.spans(text))), whole)
+        monkeypatch.undo()
+
+
+def test_a_long_text_gives_its_tokens_to_many_shards(spark):
+    """The work grows with the text's length: no sequence carries the whole text along."""
+    rng = random.Random(6)
+    text = " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet", "x1"]) for _ in range(400_000))
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id bigint, text string")
+    shards = training_shards(docs, load_pieces(VOCABULARY), length=64, per_shard=256)
+    found = shards.collect()
+    assert sum(r["slots"] for r in found) > 6000
+    plan = shards._jdf.queryExecution().optimizedPlan().toString()
+    evaluated = next(line for line in plan.splitlines() if "ArrowEvalPython" in line)
+    below = plan.split(evaluated)[1].splitlines()[1]
+    assert "tokens" not in below.split("Generate")[-1].split("],")[-1] if "Generate" in below else "tokens" not in below
+
+
+def test_documents_without_a_language_to_learn_from_stay(spark):
+    rows = [(i, t, None, "s", 1) for i, t in enumerate(["Plain words.", "Andere Worte.", None, "12 34", ""])]
+    kept = corpus_pipeline.identify(spark, spark.createDataFrame(rows, DOCS), SF_DIR)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1]
+
+
+def test_the_training_order_reaches_the_result(spark):
+    rows = [(i, f"text number {i} " + "word " * (i % 7), "en", "abc"[i % 3], 1) for i in range(300)]
+    mixed_docs = curriculum(spark.createDataFrame(rows, DOCS).repartition(3))
+    order = [r["doc_id"] for r in mixed_docs.collect()]
+    stored_docs = written(mixed_docs)
+    result = corpus_pipeline.encode(spark, stored_docs, SF_DIR)
+    assert [r["doc_id"] for r in result.collect()] == order
+    assert result.columns == [*DOCS.replace(" bigint", "").replace(" string", "").split(", "), "place", "ids"]
+
+
+def test_remembered_segments_give_the_same_ids(monkeypatch):
+    from relfold.llm import pieces
+
+    monkeypatch.setattr(pieces, "ROOM", 400)
+    monkeypatch.setattr(pieces, "REMEMBERED", 4)  # few places, so that segments take each other's
+    vocabulary, rng = load_pieces(VOCABULARY), random.Random(8)
+    words = ["".join(rng.choice("abcdeé漢\U0001f600 ") for _ in range(rng.randint(1, 9))) for _ in range(80)]
+    used = Encoder(vocabulary)
+    for _ in range(40):
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(3)] + ["x" * 100]
+        fresh = Encoder(vocabulary)
+        for mine, theirs in zip(used.encode(texts), fresh.encode(texts)):
+            assert np.array_equal(mine, theirs)
+        codes, begins = as_codes([marked(t) for t in texts])
+        assert np.array_equal(used.encode_codes(codes, begins)[2], Encoder(vocabulary).encode_codes(codes, begins)[2])
