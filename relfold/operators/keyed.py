@@ -1,8 +1,10 @@
 """Null-safe, skew-safe left joins to a right side with one row per key.
 
 A key column ``k`` is carried as two join tokens, ``coalesce(k, default)`` and ``isnull(k)``.
-Grouping and joining on the tokens makes null match null while keeping plain equality, so a frame
-that was grouped on its tokens is already partitioned for the join and is not shuffled again.
+Grouping and joining on the tokens makes null match null while keeping plain equality. Joins leave hot keys
+to adaptive execution, which wants both sides shuffled for the join itself; where a table is known to have no hot
+keys (it was bucketed, or its sketch says so), a frame that was grouped on its tokens is already partitioned for
+the join and is not shuffled again.
 """
 
 from __future__ import annotations
