@@ -111,7 +111,89 @@ QUERIES = {
     "op13_repair": op13_repair,
 }
 
+
+
+def _repair_sql() -> str:
+    """Repairs row by row: a list of the cheapest edits to each state, as nine digits of cost and the edits, is folded
+    over a conversation's rows, with room for inserts in between."""
+
+    def more(key: str, cost: str, letter: str) -> str:
+        return f"lpad((left({key}, 9)::int + {cost})::varchar, 9, '0') || substr({key}, 10) || '{letter}'"
+
+    def ways(keys: tuple[int, ...], cost: str, letter: str, given: str = "") -> str:
+        return ", ".join(f"case when {given or 'true'} then {more(f'a[{k}]', cost, letter)} end" for k in keys)
+
+    sound, extra = "r[2] in ('0', '3')", "(case when r[2] = '3' then 1 else 0 end)"
+    inserted = f"least(a[3], {ways((1, 2, 4), '2', 'I')})"
+    opened = [
+        more("a[1]", "3", "D"),
+        f"least({more('a[2]', '3', 'D')}, {ways((1,), extra, 'K', sound + chr(32) + 'and r[1] = ' + repr('s'))})",
+        f"least({more('a[3]', '3', 'D')}, {ways((1, 2, 4), '2 + ' + extra, 'R', sound)}, {ways((1, 2, 4), extra, 'K', sound + chr(32) + 'and r[1] = ' + repr('u'))})",
+        f"least({more('a[4]', '3', 'D')}, {ways((3,), '2 + ' + extra, 'R', sound)}, {ways((3,), extra, 'K', sound + chr(32) + 'and r[1] = ' + repr('a'))})",
+    ]
+    return rf"""
+        with crc as (
+            select list(v order by i) as t from (
+                select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as v
+                from range(256) r(i))
+        ),
+        rolled as (
+            select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint)),
+                    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 as kind
+            from conversations, crc
+        ),
+        damaged as (
+            select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+                case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end)) as copy
+            from rolled
+        ),
+        ordered as (
+            select conv_id, turn, role, text, left(role, 1) as initial,
+                row_number() over (partition by conv_id order by turn nulls first, sha256(length(role)::varchar || ':' || role || text), copy) as place
+            from damaged
+        ),
+        faulty as (
+            select *, lag(initial) over (partition by conv_id order by place) as before,
+                case when not regexp_matches(text, '[^ 	-]') then 1
+                    when row_number() over (partition by conv_id, role, text order by place) > 1 then 2
+                    when regexp_matches(text, '[^.!? 	-][ 	-]*$') then 3 else 0 end as fault
+            from ordered
+        ),
+        summed as (
+            select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank,
+                count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated,
+                count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal,
+                list([initial, fault::varchar] order by place) as rows, list(role order by place) as roles, list(text order by place) as texts
+            from faulty group by conv_id
+        ),
+        solved as (
+            select *, list_reduce(list_prepend(['000000000', null, null, null], flatten(list_transform(rows, lambda r: [['+'], r])) || [['+']]), lambda a, r:
+                case when len(r) = 1 then [a[1], a[2], {inserted}, least(a[4], {more(inserted, '2', 'I')})]
+                else [{', '.join(opened)}] end) as ends
+            from summed
+        ),
+        repaired as (select * exclude (rows, ends), left(least(ends[1], ends[4]), 9)::bigint as cost, substr(least(ends[1], ends[4]), 10) as audit from solved),
+        letters as (select conv_id, audit, roles, texts, unnest(range(1, length(audit) + 1)) as j from repaired),
+        spelled as (
+            select conv_id, j, audit[j] as letter, roles, texts, length(replace(left(audit, j), 'I', '')) as k, length(replace(left(audit, j), 'D', '')) as o from letters
+        ),
+        led as (select *, max(case when o = 1 and letter = 'K' and roles[k][1] = 's' then 1 else 0 end) over (partition by conv_id) as system from spelled where letter <> 'D'),
+        written as (
+            select conv_id, string_agg(case when letter = 'K' then roles[k] when (o - system) % 2 = 1 then 'user' else 'assistant' end
+                || ':' || case when letter = 'I' then '' else texts[k] end, chr(10) order by j) as lines
+            from led group by conv_id
+        )
+        select c.conv_id, coalesce(r.gaps, 0)::bigint as gaps, coalesce(r.blank, 0)::bigint as blank, coalesce(r.duplicate, 0)::bigint as duplicate,
+            coalesce(r.truncated, 0)::bigint as truncated, coalesce(r.illegal, 0)::bigint as illegal, coalesce(r.cost, 0)::bigint as cost,
+            coalesce(r.audit, '') as audit, sha256(coalesce(w.lines, '')) as repaired_sha256
+        from (select distinct conv_id from conversations) c left join repaired r on c.conv_id is not distinct from r.conv_id
+        left join written w on c.conv_id is not distinct from w.conv_id
+    """
+
+
 ORACLE = {
+    "op13_repair": _repair_sql(),
     "op2_line_templates": r"""
         with split as (select doc_id, string_split(text, chr(10)) as lines from documents),
         numbered as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) - 1 as pos from split),
@@ -119,38 +201,40 @@ ORACLE = {
             select doc_id, pos, list_filter(string_split(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda t: t <> '') as tokens
             from numbered
         ),
-        thin as (
-            select doc_id, pos, array_to_string(tokens, ' ') as line,
-                len(tokens) || ' ' || array_to_string(list_transform(tokens[1:3], lambda t: case when regexp_matches(t, '[0-9@]') then '<*>' else t end), ' ') as leaf
-            from worded where len(tokens) >= 4
+        thin as (select doc_id, pos, array_to_string(tokens, ' ') as line, len(tokens) as size from worded where len(tokens) > 0),
+        counted as (select line, size, count(distinct doc_id) as docs, min(doc_id) as first from thin group by all),
+        masked as (
+            select line, size, docs, list_transform(string_split(line, ' '), lambda t: case when regexp_matches(t, '[0-9@]') then '<*>' else t end) as tokens
+            from counted where size >= 4
+        ),
+        voters as (
+            select line, size, docs, tokens, size || ' ' || array_to_string(tokens[1:3], ' ') || chr(10) || k || chr(10)
+                || array_to_string(list_filter(tokens, lambda t, i: (i - 1) * 3 // size = k), ' ') as cluster
+            from masked, range(3) as parts(k)
         ),
-        counted as (select leaf, line, count(distinct doc_id) as docs, min(doc_id) as first from thin group by all),
-        leaves as (select leaf, sum(docs) as leaf_docs from counted group by leaf having sum(docs) >= 3 and count(*) > 1),
-        content as (
-            select leaf, line, docs, leaf_docs,
-                list_transform(string_split(line, ' '), lambda t: case when regexp_matches(t, '[0-9@]') then '<*>' else t end) as tokens
-            from counted join leaves using (leaf)
+        shared as (select cluster, sum(docs) as cluster_docs from voters group by cluster having sum(docs) >= 3 and count(*) > 1),
+        placed as (
+            select cluster, cluster_docs, line, docs, unnest(tokens) as token, generate_subscripts(tokens, 1) as spot from voters join shared using (cluster)
         ),
-        placed as (select leaf, line, docs, leaf_docs, unnest(tokens) as token, generate_subscripts(tokens, 1) as spot from content),
         constants as (
-            select leaf, spot, token from placed where token <> '<*>' group by leaf, spot, token
-            having sum(docs) >= 0.2e0 * min(leaf_docs) and sum(docs) >= 3
+            select cluster, spot, token from placed where token <> '<*>' group by cluster, spot, token
+            having sum(docs) >= 0.2e0 * min(cluster_docs) and sum(docs) >= 3
         ),
         templates as (
-            select p.leaf, p.line, string_agg(coalesce(c.token, '<*>'), ' ' order by p.spot) as template
-            from placed p left join constants c on p.leaf = c.leaf and p.spot = c.spot and p.token = c.token
-            where p.docs < 3 group by p.leaf, p.line having count(c.token) >= 0.6e0 * count(*)
+            select p.cluster, p.line, string_agg(coalesce(c.token, '<*>'), ' ' order by p.spot) as template
+            from placed p left join constants c on p.cluster = c.cluster and p.spot = c.spot and p.token = c.token
+            where p.docs < 3 group by p.cluster, p.line having count(c.token) >= 0.6e0 * count(*)
         ),
         recurring as (
-            select m.leaf, m.template, min(t.doc_id) as first from thin t join templates m using (leaf, line)
+            select m.cluster, m.template, min(t.doc_id) as first from thin t join templates m using (line)
             group by all having count(distinct t.doc_id) >= 3
         ),
         repeated as (
-            select leaf, line, first from counted where docs >= 3
-            union all select leaf, line, first from templates join recurring using (leaf, template)
+            select line, first from counted where docs >= 3 or (docs >= 2 and size >= 50)
+            union all select line, first from templates join recurring using (cluster, template)
         ),
         drops as (
-            select doc_id, list(distinct pos) as gone from thin join repeated using (leaf, line) where doc_id <> first group by doc_id
+            select doc_id, list(distinct pos) as gone from thin join repeated using (line) where doc_id <> first group by doc_id
         ),
         kept as (
             select d.doc_id, d.text, coalesce(len(gone), 0)::int as dropped,

@@ -348,7 +348,7 @@ def test_components_of_paths_stars_and_nothing(spark):
 # Line templates ----------------------------------------------------------------------------------------------
 
 
-def brute_lines(rows, leading=3, min_tokens=4, min_docs=3, min_share=0.2, min_constant=0.6):
+def brute_lines(rows, leading=3, min_tokens=4, min_docs=3, min_share=0.2, min_constant=0.6, passage=50, passage_docs=2, least_tokens=1, templates=True):
     def tokens(line):
         return [t for t in re.split(r"[\x20\x09-\x0D]+", line) if t]
 
@@ -356,39 +356,44 @@ def brute_lines(rows, leading=3, min_tokens=4, min_docs=3, min_share=0.2, min_co
         return "<*>" if re.search("[0-9@]", t) else t
 
     docs = sorted({((i is not None, i or 0), t) for i, t in rows if t is not None})
-    lines = []
+    places = defaultdict(lambda: defaultdict(set))  # line -> document -> positions
     for d, text in enumerate(docs):
         for pos, line in enumerate(text[1].split("\n")):
-            t = tokens(line)
-            if len(t) >= min_tokens:
-                lines.append((d, pos, (len(t), *map(mask, t[:leading])), tuple(t)))
-    by_line = defaultdict(set)
-    for d, _, leaf, t in lines:
-        by_line[leaf, t].add(d)
-    leaves = defaultdict(list)
-    for (leaf, t), ds in by_line.items():
-        leaves[leaf].append((t, ds))
-    gone = defaultdict(set)
-    for leaf, members in leaves.items():
-        total = sum(len(ds) for _, ds in members)
-        template = {}
-        if total >= min_docs and len(members) > 1:
-            votes = defaultdict(int)
-            for t, ds in members:
-                for at, token in enumerate(map(mask, t)):
-                    votes[at, token] += len(ds)
-            good = {k for k, v in votes.items() if v >= min_share * total and v >= min_docs and k[1] != "<*>"}
-            for t, ds in members:
-                held = tuple(m if (at, m) in good else "<*>" for at, m in enumerate(map(mask, t)))
-                if len(ds) < min_docs and good and sum(h != "<*>" for h in held) >= min_constant * len(held):
-                    template.setdefault(held, []).append((t, ds))
-        groups = [[(t, ds)] for t, ds in members if len(ds) >= min_docs] + list(template.values())
-        for group in groups:
-            holders = set().union(*(ds for _, ds in group))
+            t = tuple(tokens(line))
+            if len(t) >= least_tokens:
+                places[t][d].add(pos)
+    groups = []  # lines that recur together, with the documents that hold them
+    for t, ds in places.items():
+        if len(ds) >= (passage_docs if len(t) >= passage else min_docs) or len(ds) >= min_docs:
+            groups.append(([t], set(ds)))
+    clusters = defaultdict(list)
+    for t in places:
+        if templates and len(t) >= min_tokens:
+            masks = tuple(map(mask, t))
+            for k in range(3):
+                part = tuple(m for i, m in enumerate(masks) if i * 3 // len(t) == k)
+                clusters[len(t), masks[:leading], k, part].append(t)
+    for members in clusters.values():
+        total = sum(len(places[t]) for t in members)
+        votes = defaultdict(int)
+        for t in members:
+            for at, token in enumerate(map(mask, t)):
+                votes[at, token] += len(places[t])
+        good = {k for k, v in votes.items() if v >= min_share * total and v >= min_docs and k[1] != "<*>"}
+        found = defaultdict(list)
+        for t in members:
+            held = tuple(m if (at, m) in good else "<*>" for at, m in enumerate(map(mask, t)))
+            if len(members) > 1 and len(places[t]) < min_docs and sum(h != "<*>" for h in held) >= min_constant * len(held):
+                found[held].append(t)
+        for ts in found.values():
+            holders = set().union(*(places[t] for t in ts))
             if len(holders) >= min_docs:
-                for t, ds in group:
-                    for d in ds - {min(holders)}:
-                        gone[d] |= {pos for e, pos, of, u in lines if (e, of, u) == (d, leaf, t)}
+                groups.append((ts, holders))
+    gone = defaultdict(set)
+    for ts, holders in groups:
+        for t in ts:
+            for d in set(places[t]) - {min(holders)}:
+                gone[d] |= places[t][d]
     result = {}
     for d, (key, text) in enumerate(docs):
         left = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone[d])
@@ -396,6 +401,58 @@ def brute_lines(rows, leading=3, min_tokens=4, min_docs=3, min_share=0.2, min_co
     return sorted(((i, *(result[(i is not None, i or 0), t] if t is not None else (None, 0))) for i, t in rows), key=str)
 
 
+def lines_left(spark, rows, **options):
+    found = without_repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), count="n", **options)
+    got = sorted(((r["doc_id"], r["text"], r["n"]) for r in found.collect()), key=str)
+    assert got == brute_lines(rows, **options)
+    return {i: (t, n) for i, t, n in got}
+
+
+@pytest.mark.parametrize("notices", [1, 6, 60])
+def test_a_leaf_holds_any_number_of_templates(spark, notices):
+    """Notices of twelve tokens with one word field each, all in one leaf with as much prose."""
+    rng = random.Random(notices)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    rest = [[word() for _ in range(8)] for _ in range(notices)]
+    rows, doc = [], 0
+    for body in rest:
+        for _ in range(10):
+            field = [*body]
+            rows.append((doc, " ".join(["please", "note", "that", *field[:3], word(), *field[3:]])))
+            rows.append((doc + 1, " ".join(["please", "note", "that", *(word() for _ in range(9))])))
+            doc += 2
+    found = lines_left(spark, rows)
+    assert sum(n for _, n in found.values()) == 9 * notices
+    assert all(found[i][1] == 0 for i in range(1, doc, 2))
+
+
+def test_fields_of_several_words_and_places(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = [(i, f"Please note that dear {word()} {word()} your parcel with the number {i} has left the depot in the town of {word()}") for i in range(30)]
+    assert sum(n for _, n in lines_left(spark, rows).values()) == 29
+
+
+def test_short_and_unspaced_lines_count_as_they_are(spark):
+    rows = [(i, f"Of.\n漢字の行です\nonly here {i}x") for i in range(3)] + [(9, "twice.\nOf."), (10, "twice.")]
+    found = lines_left(spark, rows)
+    assert [found[i][1] for i in (0, 1, 2, 9, 10)] == [0, 2, 2, 1, 0]
+    assert all(n == 0 for _, n in lines_left(spark, rows, least_tokens=5).values())
+
+
+def test_passages_in_two_documents(spark):
+    passage = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(51))
+    rows = [(1, f"first\n{passage}"), (2, f"second\n{passage}\nlast"), (3, passage.rsplit(" ", 2)[0]), (4, passage.rsplit(" ", 2)[0])]
+    found = lines_left(spark, rows)
+    assert found[1][1] == 0 and found[2] == ("second\nlast", 1) and found[3][1] == found[4][1] == 0
+    assert all(n == 0 for _, n in lines_left(spark, rows, passage_docs=3).values())
+
+
+def test_the_counts_name_must_be_free(spark):
+    with pytest.raises(ValueError, match="already"):
+        without_repeated_lines(spark.createDataFrame([(1, "a", 2)], "doc_id bigint, text string, N int"), count="n")
+
+
 def test_repeated_lines_match_brute_force(spark):
     rng = random.Random(6)
     prose = lambda: " ".join(rng.choices([f"p{chr(97 + k)}{chr(97 + m)}" for k in range(26) for m in range(9)], k=rng.randint(3, 12)))
@@ -420,3 +477,25 @@ def test_repeated_lines_match_brute_force(spark):
 
 def test_repeated_lines_of_nothing(spark):
     assert without_repeated_lines(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_labelled_texts_of_any_length_are_learnt_from(spark):
+    """Good texts of 340,000 characters, bad ones short."""
+    rng = random.Random(3)
+    good, bad = ["river meadow lantern harvest quiet morning"] , ["click buy cheap pills winner casino"]
+    rows = [(i, " ".join(rng.choice((good if i % 2 else bad)[0].split()) for _ in range(48_000 if i % 2 else 300)), "en") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(8)
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(100)], "doc_id bigint, quality int, toxic int")
+    model = fit_quality(docs, labels)
+    assert model is not None and len(model.good) > 200_000 and len(model.bad) > 30_000
+    scores = {r["doc_id"]: r["score"] for r in with_quality(docs, model).collect()}
+    assert min(scores[i] for i in range(1, 100, 2)) > max(scores[i] for i in range(0, 100, 2))
+    toxic = {r["doc_id"]: r["score"] for r in with_toxicity(docs, fit_toxicity(docs, labels)).collect()}
+    assert all((toxic[i] >= 0.5) == (i % 2 == 0) for i in range(100))
+
+
+def test_added_columns_find_a_free_name(spark):
+    docs = spark.createDataFrame([(1, "a text", 7)], "doc_id bigint, text string, score int")
+    assert with_quality(docs, None).columns == with_toxicity(docs, None).columns == ["doc_id", "text", "score", "_score"]
+    assert with_quality(docs, None).first()["score"] == 7
+    assert with_quality(docs.limit(0), None).count() == with_toxicity(docs.limit(0), None).count() == 0
