@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relfold.llm.common import free_name, written
+from relfold.llm.common import free_name, in_written_order, written
 from relfold.llm.curriculum import curriculum
-from relfold.llm.language import UNDETERMINED, fit_language, with_language
+from relfold.llm.language import UNDETERMINED, fit_language, has_letter, with_language
 from relfold.llm.near import one_of_each
 from relfold.llm.pieces import encoded, load_pieces
 from relfold.llm.queries import VOCABULARY
@@ -21,13 +21,19 @@ PASSAGE = 50
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without a letter, and null ones, are rejected."""
-    found, name, _ = with_language(docs, fit_language(docs))
+    """Documents whose language can be told: those without a letter, and null ones, are rejected. Where no document
+    tells a language to learn from, all others stay."""
+    model = fit_language(docs)
+    if model is None:
+        return docs.where(has_letter(F.col("text")))
+    found, name, _ = with_language(docs, model)
     return found.where(F.col(name) != UNDETERMINED).select(*[f"`{c}`" for c in docs.columns])
 
 
-def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str, **options) -> DataFrame:
-    """Documents without the lines of recurring templates; n_chars follows. Those with nothing left go."""
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str, passage_docs: int = 3, **options) -> DataFrame:
+    """Documents without the lines of recurring templates; n_chars follows. Those with nothing left go. A passage in two
+    documents stays here: near duplicates, which share most of their lines, are told by them in the next stage."""
+    options["passage_docs"] = passage_docs
     dropped = free_name(docs, "dropped")
     left = without_repeated_lines(docs, count=dropped, **options)
     left = left.where((F.col(dropped) == 0) | (F.col("text") != ""))
@@ -39,7 +45,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str, **options) ->
 def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates. Of what is left, a line of PASSAGE
     tokens or more that stands in two documents goes from all but the first; before, it might go from the one kept."""
-    return drop_lines(spark, written(one_of_each(docs)), sf_dir, min_tokens=PASSAGE, min_docs=2, min_constant=1.0)
+    return drop_lines(spark, written(one_of_each(docs)), sf_dir, passage_docs=2, least_tokens=PASSAGE, templates=False)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +54,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their pieces."""
-    return encoded(docs, load_pieces(VOCABULARY), name=free_name(docs, "ids"))
+    """The documents with the ids of their pieces, in training order: that in which they were written, file after file
+    and row after row. ``place`` rises with it. Documents that were never written have no order to keep."""
+    place = free_name(docs, "place")
+    placed = in_written_order(docs, place)
+    found = encoded(placed, load_pieces(VOCABULARY), name=free_name(docs, "ids"))
+    return found.orderBy(place) if place in placed.columns else found
 
 
 STAGES = [("language", identify), ("lines", drop_lines), ("near", join_near), ("mixing", mix), ("pieces", encode)]
