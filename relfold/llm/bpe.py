@@ -32,7 +32,7 @@ from relfold.llm.common import free_name, small_batches
 
 #: Characters that are cut into words together, and bytes of a word that are searched together.
 WINDOW, BLOCK = 1 << 20, 1 << 16
-#: Words whose ids a worker remembers, and the longest of them.
+#: Words whose ids a task remembers, and the longest of them.
 REMEMBERED, REMEMBERED_LENGTH = 1 << 18, 64
 #: Matches at a window's end that may look different with the next characters: one that goes on, and a contraction.
 UNSURE = 3
@@ -111,7 +111,7 @@ def load_byte_pairs(path: str) -> BytePairs:
 
 
 class Encoder:
-    """Ids of texts. Its tables are built where it is first used, once per worker process."""
+    """Ids of texts. Only the vocabulary travels; the tables are built where it is first used, once per task."""
 
     def __init__(self, vocabulary: BytePairs):
         self.vocabulary = vocabulary
