@@ -54,12 +54,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their pieces, in training order: that in which they were written, file after file
-    and row after row. ``place`` rises with it. Documents that were never written have no order to keep."""
-    place = free_name(docs, "place")
-    placed = in_written_order(docs, place)
-    found = encoded(placed, load_pieces(VOCABULARY), name=free_name(docs, "ids"))
-    return found.orderBy(place) if place in placed.columns else found
+    """The documents with the ids of their pieces. ``place`` rises with the training order: that in which the mix wrote
+    them, file after file and row after row; copies of a document have places of their own. Documents that were never
+    written have no order to keep. Sorting by it would move every text and its ids once more, so it is left to
+    whoever writes them out."""
+    placed = in_written_order(docs, free_name(docs, "place"))
+    return encoded(placed, load_pieces(VOCABULARY), name=free_name(docs, "ids"))
 
 
 STAGES = [("language", identify), ("lines", drop_lines), ("near", join_near), ("mixing", mix), ("pieces", encode)]
