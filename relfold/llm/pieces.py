@@ -30,6 +30,8 @@ from relfold.llm.common import small_batches, written
 MARK = "▁"
 #: Characters of a chunk; texts with more are cut.
 CHUNK = 1 << 15
+#: Chunks whose matrices are multiplied together.
+TOGETHER = 256
 #: Characters of the texts that are solved together.
 SPAN = 1 << 18
 #: Places of an encoder's memory of segments (as a power of two), the longest of them, and the room for their characters.
@@ -453,14 +455,23 @@ def combined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.maximum((left[:, :, None] + right[None, :, :]).max(axis=1), NEVER)
 
 
-def border_states(matrices: list[np.ndarray]) -> list[int]:
-    """The state at every border of a text's chunks on its best path, 0 at both ends. Forward, the states' best scores
-    are matrix products; backward, the state that led to the next one, the smallest among equals."""
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """The product of matrices in their order, halves first: any grouping gives the same."""
+    while len(matrices) > 1:
+        pairs = [combined(*matrices[k : k + 2]) for k in range(0, len(matrices) - 1, 2)]
+        matrices = pairs + matrices[len(matrices) & ~1 :]
+    return matrices[0]
+
+
+def border_states(matrices: list[np.ndarray], enter: int = 0, leave: int = 0) -> list[int]:
+    """The state at every border of consecutive chunks on their best path from one state to another (0 at both ends of
+    a text). Forward, the states' best scores are matrix products; backward, the state that led to the next one, the
+    smallest among equals."""
     width = len(matrices[0])
-    reached = [np.where(np.arange(width) == 0, 0, NEVER)[None, :]]
+    reached = [np.where(np.arange(width) == enter, 0, NEVER)[None, :]]
     for matrix in matrices:
         reached.append(combined(reached[-1], matrix))
-    states = [0]
+    states = [leave]
     for score, matrix in zip(reached[-2::-1], matrices[::-1]):
         states.append(int((score[0] + matrix[:, states[-1]]).argmax()))
     return states[::-1]
@@ -535,20 +546,23 @@ def decode_column(ids: Column, vocabulary: Pieces) -> Column:
     return decoded(ids)
 
 
-def encode_giant(rows: DataFrame, vocabulary: Pieces, chunk: int = CHUNK) -> DataFrame:
-    """(row, ids) for texts of any length, from ``rows`` (columns row and text): each chunk's matrix, each text's
-    border states, each chunk's ids. No task holds more than one chunk's characters or one text's matrices and
-    ids; the longest text that a cell can hold has fewer than 2^31 / chunk matrices of 2 KB."""
+def encode_giant(rows: DataFrame, vocabulary: Pieces, chunk: int = CHUNK, together: int = TOGETHER) -> DataFrame:
+    """(row, ids) for texts of any length, from ``rows`` (columns row and text). Each chunk gives its matrix; the
+    matrices of ``together`` neighbouring chunks are multiplied, then these products along each text, which tells the
+    states between them; from there the states inside each run of chunks follow on their own, and each chunk's ids. A
+    task holds a chunk's characters, or as many matrices of 2 KB as a run has chunks or a text has runs, or a text's
+    ids."""
     width = max(len(p) for p in vocabulary.pieces if isinstance(p, str))
-    shown = F.concat(F.lit(MARK), F.translate("text", " ", MARK))
-    cut = rows.select("row", shown.alias("text")).withColumn("chars", F.length("text"))
-    pieces = cut.select(
-        "row", "chars", "text", F.explode(F.sequence(F.lit(0), F.floor((F.col("chars") - 1) / chunk).cast("int"))).alias("part")
-    ).select(
-        "row", "part", F.least(F.lit(chunk), F.col("chars") - F.col("part") * chunk).cast("int").alias("size"),
-        F.substring("text", F.col("part") * chunk + 1, F.lit(chunk + width - 1)).alias("text"),
-    )
-    pieces = written(pieces)
+
+    @F.arrow_udf("array<string>")
+    def cut(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            parts = ((marked(t), range(0, len(t) + 1, chunk)) for t in column.to_pylist())
+            yield pa.array([[t[k : k + chunk + width - 1] for k in places if k < len(t)] for t, places in parts], pa.list_(pa.string()))
+
+    pieces = rows.select("row", F.posexplode(cut("text")).alias("part", "text"), (F.length("text") + 1).alias("chars"))
+    size = F.least(F.lit(chunk), F.col("chars") - F.col("part") * chunk).cast("int")
+    pieces = written(pieces.select("row", "part", size.alias("size"), "text"))
 
     encoder = Encoder(vocabulary)
 
@@ -558,14 +572,29 @@ def encode_giant(rows: DataFrame, vocabulary: Pieces, chunk: int = CHUNK) -> Dat
             out = [encoder.transfer(as_codes([t])[0], size).tobytes() for t, size in zip(column.to_pylist(), sizes.to_pylist())]
             yield pa.array(out, pa.binary())
 
-    def states(part: pa.Table) -> pa.Table:
-        part = part.sort_by("part")
-        matrices = [np.frombuffer(m, np.int64).reshape(width, width) for m in part["matrix"].to_pylist()]
+    def in_order(part: pa.Table, by: str) -> tuple[pa.Table, list[np.ndarray]]:
+        part = part.sort_by(by)
+        return part, [np.frombuffer(m, np.int64).reshape(width, width) for m in part["matrix"].to_pylist()]
+
+    def multiplied(part: pa.Table) -> pa.Table:
+        part, matrices = in_order(part, "part")
+        return pa.table({"row": part["row"][:1], "run": part["run"][:1], "matrix": pa.array([product(matrices).tobytes()], pa.binary())})
+
+    def between(part: pa.Table) -> pa.Table:
+        part, matrices = in_order(part, "run")
         at = border_states(matrices)
+        return pa.table({"row": part["row"], "run": part["run"], "first": pa.array(at[:-1], pa.int32()), "last": pa.array(at[1:], pa.int32())})
+
+    def inside(part: pa.Table) -> pa.Table:
+        part, matrices = in_order(part, "part")
+        at = border_states(matrices, part["first"][0].as_py(), part["last"][0].as_py())
         return pa.table({"row": part["row"], "part": part["part"], "enter": pa.array(at[:-1], pa.int32()), "leave": pa.array(at[1:], pa.int32())})
 
-    matrices = pieces.select("row", "part", matrix("text", "size").alias("matrix"))
-    known = matrices.groupBy("row").applyInArrow(states, "row string, part int, enter int, leave int")
+    run = F.floor(F.col("part") / together).cast("int")
+    matrices = written(pieces.select("row", "part", run.alias("run"), matrix("text", "size").alias("matrix")))
+    products = matrices.groupBy("row", "run").applyInArrow(multiplied, "row string, run int, matrix binary")
+    borders = products.groupBy("row").applyInArrow(between, "row string, run int, first int, last int")
+    known = matrices.join(borders, ["row", "run"]).groupBy("row", "run").applyInArrow(inside, "row string, part int, enter int, leave int")
 
     @F.arrow_udf("array<int>")
     def traced(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:

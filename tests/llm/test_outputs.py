@@ -449,7 +449,8 @@ def test_the_training_order_reaches_the_result(spark):
     order = [r["doc_id"] for r in mixed_docs.collect()]
     stored_docs = written(mixed_docs)
     result = corpus_pipeline.encode(spark, stored_docs, SF_DIR)
-    assert [r["doc_id"] for r in result.collect()] == order
+    assert [r["doc_id"] for r in result.orderBy("place").collect()] == order
+    assert result.select("place").distinct().count() == len(order)
     assert result.columns == [*DOCS.replace(" bigint", "").replace(" string", "").split(", "), "place", "ids"]
 
 
@@ -468,3 +469,20 @@ def test_remembered_segments_give_the_same_ids(monkeypatch):
             assert np.array_equal(mine, theirs)
         codes, begins = as_codes([marked(t) for t in texts])
         assert np.array_equal(used.encode_codes(codes, begins)[2], Encoder(vocabulary).encode_codes(codes, begins)[2])
+
+
+@pytest.mark.parametrize("together", [1, 3, 1000])
+def test_runs_of_chunks_are_combined_associatively(spark, vocabulary, together):
+    from relfold.llm.pieces import encode_giant
+
+    rng = random.Random(together)
+    texts = ["".join(rng.choice(["abc", "d", "é", "漢", " ", "  "]) for _ in range(rng.randint(20, 400))) for _ in range(12)] + ["x" * 333, "word " * 80, "y" * 64, "z" * 63]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "row string, text string").repartition(3)
+    found = {int(r["row"]): r["ids"] for r in encode_giant(df, vocabulary, chunk=32, together=together).collect()}
+    best = Encoder(vocabulary).encode(texts)
+    assert len(found) == len(texts)
+    assert all(total(vocabulary, found[i]) == total(vocabulary, best[i]) for i in found)
+    decoder = Decoder(vocabulary)
+    for i, t in enumerate(texts):
+        ids = np.array(found[i], np.int64)
+        assert decoder.decode(ids, np.array([0, len(ids)]))[0].decode() == t
