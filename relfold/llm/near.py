@@ -1,9 +1,11 @@
 """N-gram Jaccard join: pairs of texts whose sets of word n-grams are similar, found by MinHash banding.
 
 Texts with equal n-gram sets form a class with one representative, whatever their number. Representatives meet
-on band hashes; those connected through common bands form candidate groups, which are dealt to tasks in blocks,
-every block of a group meeting every other. Within a task, pairs that share a band are verified on their full
-n-gram sets and only counted: one row per text leaves the task, not one per pair.
+on band hashes, in buckets; buckets connected through common texts form candidate groups. A group is dealt to tasks
+in blocks of texts, every block meeting every other, or bucket by bucket, where a pair counts in its first common
+bucket only: whichever sends fewer texts. Texts that are alike in part only, by common boilerplate say, can chain into
+a group of any size, but each of them lies in few buckets. Within a task, pairs that share a band are verified on their
+full n-gram sets and only counted: one row per text leaves the task, not one per pair.
 """
 
 from __future__ import annotations
@@ -79,17 +81,24 @@ def sketch(text: Column, size: int, bands: int, rows: int) -> Column:
     return sketched(text)
 
 
-def linked_pairs(grams: list[np.ndarray], bands: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j) with i of ``left`` and j of ``right`` that share a band hash and are similar on their
-    whole sets; if left and right are the same, every pair once."""
+def linked_pairs(
+    grams: list[np.ndarray], bands: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float, band: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i, j) with i of ``left`` and j of ``right`` that share a band hash (``band`` being the first one
+    they share, if given) and are similar on their whole sets; if left and right are the same, every pair once."""
     same = left is right
     found_a, found_b = [], []
     sizes = np.array([len(g) for g in grams])
     for low in range(0, len(left), 128):
         a = left[low : low + 128]
         share = np.zeros((len(a), len(right)), bool)
-        for k in range(bands.shape[1]):
-            share |= bands[a, k][:, None] == bands[right, k][None, :]
+        if band is None:
+            for k in range(bands.shape[1]):
+                share |= bands[a, k][:, None] == bands[right, k][None, :]
+        else:
+            share = bands[a, band][:, None] == bands[right, band][None, :]
+            for k in range(band):
+                share &= bands[a, k][:, None] != bands[right, k][None, :]
         if same:
             share &= np.arange(low, low + len(a))[:, None] < np.arange(len(right))[None, :]
         # A pair can only be that similar if the sizes are.
@@ -154,6 +163,33 @@ def local_roots(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def meetings(sets: DataFrame) -> DataFrame:
+    """Who meets whom, from ``sets`` (key, copies, first_id, first_text, bands): a row for each text of a meeting (a
+    candidate group, or a bucket and its band), its block there and the meeting's blocks. A text is sent ``blocks``
+    times for each of its rows: at most as often as its group has blocks, or its buckets have."""
+    postings = sets.select("key", F.posexplode("bands").alias("band", "hash"))
+    buckets = postings.groupBy("band", "hash").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    buckets = written(buckets)
+    met = written(postings.join(buckets, ["band", "hash"]))
+    groups = components(met.where("key <> hub").select("key", "hub"), "key", "hub")
+
+    # What each way of dealing a group sends: all of it as often as it has blocks, or each bucket as often as that has.
+    ways = groups.groupBy("root").agg(F.count("*").alias("members"))
+    of_group = buckets.join(groups, F.col("hub") == F.col("node"))
+    sent = of_group.groupBy("root").agg(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK)).alias("sent"))
+    ways = ways.join(sent, "root").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    ways = ways.withColumn("by_bucket", F.col("sent") < F.col("members") * F.col("blocks")).select("root", "blocks", "by_bucket")
+    placed = written(groups.join(ways, "root").select(F.col("node").alias("key"), "root", "blocks", "by_bucket"))
+    in_blocks = placed.where("not by_bucket").select("key", F.col("root").alias("meeting"), F.lit(None).cast("int").alias("band"), "blocks")
+    bucket = F.concat(F.unhex(F.hex("hash")), F.unhex(F.hex(F.col("band").cast("bigint"))))
+    in_buckets = met.join(placed.where("by_bucket").select("key"), "key").select(
+        "key", bucket.alias("meeting"), "band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
+    )
+    # Small meetings go to a task together, those of several blocks as one pair of blocks each.
+    found = in_blocks.union(in_buckets).join(sets, "key").select("key", "meeting", "band", "blocks", "copies", "first_id", "first_text", "bands")
+    return written(found.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", size: int = 5, similarity: float = 0.8, recall: float = 0.999, text_key: bool = False
 ) -> DataFrame:
@@ -181,16 +217,7 @@ def near_duplicates(
         all_rows.where("key is not null").groupBy("key").agg(F.count("*").alias("copies"), sample.alias("one"))
         .select("key", "copies", F.col("one")["doc_id"].alias("first_id"), F.col("one")["text_key"].alias("first_text"), F.col("one")["bands"].alias("bands"))
     )
-    postings = sets.select("key", F.posexplode("bands").alias("band", "hash"))
-    buckets = postings.groupBy("band", "hash").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    meetings = postings.join(buckets, ["band", "hash"]).where("key <> hub").select("key", "hub")
-    groups = components(meetings, "key", "hub")
-
-    # Where each candidate goes: small groups together, large ones in blocks, each pair of blocks to one task.
-    group_sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
-    placed = groups.join(group_sizes, "root").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    candidates = placed.join(sets, F.col("node") == F.col("key")).select("key", "root", "blocks", "copies", "first_id", "first_text", "bands")
-    candidates = written(candidates.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
+    candidates = meetings(sets)
     units = max(1, math.ceil(candidates.count() / UNIT))
     texts = base.withColumn("text_key", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_text"))
@@ -200,21 +227,22 @@ def near_duplicates(
         texts.join(candidates, same)
         .withColumn("other", F.explode(others))
         .select(
-            F.when(F.col("blocks") == 1, F.concat(F.lit("u"), F.pmod(F.xxhash64("root"), F.lit(units))))
-            .otherwise(F.concat(F.hex("root"), F.lit("-"), low, F.lit("-"), high)).alias("unit"),
-            (F.col("block") == F.col("other")).alias("inner"), "block", "root", "key", "copies", "bands", "text",
+            F.when(F.col("blocks") == 1, F.concat(F.lit("u"), F.pmod(F.xxhash64("meeting"), F.lit(units))))
+            .otherwise(F.concat(F.hex("meeting"), F.coalesce(F.col("band").cast("string"), F.lit("")), F.lit("-"), low, F.lit("-"), high)).alias("unit"),
+            (F.col("block") == F.col("other")).alias("inner"), "block", "meeting", "band", "key", "copies", "bands", "text",
         )
     )
 
     def verified(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
         seen, picked = set(), []
-        for i, key in enumerate(part["key"].to_pylist()):  # repeated rows of one id and text came along
-            if key not in seen:
-                seen.add(key)
+        for i, place in enumerate(zip(part["meeting"].to_pylist(), part["band"].to_pylist(), part["key"].to_pylist())):
+            if place not in seen:  # repeated rows of one id and text came along
+                seen.add(place)
                 picked.append(i)
         part = part.take(pa.array(picked, pa.int64())).combine_chunks()
-        roots, keys = part["root"].to_pylist(), part["key"].to_pylist()
+        band = part["band"].to_pylist()
+        roots, keys = list(zip(part["meeting"].to_pylist(), [-1 if b is None else b for b in band])), part["key"].to_pylist()
         block, copies = part["block"].to_numpy(), part["copies"].to_numpy()
         inner = bool(part["inner"][0].as_py())
         signatures = part["bands"].combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
@@ -231,10 +259,10 @@ def near_duplicates(
             grams = [shingles(hashes[a:b], size) for a, b in zip(offsets, offsets[1:])]
             index = np.arange(len(mine))
             if inner:
-                a, b = linked_pairs(grams, signatures[mine], index, index, similarity)
+                a, b = linked_pairs(grams, signatures[mine], index, index, similarity, band[mine[0]])
             else:
                 first = block[mine] == block[mine].min()
-                a, b = linked_pairs(grams, signatures[mine], index[first], index[~first], similarity)
+                a, b = linked_pairs(grams, signatures[mine], index[first], index[~first], similarity, band[mine[0]])
             if not len(a):
                 continue
             links = np.bincount(a, copies[mine[b]], len(mine)) + np.bincount(b, copies[mine[a]], len(mine))
