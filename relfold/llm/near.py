@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from relfold.llm.common import small_batches, written
+from relfold.llm.common import joined_in_slices, small_batches, written
 from relfold.llm.components import components
 from relfold.llm.words import mix, shingles, word_hashes
 
@@ -170,19 +170,20 @@ def meetings(sets: DataFrame) -> DataFrame:
     postings = sets.select("key", F.posexplode("bands").alias("band", "hash"))
     buckets = postings.groupBy("band", "hash").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1")
     buckets = written(buckets)
-    met = written(postings.join(buckets, ["band", "hash"]))
-    groups = components(met.where("key <> hub").select("key", "hub"), "key", "hub")
+    groups = components(postings.join(buckets, ["band", "hash"]).where("key <> hub").select("key", "hub"), "key", "hub")
 
     # What each way of dealing a group sends: all of it as often as it has blocks, or each bucket as often as that has.
     ways = groups.groupBy("root").agg(F.count("*").alias("members"))
     of_group = buckets.join(groups, F.col("hub") == F.col("node"))
     sent = of_group.groupBy("root").agg(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK)).alias("sent"))
     ways = ways.join(sent, "root").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    ways = ways.withColumn("by_bucket", F.col("sent") < F.col("members") * F.col("blocks")).select("root", "blocks", "by_bucket")
-    placed = written(groups.join(ways, "root").select(F.col("node").alias("key"), "root", "blocks", "by_bucket"))
+    ways = written(ways.withColumn("by_bucket", F.col("sent") < F.col("members") * F.col("blocks")).drop("sent"))
+    placed = joined_in_slices(groups, ways, ["root"], "members", F.xxhash64("node"), groups.count())
+    placed = written(placed.select(F.col("node").alias("key"), "root", "blocks", "by_bucket"))
     in_blocks = placed.where("not by_bucket").select("key", F.col("root").alias("meeting"), F.lit(None).cast("int").alias("band"), "blocks")
     bucket = F.concat(F.unhex(F.hex("hash")), F.unhex(F.hex(F.col("band").cast("bigint"))))
-    in_buckets = met.join(placed.where("by_bucket").select("key"), "key").select(
+    theirs = sets.join(placed.where("by_bucket").select("key"), "key").select("key", F.posexplode("bands").alias("band", "hash"))
+    in_buckets = theirs.join(buckets, ["band", "hash"]).select(
         "key", bucket.alias("meeting"), "band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
     )
     # Small meetings go to a task together, those of several blocks as one pair of blocks each.

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from relfold.llm.common import small_batches, written
+from relfold.llm.common import joined_in_slices, small_batches, written
 
 #: Stands for a variable field in a template.
 FIELD = "<*>"
@@ -31,24 +31,6 @@ _WORD = (1 << 64) - 1
 PARTS = 3
 
 
-#: Rows of a key that one task may get in a join.
-SLICE = 4096
-
-
-def joined_in_slices(many: DataFrame, one: DataFrame, keys: list[str], weight: str, spread: Column, total: int) -> DataFrame:
-    """Inner join of many rows to one row per key. ``weight`` is a column of ``one`` with the rows of its key among
-    ``many``, ``spread`` a hash of a row of ``many``. Keys of more rows than SLICE, and than a quarter of an even
-    partition, are dealt in slices; there are at most four times as many of them as partitions, so their names are
-    broadcast."""
-    partitions = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    most = max(SLICE, total // (4 * partitions))
-    slices = F.ceil(F.col(weight) / F.lit(most)).cast("int")
-    hot = F.broadcast(one.where(F.col(weight) > most).select(*keys, slices.alias("__slices")))
-    left = many.join(hot, keys, "left").withColumn("__slice", F.coalesce(F.pmod(spread, F.col("__slices")), F.lit(0)).cast("int")).drop("__slices")
-    right = one.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.greatest(slices, F.lit(1)) - 1)))
-    return left.join(right, [*keys, "__slice"]).drop("__slice")
-
-
 def tokens_of(line: Column) -> Column:
     """The runs of a line without ASCII white space. Splitting at one plain character needs no pattern matching."""
     return F.array_remove(F.split(F.translate(line, "\t\n\v\f\r", "     "), " "), "")

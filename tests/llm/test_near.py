@@ -22,6 +22,7 @@ def test_chains_are_dealt_bucket_by_bucket(spark, step, monkeypatch):
     """Half-similar texts chain into one group of many blocks; each is sent as often as it has buckets at most, and the
     links between similar ones are the same."""
     monkeypatch.setattr(near, "BLOCK", 8)
+    monkeypatch.setattr("relfold.llm.common.SLICE", 16)
     sent, original = [], near.meetings
 
     def counted(sets):

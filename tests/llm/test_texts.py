@@ -450,9 +450,7 @@ def test_passages_in_two_documents(spark):
 
 def test_hot_lines_and_clusters_are_sliced(spark, monkeypatch):
     """A line and a template that most documents hold are dealt in slices, with the same result."""
-    import relfold.llm.templates as templates
-
-    monkeypatch.setattr(templates, "SLICE", 1)
+    monkeypatch.setattr("relfold.llm.common.SLICE", 1)
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     rows = [(i, f"All rights reserved here.\nplease note that the shop is closed by {word()} until next monday morning\n{word()} {word()} {word()} {word()} {word()}") for i in range(60)]
