@@ -329,7 +329,7 @@ def test_recall_does_not_depend_on_the_largest_norm(spark, largest, heavy):
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
-    for name in ("documents", "labels", "embeddings"):
+    for name in ("documents", "labels", "embeddings", "conversations"):
         connection.execute(f"create view {name} as select * from '{SF_DIR}/{name}.parquet'")
     return connection
 
@@ -353,6 +353,8 @@ def test_query_covers_its_table(spark, duck, name):
     elif name == "op10_neighbours":
         queries = duck.execute("select count(*) from embeddings where vec_id % 20 = 0").fetchone()[0]
         assert df.count() == 20 * queries
+    elif name == "op11_whitening":
+        assert df.count() == 16 * duck.execute("select count(*) from embeddings").fetchone()[0]
     else:
         assert sorted(r["doc_id"] for r in df.select("doc_id").collect()) == sorted(ids)
 
