@@ -45,7 +45,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str, passage_docs:
 def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates. Of what is left, a line of PASSAGE
     tokens or more that stands in two documents goes from all but the first; before, it might go from the one kept."""
-    return drop_lines(spark, written(one_of_each(docs)), sf_dir, passage_docs=2, least_tokens=PASSAGE, templates=False)
+    return drop_lines(spark, written(one_of_each(docs), compression="zstd"), sf_dir, passage_docs=2, least_tokens=PASSAGE, templates=False)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
