@@ -81,20 +81,30 @@ def fraction(*columns: str | Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+def label_marks(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id and label of every document outside the held-out ones. Of repeated labels for an id the largest counts;
+    null labels and ids count as absent."""
+    marked = labels.where(F.col(label).isNotNull() & ~held_out())
+    return marked.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, *columns: Column) -> DataFrame:
+    """Every document of a class (0 or 1) outside the held-out ones, with columns doc_id, text, label, weight (1) and
+    part in [0, 1), a hash of doc_id, and the given ``columns``. Neither side is broadcast: both grow with the tables."""
+    marks = label_marks(labels, label).where("label in (0, 1)").withColumn("weight", F.lit(1.0))
+    kept = docs.where(~held_out()).select("doc_id", "text", *columns)
+    return kept.join(marks.withColumn("part", fraction(F.col("doc_id"), F.lit("part"))), "doc_id")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *columns: Column) -> DataFrame:
     """At most about ``per_class`` documents of each class (0 and 1) outside the held-out ones, with
-    columns doc_id, text, label, weight (documents of the class for each one drawn) and part in [0, 1).
+    columns doc_id, text, label, weight (documents of the class for each one drawn) and part in [0, 1), and the given
+    ``columns``.
 
-    The draw is a hash of doc_id, so reruns agree. Of repeated labels for an id the largest counts; null
-    labels and ids count as absent. ``per_class`` bounds the rows; texts are drawn whole, whatever their length, so a
-    caller takes from them inside Spark what it needs.
+    The draw is a hash of doc_id, so reruns agree. ``per_class`` bounds the rows; texts are drawn whole, whatever their
+    length, so a caller takes from them inside Spark what it needs.
     """
-    marks = (
-        labels.where(F.col(label).isNotNull() & ~held_out())
-        .groupBy("doc_id")
-        .agg(F.max(F.col(label).cast("int")).alias("label"))
-        .withColumn("draw", fraction(F.col("doc_id"), F.lit("draw")))
-    )
+    marks = label_marks(labels, label).withColumn("draw", fraction(F.col("doc_id"), F.lit("draw")))
     sizes = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).where("label in (0, 1)").collect()}
     rates = {c: min(1.0, per_class / n) for c, n in sizes.items()}
     rate = F.lit(0.0)
@@ -104,4 +114,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         "doc_id", "label", F.try_divide(F.lit(1.0), rate).alias("weight"), fraction(F.col("doc_id"), F.lit("part")).alias("part")
     )
     # The drawn ids are bounded by per_class, whatever the table's size.
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    return docs.select("doc_id", "text", *columns).join(F.broadcast(drawn), "doc_id")

@@ -212,6 +212,21 @@ def test_pooling_parts_of_a_giant_text_is_the_same(monkeypatch):
     assert np.allclose(model.pooled(rows, offsets), whole, atol=1e-5) and SPAN > 17
 
 
+def test_toxicity_counts_and_learns_from_every_labelled_row(spark):
+    """Each toxic text has one of 375 words that 16 texts share; a draw of 1,200 texts a class holds most of them too rarely."""
+    rng = random.Random(5)
+    plain = [f"plain{k}" for k in range(40)]
+    rows = [(i, " ".join([*rng.choices(plain, k=6), f"mark{i // 2 % 375}" if i % 2 else "other", *rng.choices(plain, k=5)]), "en") for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12_000)], "doc_id bigint, toxic int")
+    model = fit_toxicity(docs, labels)
+    hashes, _ = word_hashes(pa.array([f"mark{k}" for k in range(375)]))
+    assert (model.rows(hashes) > 1).mean() > 0.9
+    found = {r["doc_id"]: r["score"] >= 0.5 for r in with_toxicity(docs, model).collect()}
+    held = [i for i in found if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(found[i] == (i % 2 == 1) for i in held) > 0.9 * len(held)
+
+
 def test_training_and_thresholds():
     rng = np.random.default_rng(1)
     texts = [rng.integers(0, 2**63, 30).astype(np.uint64) for _ in range(80)]
