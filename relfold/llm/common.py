@@ -89,11 +89,12 @@ def label_marks(labels: DataFrame, label: str) -> DataFrame:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, *columns: Column) -> DataFrame:
-    """Every document of a class (0 or 1) outside the held-out ones, with columns doc_id, text, label, weight (1) and
-    part in [0, 1), a hash of doc_id, and the given ``columns``. Neither side is broadcast: both grow with the tables."""
+    """Every document of a class (0 or 1) outside the held-out ones, with columns doc_id, label, weight (1) and part in
+    [0, 1), a hash of doc_id, and the given ``columns``, which are what the join sends. Neither side is broadcast: both
+    grow with the tables."""
     marks = label_marks(labels, label).where("label in (0, 1)").withColumn("weight", F.lit(1.0))
-    kept = docs.where(~held_out()).select("doc_id", "text", *columns)
-    return kept.join(marks.withColumn("part", fraction(F.col("doc_id"), F.lit("part"))), "doc_id")
+    kept = docs.where(~held_out()).select("doc_id", *columns)
+    return kept.join(marks.withColumn("part", fraction(F.col("doc_id"), F.lit("part"))).hint("merge"), "doc_id")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *columns: Column) -> DataFrame:

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relfold.llm.common import free_name, labelled_rows, labelled_sample, small_batches, written
@@ -297,7 +298,8 @@ def best_threshold(margins: np.ndarray, labels: np.ndarray, weights: np.ndarray)
 
 
 def _texts(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(b.as_buffer(), np.int32) for b in batch["slots"]]
+    packer = zstandard.ZstdDecompressor()
+    return [np.frombuffer(packer.decompress(b.as_buffer()), np.int32) for b in batch["slots"]]
 
 
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -523,12 +525,26 @@ def fit_toxicity(
 ) -> ToxicityModel | None:
     """Learn from every labelled row that is not held out; None unless both classes occur. Three quarters of them, by a
     hash of doc_id, are counted and train the network, the others calibrate; languages, which are only ever targets, are
-    learnt from all. Word slots, four bytes a word, are written once in shards of about SHARD rows, which learn side by
-    side and are averaged after each round. The driver holds the model and sums of its size, no rows. ``per_class`` bounds
-    the rows of a class by a repeatable draw, for trials."""
+    learnt from all. Word slots, packed text by text, are what the join to the labels sends; they are written once in
+    shards of about SHARD rows, which learn side by side and are averaged after each round. The driver holds the model and
+    sums of its size, no rows. ``per_class`` bounds the rows of a class by a repeatable draw, for trials."""
     small_batches(docs.sparkSession)
     name = (F.col(f"`{lang}`") if lang in docs.columns else F.lit(None)).cast("string").alias("lang")
-    rows = labelled_sample(docs, labels, label, per_class, name) if per_class else labelled_rows(docs, labels, label, name)
+
+    @F.arrow_udf("slots binary, words bigint")
+    def hashed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        packer = zstandard.ZstdCompressor()
+        for column in texts:
+            hashes, offsets = word_hashes(column)
+            short = slots_of(hashes)
+            packed = pa.array([packer.compress(short[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])], pa.binary())
+            yield pa.StructArray.from_arrays([packed, pa.array(np.diff(offsets), pa.int64())], ["slots", "words"])
+
+    found = hashed("text").alias("found")
+    if per_class:
+        rows = labelled_sample(docs, labels, label, per_class, name).select("*", found)
+    else:
+        rows = labelled_rows(docs, labels, label, name, found)
     fit = F.col("part") < 0.75
     tallies = {(r["label"], r["fit"]): r["n"] for r in rows.groupBy("label", fit.alias("fit")).agg(F.count("*").alias("n")).collect()}
     if {c for c, _ in tallies} != {0, 1}:
@@ -537,19 +553,12 @@ def fit_toxicity(
     fit, check = fit if True in both else F.lit(True), ~fit if False in both else F.lit(True)
     sizes = tuple(sum(n for (c, f), n in tallies.items() if c == k and (f or True not in both)) for k in (0, 1))
 
-    @F.arrow_udf("binary")
-    def hashed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in texts:
-            hashes, offsets = word_hashes(column)
-            short = slots_of(hashes)
-            yield pa.array([short[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())
-
     shards = -(-sum(sizes) // SHARD)
     shard = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("shard")), F.lit(shards)).cast("int").alias("shard")
-    slots = rows.select(shard, "part", "doc_id", "label", "weight", "lang", hashed("text").alias("slots"))
+    slots = rows.select(shard, "part", "doc_id", "label", "weight", "lang", "found.slots", "found.words")
     dealt = slots.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "part", "doc_id", F.xxhash64("slots"))
     rows = written(dealt, compression="zstd")
-    words = rows.where(fit).agg(F.sum(F.octet_length("slots"))).first()[0] // 4
+    words = rows.where(fit).agg(F.sum("words")).first()[0]
 
     model = first_model(*count_slots(rows.where(fit), sizes), sizes)
     epochs, meetings = epochs_of(sum(sizes), rounds, 300), 1 if shards == 1 and words <= BUFFER else rounds
