@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from relfold.functions.columns import fill_missing, quoted, split_columns
+from relfold.modeling.boosting import BoostedTrees, Boosting
 from relfold.operators.aggregates import Measure, aggregate_by_key
 from relfold.operators.keyed import KeyedFrame, attach, keyed
 from relfold.session import shared_folder, stored
@@ -168,7 +169,7 @@ class TreeModel:
     """``asked`` rounds were run; ``kept`` of them did best on the holdout (all, if there is none)."""
 
     encoder: FeatureEncoder
-    trees: GBTClassificationModel
+    trees: BoostedTrees | GBTClassificationModel
     asked: int
     kept: int
 
@@ -193,9 +194,11 @@ def top_features(importances: DataFrame, k: int) -> DataFrame:
     return importances.orderBy(F.desc("importance"), F.asc("feature")).limit(k)
 
 
-def first_rounds(trees: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+def first_rounds(trees: BoostedTrees | GBTClassificationModel, rounds: int) -> BoostedTrees | GBTClassificationModel:
     """The model of the first rounds alone. A round depends only on those before, so this is what boosting gives when
     it is stopped there."""
+    if isinstance(trees, BoostedTrees):
+        return trees.first(rounds)
     java, context = trees._java_obj, SparkContext._active_spark_context
     kept = context._gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
     weights = context._gateway.new_array(context._jvm.double, rounds)
@@ -205,9 +208,16 @@ def first_rounds(trees: GBTClassificationModel, rounds: int) -> GBTClassificatio
     return GBTClassificationModel(model).setFeaturesCol(trees.getFeaturesCol())
 
 
-def boosted(vectors: DataFrame, settings: TreeSettings, weight: str | None = None) -> GBTClassificationModel:
-    """All rounds of boosting on rows with ``__label`` and ``features``; the rows are read once and kept binned by the
-    boosting itself."""
+def boosted(vectors: DataFrame, settings: TreeSettings, weight: str | None = None) -> BoostedTrees | GBTClassificationModel:
+    """All rounds of boosting on rows with ``__label`` and ``features``, in one job whose tasks hold the binned rows. Where
+    that job cannot be had, Spark's own boosting, which starts a job per level, gives the model."""
+    boosting = Boosting.of(vectors, weight)
+    if not boosting.possible:
+        return _boosted_by_jobs(vectors, settings, weight)
+    return boosting.run(settings.iterations, settings.learning_rate, settings.depth)
+
+
+def _boosted_by_jobs(vectors: DataFrame, settings: TreeSettings, weight: str | None) -> GBTClassificationModel:
     estimator = GBTClassifier(
         labelCol="__label",
         featuresCol="features",
