@@ -124,13 +124,17 @@ class Views:
     def _in_test(self):
         return hash_fraction(F.col("row_id"), TEST_SEED) < F.lit(TEST_SHARE)
 
+    def split(self, pairs: DataFrame) -> dict[str, DataFrame]:
+        """Pairs, with whatever columns, as the two roots."""
+        return {"train": pairs.where(~self._in_test()), "test": pairs.where(self._in_test()).drop("target")}
+
     @cached_property
     def train(self) -> DataFrame:
-        return self.pairs.where(~self._in_test())
+        return self.split(self.pairs)["train"]
 
     @cached_property
     def test(self) -> DataFrame:
-        return self.pairs.where(self._in_test()).drop("target")
+        return self.split(self.pairs)["test"]
 
     @cached_property
     def test_labels(self) -> DataFrame:

@@ -35,7 +35,7 @@ KEPT_VALUES = 1024
 #: Tasks whose values are merged at a time; different weights, as those of classes, whose rows are sorted apart.
 MERGED, FEW_WEIGHTS = 256, 4
 #: Rows that a task gets at least, before more tasks take part; rows that are summed at a time; rows that are sorted at a time.
-ROWS_PER_TASK, BLOCK, CHUNK = 1 << 19, 1 << 15, 1 << 17
+ROWS_PER_TASK, BLOCK, CHUNK = 1 << 18, 1 << 15, 1 << 17
 #: Bits of features that are counted together: one pass over their joint bins gives the histograms of all of them.
 JOINT_BITS = 10
 #: Share of a node's squared sums below which a gain is the rounding of sums.

@@ -66,8 +66,10 @@ def rank_features(
     id_column: str = "row_id",
     settings: TreeSettings = TreeSettings(),
     exact_split: bool = False,
+    keep_split: bool = False,
 ) -> tuple[TreeModel, DataFrame, list[str]]:
-    """Model on all numeric features, the split rows, and the features."""
+    """Model on all numeric features, the split rows, and the features. ``keep_split`` stores the split rows, for what
+    else is to read them."""
     features = numeric_features(train, base_columns)
     if not features:
         raise ValueError("no numeric feature column to train on")
@@ -75,6 +77,7 @@ def rank_features(
         raise ValueError(f"the training table has no {target!r}")
     rows = train.select(quoted(id_column), quoted(target), *[quoted(c) for c in features])
     split = with_exact_holdout(rows, target, id_column) if exact_split else with_holdout(rows, id_column)
+    split = stored(split) if keep_split else split
     return fit_trees(split, features, target, settings, "is_holdout"), split, features
 
 
@@ -109,7 +112,7 @@ def select_features(
         if kept[name].isEmpty():
             raise ValueError(f"{name} has no rows")
     train = kept[first]
-    model, split, _ = rank_features(train, base_columns[first], target, id_column, settings, exact_split)
+    model, split, _ = rank_features(train, base_columns[first], target, id_column, settings, exact_split, keep_split=True)
     importances = model.importances(train.sparkSession)
     selected = [r["feature"] for r in top_features(importances, keep).collect()]
     outputs = {name: final_projection(df, base_columns[name], selected) for name, df in kept.items()}

@@ -8,6 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 
 from relfold.modeling import boosting, training
 from relfold.modeling.boosting import Boosting
+from relfold.modeling.selection import rank_features
 from relfold.modeling.training import TreeSettings, boosted
 
 NAMES = ["a", "b", "c", "d"]
@@ -81,3 +82,11 @@ def test_spark_s_boosting_where_tasks_cannot_run_side_by_side(vectors, monkeypat
     monkeypatch.setattr(boosting, "_exchange_folder", lambda spark: None)
     model = boosted(vectors, settings)
     assert not isinstance(model, boosting.BoostedTrees) and training.first_rounds(model, 2).getNumTrees == 2
+
+
+def test_the_split_is_made_once(spark):
+    """What trains twice and scores twice reads the split rows from where they are stored."""
+    rows = spark.range(300).selectExpr("id as row_id", "double(id % 10) as x", "double(id % 7) as z", "int(id % 10 > 6) as target")
+    settings = TreeSettings(iterations=2, depth=2)
+    _, split, _ = rank_features(rows, ["row_id", "target"], settings=settings, exact_split=True, keep_split=True)
+    assert "/relfold-" in split.inputFiles()[0] and split.where("is_holdout").count() == 60

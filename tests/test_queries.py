@@ -6,7 +6,8 @@ import duckdb
 import pytest
 
 from catalog.oracle import ORACLE
-from catalog.queries import QUERIES
+from catalog.queries import QUERIES, _planted
+from catalog.views import Views
 from relfold.modeling import scoring, training
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -57,3 +58,15 @@ def test_specs_read_the_items_once(spark, name):
     """The items with their orders are stored once; nothing else reads the tables they come from."""
     files = [f.rsplit("/", 2) for f in QUERIES[name](spark, SF_DIR).inputFiles()]
     assert not {part for f in files for part in f} & {"lineitem.parquet", "orders.parquet"}
+
+
+def test_model_tables_of_both_roots_are_joined_once(spark):
+    """Both roots come from one stored table, and hold the rows that each would get alone."""
+    views = Views(spark, SF_DIR, keep=True)
+    both = _planted(views)
+    assert set(both["train"].inputFiles()) == set(both["test"].inputFiles())
+    assert not {part for f in both["train"].inputFiles() for part in f.rsplit("/", 2)} & {f"{t}.parquet" for t in TABLES}
+    alone = _planted(views, ["train"])["train"]
+    assert both["train"].columns == alone.columns and set(both["test"].columns) == set(alone.columns)
+    rounded = [{str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect()} for df in (both["train"], alone)]
+    assert rounded[0] == rounded[1] and len(rounded[0]) == views.train.count()
