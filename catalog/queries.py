@@ -34,7 +34,7 @@ from relfold.operators.relationships import (
 from relfold.operators.specs import apply_specs, category_families
 from relfold.plans.ingest import parse_plans, parse_specs
 from relfold.plans.models import Action, Aggregation, FeatureBuilder, FeatureSpec, TablePlan
-from relfold.session import shared_folder, stored
+from relfold.session import shared_folder, shuffles_released, stored
 from relfold.sources.files import header_columns, load_bundle, write_table
 from relfold.sources.profiles import load_profile, save_profile
 from relfold.sources.store import TableStore
@@ -143,7 +143,9 @@ def fixture_tree(spark: SparkSession, sf: str):
 
 def snowflake_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     views = Views(spark, sf)
-    return enrich_tree(views.train, views.tables(), fixture_tree(spark, sf))
+    with shuffles_released(spark):
+        edges = fixture_tree(spark, sf)
+    return enrich_tree(views.train, views.tables(), edges, store_children=True)
 
 
 def tree_both_roots(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from relfold.operators.keyed import (
     with_tokens,
 )
 from relfold.operators.relationships import JoinEdge
+from relfold.session import shuffles_released
 
 
 def prefixed(table: str, source: DataFrame, key: str, columns: Sequence[str] | None = None, null_safe: bool = True) -> KeyedFrame:
@@ -114,15 +116,18 @@ def enrich_tree(
     exclude_ids: bool = False,
     approx_distinct: bool = False,
     skew: SkewPolicy | None = DEFAULT_SKEW,
+    store_children: bool = False,
 ) -> DataFrame:
     """Join every edge of the tree onto the base, aggregating children where a join would add rows.
 
     Frames that hang on the same base key are joined together, so the base is shuffled once per key.
     A dimension of a dimension is joined to the smaller dimension before that meets the base, unless
     its key has nulls: there a base row without a parent matches the null row, which only the join
-    on the base can tell.
+    on the base can tell. ``store_children`` aggregates the children one after the other first, and stores them: their
+    shuffles, which are larger than what comes of them, are then not on disk all at once.
     """
-    layout = _lay_out(base.columns, tables, edges, exclude_ids, approx_distinct, skew, share=False)
+    with shuffles_released(base.sparkSession) if store_children else nullcontext():
+        layout = _lay_out(base.columns, tables, edges, exclude_ids, approx_distinct, skew, share=store_children)
     return attach_grouped(base, layout.groups, skew).select(*[quoted(c) for c in [*base.columns, *layout.added]])
 
 

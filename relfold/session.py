@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -33,6 +35,22 @@ def build_session(app_name: str = "relfold", master: str | None = None, **settin
     return builder.getOrCreate()
 
 
+#: Whether a query's shuffle files go when it ends; by default they go some time after the driver's memory was cleared.
+_RELEASED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """What is written or collected inside leaves no shuffle files behind, so that steps that follow each other need the
+    disk of the largest and not of all. Other queries of the session that run meanwhile do the same, which changes no rows."""
+    before = spark.conf.get(_RELEASED)
+    spark.conf.set(_RELEASED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_RELEASED, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir, which all executors share."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

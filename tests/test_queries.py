@@ -1,14 +1,16 @@
 """Every registered query against its defining SQL on the smallest tables."""
 
+import time
 from dataclasses import replace
 
 import duckdb
 import pytest
 
 from catalog.oracle import ORACLE
-from catalog.queries import QUERIES, _planted
+from catalog.queries import QUERIES, _planted, fixture_tree
 from catalog.views import Views
 from relfold.modeling import scoring, training
+from relfold.operators.enrich import enrich_tree
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels")
@@ -70,3 +72,23 @@ def test_model_tables_of_both_roots_are_joined_once(spark):
     assert both["train"].columns == alone.columns and set(both["test"].columns) == set(alone.columns)
     rounded = [{str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect()} for df in (both["train"], alone)]
     assert rounded[0] == rounded[1] and len(rounded[0]) == views.train.count()
+
+
+def test_a_tree_s_children_leave_no_shuffles_on_disk(spark):
+    """What is discovered, aggregated and stored before the base is joined leaves nothing behind but its results."""
+    views = Views(spark, SF_DIR)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {f.getName() for f in (lambda all: [all.apply(i) for i in range(all.size())])(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    before = shuffles()
+    wide = QUERIES["snowflake_enrich"](spark, SF_DIR)
+    until = time.time() + 20  # files are removed in the background
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert any("/relfold-" in f for f in wide.inputFiles())
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    lazy = enrich_tree(views.train, views.tables(), fixture_tree(spark, SF_DIR))
+    assert wide.columns == lazy.columns and wide.exceptAll(lazy).isEmpty() and lazy.exceptAll(wide).isEmpty()
